@@ -40,16 +40,16 @@ def decode(log: DataFrame) -> DataFrame:
 
     kind is a message type, 'unknown' (counted and skipped) or 'malformed'.
     """
-    parsed = log.withColumn(
-        "_m",
-        F.from_json(
-            "value", f"{schemas.MESSAGE}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT}
-        ),
+    # A generator keeps the parse in one place: filters on its fields are not pushed
+    # below it, where they would parse the text again.
+    message = F.from_json(
+        "value", f"{schemas.MESSAGE}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT}
     )
-    m = lambda name: F.col(f"_m.{name}")
-    # Only evaluated for rows that need it: which keys the object has.
-    keys = F.json_object_keys(F.regexp_replace("value", _BARE_NUMBER, ":0"))
-    malformed = m(_CORRUPT).isNotNull() & keys.isNull() | F.col("_m").isNull()
+    parsed = log.select("*", F.inline(F.array(message)))
+    m = F.col
+    # Evaluated only for rows that need it: the object's keys with their raw text.
+    raw = F.from_json(F.regexp_replace("value", _BARE_NUMBER, ":0"), "map<string, string>")
+    malformed = (m(_CORRUPT).isNotNull() & raw.isNull()) | F.col("value").isNull()
     kind = (
         F.when(m("type").isin(c.MESSAGE_TYPES), m("type"))
         .when(malformed, c.MALFORMED)
@@ -57,10 +57,9 @@ def decode(log: DataFrame) -> DataFrame:
     )
 
     def why_null(name: Column) -> Column:
-        is_null = F.get_json_object("value", F.concat(F.lit("$."), name)).isNull()
         return (
-            F.when(~F.coalesce(F.array_contains(keys, name), F.lit(False)), "missing")
-            .when(is_null, "null")
+            F.when(~F.map_contains_key(raw, name), "missing")
+            .when(F.element_at(raw, name).isNull(), "null")
             .otherwise("bad_type")
         )
 
@@ -68,29 +67,32 @@ def decode(log: DataFrame) -> DataFrame:
         return F.concat(label, F.lit(":"), name)
 
     def reasons(required: list[str], defaulted: list[str], ids: list[str]) -> Column:
-        absent = F.array_compact(
-            F.array(*[F.when(m(n).isNull(), F.lit(n)) for n in [*ids, *required]])
-        )
-        found = [F.transform(absent, lambda n: labelled(why_null(n), n))]
-        # A default stands in for an absent key only; an explicit null is an error.
-        nulls = F.array_compact(
-            F.array(*[F.when(m(n).isNull(), F.lit(n)) for n in defaulted])
-        ) if defaulted else None
-        if nulls is not None:
-            found.append(
-                F.filter(
-                    F.transform(nulls, lambda n: labelled(why_null(n), n)),
-                    lambda r: ~r.startswith("missing:"),
-                )
+        def nulls(names: list[str]) -> Column:
+            found = F.array(*[F.when(m(n).isNull(), F.lit(n)) for n in names])
+            return F.transform(
+                F.array_compact(found), lambda n: F.concat(why_null(n), F.lit(":"), n)
             )
+
         checks = [
-            F.when(condition, F.lit(f"{label}:{n}"))
+            (condition, f"{label}:{n}")
             for n in [*required, *defaulted]
             for condition, label in _problems(n, m(n))
         ]
-        checks += [F.when(~m(n).rlike(UUID_PATTERN), F.lit(f"bad_id:{n}")) for n in ids]
-        found.append(F.array_compact(F.array(*checks)))
-        return F.concat(*found)
+        checks += [(~m(n).rlike(UUID_PATTERN), f"bad_id:{n}") for n in ids]
+        found = [
+            nulls([*ids, *required]),
+            F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for bad, reason in checks])),
+        ]
+        if defaulted:
+            # A default stands in for an absent key only; an explicit null is an error.
+            found.append(F.filter(nulls(defaulted), lambda r: ~r.startswith("missing:")))
+        # Most messages conform; a plain conjunction settles those.
+        clean = F.lit(True)
+        for n in [*ids, *required, *defaulted]:
+            clean = clean & m(n).isNotNull()
+        for bad, _ in checks:
+            clean = clean & ~bad
+        return F.when(clean, none).otherwise(F.concat(*found))
 
     none = F.array().cast("array<string>")
     return parsed.withColumn("kind", kind).select(

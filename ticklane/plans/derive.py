@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklane import schemas
+from ticklane.operators import decode
 from ticklane.plans.spread import running_totals
 from ticklane.sources.shared import stored
 
@@ -292,3 +293,8 @@ def _make_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(log_offset, log_ts, key, value): the wire log with repeats and bad lines."""
     return _once("log", spark, sf_dir, _make_log)
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoded log, stored by kind so that marker passes read marker files only."""
+    return _once("messages", spark, sf_dir, lambda *at: decode.decode(log(*at)), "kind")
