@@ -4,22 +4,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def py_round(x: Column, digits: int) -> Column:
-    """Half-even rounding of the exact binary value, as a double.
+def round_sql(x: str, digits: int) -> str:
+    """SQL for half-even rounding of the exact binary value of ``x``, as a double.
 
     Spark's ``round`` and ``bround`` work on the shortest decimal text of the
     double, which moves values such as 12.35 (in binary just below the tie) the
     wrong way. ``format_number`` rounds the exact value. Its only miss is the
-    double nearest to half of the last digit, which is just above the tie for
-    some digit counts and is handled apart. NaN and infinity pass through.
+    double nearest to half of the last digit, which is handled apart. NaN and
+    infinity have no number text and stay as they are.
     """
-    unit = float(f"1e-{digits}")
     half = float(f"5e-{digits + 1}")
-    text = F.call_function("format_number", x, F.lit("0." + "0" * digits))
-    rounded = F.when(F.abs(x) == F.lit(half), F.signum(x) * F.lit(round(half, digits)))
-    if round(half, digits) not in (0.0, unit):
-        raise ValueError(f"cannot round to {digits} digits")
+    pattern = "0." + "0" * digits
     return (
-        F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x)
-        .otherwise(rounded.otherwise(text.cast("double")))
+        f"coalesce(if(abs({x}) = {half!r}D, signum({x}) * {round(half, digits)!r}D, null), "
+        f"try_cast(format_number({x}, '{pattern}') as double), {x})"
     )
+
+
+def py_round(column: str, digits: int) -> Column:
+    return F.expr(round_sql(column, digits))

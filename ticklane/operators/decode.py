@@ -4,37 +4,65 @@ Nothing here fails a job on bad input: each message gets a list of reasons, and
 an empty list means that it conforms.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane import constants as c
 from ticklane import schemas
 
 # Text forms of a UUID, with or without hyphens.
-UUID_PATTERN = r"(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
+UUID_PATTERN = "(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
 
 _CORRUPT = "_corrupt"
-_BARE_NUMBER = r":\s*(NaN|-?Infinity)"
-
-
-def canonical_id(raw: Column) -> Column:
-    """Lower-case hyphenated form of a valid id, null for anything else."""
-    digits = F.lower(F.regexp_replace(raw, "-", ""))
-    parts = [F.substring(digits, start, size) for start, size in
-             ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(raw.rlike(UUID_PATTERN), F.concat_ws("-", *parts))
+_NONE = "cast(array() as array<string>)"
+# The keys of a message with their raw text, for telling why a field is null. Only
+# looked at for messages that do not conform.
+_RAW = r"from_json(regexp_replace(value, r':\s*(NaN|-?Infinity)', ':0'), 'map<string, string>')"
+
+
+def canonical_id(raw: str) -> str:
+    """SQL for the lower-case hyphenated form of a valid id, null for anything else."""
+    digits = f"replace(lower({raw}), '-', '')"
+    parts = ", ".join(
+        f"substring({digits}, {start}, {size})"
+        for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    )
+    return f"if({raw} rlike r'{UUID_PATTERN}', concat_ws('-', {parts}), null)"
 
 
-def _problems(name: str, value: Column) -> list[tuple[Column, str]]:
-    """Conditions under which a present, non-null field does not conform."""
+def _problems(name: str) -> list[tuple[str, str]]:
+    """Conditions, in SQL, under which a field that is present does not conform."""
     if name in schemas.DOUBLE_COLUMNS:
-        infinite = F.abs(value) == F.lit(float("inf"))
-        return [(F.isnan(value) | infinite, "not_finite")]
+        return [(f"isnan({name}) or abs({name}) = double('inf')", f"not_finite:{name}")]
     if name in c.MAX_LENGTH:
-        return [(F.length(value) > c.MAX_LENGTH[name], "too_long")]
+        return [(f"length({name}) > {c.MAX_LENGTH[name]}", f"too_long:{name}")]
     return []
 
 
+def _reasons(required: list[str], defaulted: list[str], ids: list[str]) -> str:
+    """SQL for the list of reasons of one kind of message. ``raw`` is the key map."""
+    checks = [check for name in [*required, *defaulted] for check in _problems(name)]
+    checks += [(f"not {name} rlike r'{UUID_PATTERN}'", f"bad_id:{name}") for name in ids]
+
+    def nulls(names: list[str]) -> str:
+        found = ", ".join(f"if({name} is null, '{name}', null)" for name in names)
+        why = (
+            f"case when not map_contains_key({_RAW}, n) then 'missing:' "
+            f"when {_RAW}[n] is null then 'null:' else 'bad_type:' end"
+        )
+        return f"transform(array_compact(array({found})), n -> concat({why}, n))"
+
+    failed = ", ".join(f"if({bad}, '{reason}', null)" for bad, reason in checks)
+    found = [nulls([*ids, *required]), f"array_compact(array({failed}))"]
+    if defaulted:
+        # A default stands in for an absent key only; an explicit null is an error.
+        found.append(f"filter({nulls(defaulted)}, r -> not startswith(r, 'missing:'))")
+    # Most messages conform; a plain conjunction settles those.
+    clean = [f"{name} is not null" for name in [*ids, *required, *defaulted]]
+    clean += [f"not ({bad})" for bad, _ in checks]
+    return f"if({' and '.join(clean)}, {_NONE}, concat({', '.join(found)}))"
+
+
 def decode(log: DataFrame) -> DataFrame:
     """Log columns except value, then kind, the message fields and reasons.
 
@@ -45,74 +73,33 @@ def decode(log: DataFrame) -> DataFrame:
     message = F.from_json(
         "value", f"{schemas.MESSAGE}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT}
     )
-    parsed = log.select("*", F.inline(F.array(message)))
-    m = F.col
-    # Evaluated only for rows that need it: the object's keys with their raw text.
-    raw = F.from_json(F.regexp_replace("value", _BARE_NUMBER, ":0"), "map<string, string>")
-    malformed = (m(_CORRUPT).isNotNull() & raw.isNull()) | F.col("value").isNull()
-    kind = (
-        F.when(m("type").isin(c.MESSAGE_TYPES), m("type"))
-        .when(malformed, c.MALFORMED)
-        .otherwise(c.UNKNOWN)
+    types = ", ".join(f"'{t}'" for t in c.MESSAGE_TYPES)
+    kinds = (
+        f"case when type in ({types}) then type "
+        f"when value is null or ({_CORRUPT} is not null and {_RAW} is null) then '{c.MALFORMED}' "
+        f"else '{c.UNKNOWN}' end as kind"
     )
-
-    def why_null(name: Column) -> Column:
-        return (
-            F.when(~F.map_contains_key(raw, name), "missing")
-            .when(F.element_at(raw, name).isNull(), "null")
-            .otherwise("bad_type")
-        )
-
-    def labelled(label: Column, name: Column) -> Column:
-        return F.concat(label, F.lit(":"), name)
-
-    def reasons(required: list[str], defaulted: list[str], ids: list[str]) -> Column:
-        def nulls(names: list[str]) -> Column:
-            found = F.array(*[F.when(m(n).isNull(), F.lit(n)) for n in names])
-            return F.transform(
-                F.array_compact(found), lambda n: F.concat(why_null(n), F.lit(":"), n)
-            )
-
-        checks = [
-            (condition, f"{label}:{n}")
-            for n in [*required, *defaulted]
-            for condition, label in _problems(n, m(n))
-        ]
-        checks += [(~m(n).rlike(UUID_PATTERN), f"bad_id:{n}") for n in ids]
-        found = [
-            nulls([*ids, *required]),
-            F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for bad, reason in checks])),
-        ]
-        if defaulted:
-            # A default stands in for an absent key only; an explicit null is an error.
-            found.append(F.filter(nulls(defaulted), lambda r: ~r.startswith("missing:")))
-        # Most messages conform; a plain conjunction settles those.
-        clean = F.lit(True)
-        for n in [*ids, *required, *defaulted]:
-            clean = clean & m(n).isNotNull()
-        for bad, _ in checks:
-            clean = clean & ~bad
-        return F.when(clean, none).otherwise(F.concat(*found))
-
-    none = F.array().cast("array<string>")
-    return parsed.withColumn("kind", kind).select(
-        *[name for name in log.columns if name != "value"],
-        "kind",
-        canonical_id(m("season_id")).alias("season_id"),
-        canonical_id(m("run_id")).alias("run_id"),
-        m("driver").alias("driver"),
-        m("status").alias("status"),
-        m("last_tick").alias("last_tick"),
-        *[m(name).alias(name) for name in schemas.TELEMETRY_COLUMNS],
-        F.when(F.col("kind") == c.MALFORMED, F.array(F.lit("malformed")))
-        .when(
-            F.col("kind") == c.TELEMETRY,
-            reasons(schemas.TELEMETRY_COLUMNS, [], ["run_id"]),
+    reasons = (
+        f"case kind when '{c.MALFORMED}' then array('{c.MALFORMED}') "
+        f"when '{c.TELEMETRY}' then {_reasons(schemas.TELEMETRY_COLUMNS, [], ['run_id'])} "
+        f"when '{c.RUN_START}' then {_reasons([], ['driver'], ['run_id', 'season_id'])} "
+        f"when '{c.RUN_END}' then {_reasons([], ['status'], ['run_id'])} "
+        f"else {_NONE} end as reasons"
+    )
+    return (
+        log.select("*", F.inline(F.array(message)))
+        .selectExpr("*", kinds)
+        .selectExpr(
+            *[name for name in log.columns if name != "value"],
+            "kind",
+            f"{canonical_id('season_id')} as season_id",
+            f"{canonical_id('run_id')} as run_id",
+            "driver",
+            "status",
+            "last_tick",
+            *schemas.TELEMETRY_COLUMNS,
+            reasons,
         )
-        .when(F.col("kind") == c.RUN_START, reasons([], ["driver"], ["run_id", "season_id"]))
-        .when(F.col("kind") == c.RUN_END, reasons([], ["status"], ["run_id"]))
-        .otherwise(none)
-        .alias("reasons"),
     )
 
 

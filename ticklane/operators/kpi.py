@@ -5,101 +5,79 @@ tick slice), and reduced to a handful of numbers per slice; only those are
 brought together per run.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.constants import IN_LANE_CTE, NO_HIT, OFFTRACK_CTE
-from ticklane.functions.rounding import py_round
+from ticklane.functions.rounding import round_sql
 from ticklane.plans.spread import TICK_SLICE, slice_of
-from ticklane.schemas import KPI_FIELDS
-
-
-def in_lane(cte: Column) -> Column:
-    return F.abs(cte) < F.lit(IN_LANE_CTE)
-
-
-def off_track(cte: Column) -> Column:
-    # Spark orders NaN above every number; a NaN deviation is not off track.
-    return (F.abs(cte) >= F.lit(OFFTRACK_CTE)) & ~F.isnan(cte)
-
-
-def collided(hit: Column) -> Column:
-    return hit != F.lit(NO_HIT)
-
-
-def _positive(x: Column) -> Column:
-    return (x > F.lit(0.0)) & ~F.isnan(x)
-
-
-_TOTALS = {
-    "ticks": F.sum,
-    "ts_min": F.min,
-    "ts_max": F.max,
-    "laps": F.max,
-    "cte_sum": F.sum,
-    "cte_max": F.max,
-    "speed_sum": F.sum,
-    "speed_max": F.max,
-    "lane_ticks": F.sum,
-}
-
-
-def _tick_totals() -> list[Column]:
-    return [
-        F.count("*").alias("ticks"),
-        F.min("ts").alias("ts_min"),
-        F.max("ts").alias("ts_max"),
-        F.max("lap_count").alias("laps"),
-        F.sum("abs_cte").alias("cte_sum"),
-        F.max("abs_cte").alias("cte_max"),
-        F.sum("speed").alias("speed_sum"),
-        F.max("speed").alias("speed_max"),
-        F.count_if("in_lane").alias("lane_ticks"),
-    ]
-
-
-def _scored(telemetry: DataFrame) -> DataFrame:
-    cte = F.col("cte")
-    return telemetry.select(
-        "run_id",
-        "tick",
-        "ts",
-        "speed",
-        "lap_count",
-        "last_lap_time",
-        F.abs(cte).alias("abs_cte"),
-        in_lane(cte).alias("in_lane"),
-        off_track(cte).alias("off"),
-        collided(F.col("hit")).alias("hit_on"),
-    )
-
-
-def _finish_totals() -> list[Column]:
-    """Report fields from run totals. A last time stamp of 0 counts as missing."""
-    ticks = F.col("ticks")
-    return [
-        F.coalesce(
-            F.when(F.col("ts_max") != F.lit(0.0), py_round(F.col("ts_max") - F.col("ts_min"), 1)),
-            F.lit(0.0),
-        ).alias("duration_s"),
-        ticks.alias("ticks"),
-        F.coalesce(F.col("laps"), F.lit(0)).cast("int").alias("laps"),
-        _or_zero(py_round(F.col("cte_sum") / ticks, 3)).alias("mean_abs_cte"),
-        _or_zero(py_round(F.col("cte_max"), 3)).alias("max_abs_cte"),
-        py_round(F.lit(100.0) * F.col("lane_ticks") / ticks, 1).alias("pct_in_lane"),
-        _or_zero(py_round(F.col("speed_sum") / ticks, 3)).alias("avg_speed"),
-        _or_zero(py_round(F.col("speed_max"), 3)).alias("max_speed"),
-    ]
-
-
-def _or_zero(x: Column) -> Column:
-    return F.coalesce(x, F.lit(0.0))
+from ticklane.schemas import KPI, KPI_FIELDS
+
+# Spark orders NaN above every number; the contract counts it for nothing.
+IN_LANE = f"abs(cte) < {IN_LANE_CTE}D"
+OFF_TRACK = f"abs(cte) >= {OFFTRACK_CTE}D and not isnan(cte)"
+COLLIDED = f"hit != '{NO_HIT}'"
+
+_SCORED = [
+    "run_id",
+    "tick",
+    "ts",
+    "speed",
+    "lap_count",
+    "last_lap_time",
+    "abs(cte) as abs_cte",
+    f"{IN_LANE} as in_lane",
+    f"{OFF_TRACK} as off",
+    f"{COLLIDED} as hit_on",
+]
+
+# Totals over ticks, and how partial totals are put together.
+_OF_TICKS = [
+    "count(*) as ticks",
+    "min(ts) as ts_min",
+    "max(ts) as ts_max",
+    "max(lap_count) as laps",
+    "sum(abs_cte) as cte_sum",
+    "max(abs_cte) as cte_max",
+    "sum(speed) as speed_sum",
+    "max(speed) as speed_max",
+    "count_if(in_lane) as lane_ticks",
+]
+_TOTALS = [part.split(" as ")[1] for part in _OF_TICKS]
+_OF_TOTALS = [
+    "sum(ticks) as ticks",
+    "min(ts_min) as ts_min",
+    "max(ts_max) as ts_max",
+    "max(laps) as laps",
+    "sum(cte_sum) as cte_sum",
+    "max(cte_max) as cte_max",
+    "sum(speed_sum) as speed_sum",
+    "max(speed_max) as speed_max",
+    "sum(lane_ticks) as lane_ticks",
+]
+_OF_EVENTS = ["sum(collisions) as collisions", "sum(offtrack_events) as offtrack_events"]
+
+# Report fields from totals. A last time stamp of 0 counts as missing.
+_FROM_TOTALS = [
+    f"coalesce(if(ts_max != 0D, {round_sql('(ts_max - ts_min)', 1)}, null), 0D) as duration_s",
+    "ticks",
+    "coalesce(laps, 0) as laps",
+    f"coalesce({round_sql('(cte_sum / ticks)', 3)}, 0D) as mean_abs_cte",
+    f"coalesce({round_sql('cte_max', 3)}, 0D) as max_abs_cte",
+    f"{round_sql('(100D * lane_ticks / ticks)', 1)} as pct_in_lane",
+    f"coalesce({round_sql('(speed_sum / ticks)', 3)}, 0D) as avg_speed",
+    f"coalesce({round_sql('speed_max', 3)}, 0D) as max_speed",
+]
+
+
+def _all(*expressions: list[str]) -> list[Column]:
+    return [F.expr(e) for part in expressions for e in part]
 
 
 def basics(telemetry: DataFrame) -> DataFrame:
     """The order-free part of the report: one hash aggregate, combined map-side."""
-    totals = _scored(telemetry).groupBy("run_id").agg(*_tick_totals())
-    return totals.select("run_id", *_finish_totals())
+    totals = telemetry.selectExpr(*_SCORED).groupBy("run_id").agg(*_all(_OF_TICKS))
+    return totals.selectExpr("run_id", *_FROM_TOTALS)
 
 
 def _slices(telemetry: DataFrame, size: int) -> DataFrame:
@@ -109,93 +87,89 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
     aggregate into an object one. A running lap number splits each slice into
     laps first, so that each group has one lap time and plain numbers suffice.
     """
-    by_tick = Window.partitionBy("run_id", "slice").orderBy("tick")
-    so_far = by_tick.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lap_done = (F.col("lap_count") > F.col("prev_laps")) & _positive(F.col("last_lap_time"))
+    by_tick = "(partition by run_id, slice order by tick)"
+    so_far = by_tick[:-1] + " rows between unbounded preceding and current row)"
     # The first tick of a slice has no previous one here: its conditions are
     # null, count for nothing, and are settled when slices are put in a row.
+    lap_done = "lap_count > prev_laps and last_lap_time > 0D and not isnan(last_lap_time)"
     ticks = (
-        _scored(telemetry)
+        telemetry.selectExpr(*_SCORED)
         .withColumn("slice", slice_of("tick", size))
-        .withColumn("prev_hit", F.lag("hit_on").over(by_tick))
-        .withColumn("prev_off", F.lag("off").over(by_tick))
-        .withColumn("prev_laps", F.lag("lap_count").over(by_tick))
-        .withColumn("lap_done", F.coalesce(lap_done, F.lit(False)))
-        .withColumn("lap_no", F.sum(F.col("lap_done").cast("int")).over(so_far))
+        .selectExpr(
+            "*",
+            f"lag(hit_on) over {by_tick} as prev_hit",
+            f"lag(off) over {by_tick} as prev_off",
+            f"lag(lap_count) over {by_tick} as prev_laps",
+        )
+        .selectExpr("*", f"coalesce({lap_done}, false) as lap_done")
+        .selectExpr("*", f"sum(int(lap_done)) over {so_far} as lap_no")
     )
-    states = ["hit_on", "off", "lap_count", "last_lap_time"]
+    first = ["hit_on", "off", "lap_count", "last_lap_time"]
+    last = ["hit_on", "off", "lap_count"]
     laps = ticks.groupBy("run_id", "slice", "lap_no").agg(
-        *_tick_totals(),
-        F.count_if(F.col("hit_on") & ~F.col("prev_hit")).alias("collisions"),
-        F.count_if(F.col("off") & ~F.col("prev_off")).alias("offtrack_events"),
-        F.max(F.when(F.col("lap_done"), F.col("last_lap_time"))).alias("lap_time"),
-        *[F.min_by(s, "tick").alias(f"first_{s}") for s in states],
-        *[F.max_by(s, "tick").alias(f"last_{s}") for s in states[:3]],
+        *_all(
+            _OF_TICKS,
+            [
+                "count_if(hit_on and not prev_hit) as collisions",
+                "count_if(off and not prev_off) as offtrack_events",
+                "max(if(lap_done, last_lap_time, null)) as lap_time",
+            ],
+            [f"min_by({s}, tick) as first_{s}" for s in first],
+            [f"max_by({s}, tick) as last_{s}" for s in last],
+        )
     )
     return laps.groupBy("run_id", "slice").agg(
-        *[how(name).alias(name) for name, how in _TOTALS.items()],
-        F.sum("collisions").alias("collisions"),
-        F.sum("offtrack_events").alias("offtrack_events"),
-        F.sort_array(
-            F.collect_list(
-                F.when(F.col("lap_time").isNotNull(), F.struct("lap_no", "lap_time"))
-            )
-        ).alias("lap_list"),
-        *[F.min_by(f"first_{s}", "lap_no").alias(f"first_{s}") for s in states],
-        *[F.max_by(f"last_{s}", "lap_no").alias(f"last_{s}") for s in states[:3]],
+        *_all(
+            _OF_TOTALS,
+            _OF_EVENTS,
+            [
+                "sort_array(collect_list(if(lap_time is not null, "
+                "struct(lap_no, lap_time), null))) as lap_list"
+            ],
+            [f"min_by(first_{s}, lap_no) as first_{s}" for s in first],
+            [f"max_by(last_{s}, lap_no) as last_{s}" for s in last],
+        )
     )
 
 
 def _joined_slices(telemetry: DataFrame, size: int) -> DataFrame:
     """Slices with the events at their first tick added."""
-    in_order = Window.partitionBy("run_id").orderBy("slice")
-    was_hit = F.lag("last_hit_on", 1, False).over(in_order)
-    was_off = F.lag("last_off", 1, False).over(in_order)
-    had_laps = F.lag("last_lap_count", 1, 0).over(in_order)
-    first_lap = (F.col("first_lap_count") > had_laps) & _positive(F.col("first_last_lap_time"))
-    return _slices(telemetry, size).select(
+    before = "over (partition by run_id order by slice)"
+    was_hit = f"lag(last_hit_on, 1, false) {before}"
+    was_off = f"lag(last_off, 1, false) {before}"
+    had_laps = f"lag(last_lap_count, 1, 0) {before}"
+    first_lap = (
+        f"first_lap_count > {had_laps} "
+        "and first_last_lap_time > 0D and not isnan(first_last_lap_time)"
+    )
+    return _slices(telemetry, size).selectExpr(
         "run_id",
         "slice",
         *_TOTALS,
-        (F.col("collisions") + (F.col("first_hit_on") & ~was_hit).cast("int")).alias("collisions"),
-        (F.col("offtrack_events") + (F.col("first_off") & ~was_off).cast("int")).alias(
-            "offtrack_events"
-        ),
-        F.concat(
-            F.when(first_lap, F.array("first_last_lap_time")).otherwise(
-                F.array().cast("array<double>")
-            ),
-            F.transform("lap_list", lambda lap: lap["lap_time"]),
-        ).alias("slice_laps"),
+        f"collisions + int(first_hit_on and not {was_hit}) as collisions",
+        f"offtrack_events + int(first_off and not {was_off}) as offtrack_events",
+        f"concat(if({first_lap}, array(first_last_lap_time), cast(array() as array<double>)), "
+        "lap_list.lap_time) as slice_laps",
     )
 
 
 def report(telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
     """run_id and the KPI fields, one row per run that has ticks."""
+    laps_by_slice = (
+        "sort_array(collect_list(if(size(slice_laps) > 0, struct(slice, slice_laps), null))) "
+        "as laps_by_slice"
+    )
     runs = (
         _joined_slices(telemetry, size)
         .groupBy("run_id")
-        .agg(
-            *[how(name).alias(name) for name, how in _TOTALS.items()],
-            F.sum("collisions").alias("collisions"),
-            F.sum("offtrack_events").alias("offtrack_events"),
-            F.sort_array(
-                F.collect_list(
-                    F.when(F.size("slice_laps") > 0, F.struct("slice", "slice_laps"))
-                )
-            ).alias("laps_by_slice"),
-        )
-    )
-    lap_times = F.transform(
-        F.flatten(F.transform("laps_by_slice", lambda s: s["slice_laps"])),
-        lambda t: py_round(t, 1),
+        .agg(*_all(_OF_TOTALS, _OF_EVENTS, [laps_by_slice]))
     )
-    return runs.select(
+    return runs.selectExpr(
         "run_id",
-        *_finish_totals(),
+        *_FROM_TOTALS,
         "collisions",
         "offtrack_events",
-        lap_times.alias("lap_times"),
+        f"transform(flatten(laps_by_slice.slice_laps), t -> {round_sql('t', 1)}) as lap_times",
     ).select("run_id", *KPI_FIELDS)
 
 
@@ -206,25 +180,18 @@ def lap_rows(telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
     )
 
 
-def empty_report() -> dict[str, Column]:
-    """Values of a run without ticks."""
-    zero = {
-        "duration_s": F.lit(0.0),
-        "ticks": F.lit(0).cast("bigint"),
-        "laps": F.lit(0),
-        "lap_times": F.array().cast("array<double>"),
-        "collisions": F.lit(0).cast("bigint"),
-        "offtrack_events": F.lit(0).cast("bigint"),
-    }
-    return {name: zero.get(name, F.lit(0.0)) for name in KPI_FIELDS}
+def _or_empty() -> list[str]:
+    """Report fields, with the values of a run without ticks where there are none."""
+    kinds = dict(part.split(" ") for part in KPI.split(", "))
+    zero = {name: f"cast(0 as {kind})" for name, kind in kinds.items()}
+    zero["lap_times"] = f"cast(array() as {kinds['lap_times']})"
+    return [f"coalesce({name}, {zero[name]}) as {name}" for name in KPI_FIELDS]
 
 
 def report_for(runs: DataFrame, telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
     """A report for each run_id in ``runs``, all zeros where no tick was kept."""
-    zeros = empty_report()
-    return runs.join(report(telemetry, size), "run_id", "left").select(
-        *runs.columns, *[F.coalesce(F.col(name), zeros[name]).alias(name) for name in KPI_FIELDS]
-    )
+    found = runs.join(report(telemetry, size), "run_id", "left")
+    return found.selectExpr(*runs.columns, *_or_empty())
 
 
 def as_json(report_rows: DataFrame) -> DataFrame:
