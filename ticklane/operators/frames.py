@@ -29,13 +29,11 @@ def frames_asof(probes: DataFrame, frames: DataFrame, size: int = TICK_SLICE) ->
     are lined up in windows over (run, tick slice); a slice starts with the last
     frame of the slices before it.
     """
-    asked = probes.select("run_id", F.col("at_tick").alias("tick")).distinct()
-    saved = frames.select("run_id", F.col("frame_tick").alias("tick")).distinct()
-    # Asked and saved ticks are counted together; is_probe sorts a frame first
-    # when both have the same tick.
-    rows = asked.select("run_id", "tick", F.lit(1).alias("is_probe")).unionByName(
-        saved.select("run_id", "tick", F.lit(0).alias("is_probe"))
-    ).withColumn("slice", slice_of("tick", size))
+    rows = (
+        probes.select("run_id", F.col("at_tick").alias("tick"), F.lit(1).alias("is_probe"))
+        .union(frames.select("run_id", F.col("frame_tick").alias("tick"), F.lit(0)))
+        .withColumn("slice", slice_of("tick", size))
+    )
     frame = F.when(F.col("is_probe") == 0, F.col("tick"))
 
     earlier = Window.partitionBy("run_id").orderBy("slice").rowsBetween(
@@ -44,15 +42,16 @@ def frames_asof(probes: DataFrame, frames: DataFrame, size: int = TICK_SLICE) ->
     carried = (
         rows.groupBy("run_id", "slice")
         .agg(F.max(frame).alias("last_frame"))
-        .select("run_id", "slice", F.max("last_frame").over(earlier).alias("tick"))
+        .select("run_id", F.max("last_frame").over(earlier).alias("tick"), F.lit(0), "slice")
         .filter("tick is not null")
-        .withColumn("is_probe", F.lit(0))
     )
+    # is_probe sorts a frame before a probe of the same tick.
     in_order = Window.partitionBy("run_id", "slice").orderBy("tick", "is_probe").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        rows.unionByName(carried)
+        rows.distinct()
+        .union(carried)
         .withColumn("frame_tick", F.max(frame).over(in_order))
         .filter("is_probe = 1")
         .select("run_id", F.col("tick").alias("at_tick"), "frame_tick")

@@ -92,9 +92,10 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
     # The first tick of a slice has no previous one here: its conditions are
     # null, count for nothing, and are settled when slices are put in a row.
     lap_done = "lap_count > prev_laps and last_lap_time > 0D and not isnan(last_lap_time)"
+    if "slice" not in telemetry.columns:
+        telemetry = telemetry.withColumn("slice", slice_of("tick", size))
     ticks = (
-        telemetry.selectExpr(*_SCORED)
-        .withColumn("slice", slice_of("tick", size))
+        telemetry.selectExpr(*_SCORED, "slice")
         .selectExpr(
             "*",
             f"lag(hit_on) over {by_tick} as prev_hit",
@@ -154,7 +155,10 @@ def _joined_slices(telemetry: DataFrame, size: int) -> DataFrame:
 
 
 def report(telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
-    """run_id and the KPI fields, one row per run that has ticks."""
+    """run_id and the KPI fields, one row per run that has ticks.
+
+    Ticks that already carry their ``slice`` are used as they are placed.
+    """
     laps_by_slice = (
         "sort_array(collect_list(if(size(slice_laps) > 0, struct(slice, slice_laps), null))) "
         "as laps_by_slice"

@@ -15,6 +15,7 @@ from ticklane import constants as c
 from ticklane import schemas
 from ticklane.operators import kpi
 from ticklane.plans.spread import OFFSET_SLICE, TICK_SLICE, slice_of, spread_join
+from ticklane.sources.shared import stored
 
 
 def known_seasons(starts: DataFrame, seasons: DataFrame) -> DataFrame:
@@ -115,9 +116,9 @@ def orphan_telemetry(messages: DataFrame, starts: DataFrame) -> DataFrame:
 def summaries(kept: DataFrame, ends: DataFrame, size: int = TICK_SLICE) -> DataFrame:
     """run_id and KPI fields for each closed run."""
     cutoffs = ends.select("run_id", "last_end_offset")
-    before_end = spread_join(kept, cutoffs, "run_id", slice_of("tick", size)).filter(
-        "log_offset < last_end_offset"
-    )
+    before_end = spread_join(
+        kept, cutoffs, "run_id", slice_of("tick", size), keep_slice=True
+    ).filter("log_offset < last_end_offset")
     return kpi.report_for(ends.select("run_id"), before_end, size)
 
 
@@ -164,9 +165,10 @@ def replay(
     """(runs, telemetry) from conforming messages.
 
     ``messages`` is read several times, narrowly; pass a stored table, written by
-    ``kind``, so that the marker passes touch only marker files.
+    ``kind``, so that the marker passes touch only marker files. The telemetry is
+    written to the shared folder before it is summarised, so that it is built once.
     """
     starts = run_starts(messages, seasons)
     ends = run_ends(messages, starts)
-    kept = kept_telemetry(messages, starts)
+    kept = stored(kept_telemetry(messages, starts), "telemetry")
     return runs_table(starts, ends, summaries(kept, ends, size)), kept.drop("log_offset")

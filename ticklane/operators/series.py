@@ -1,10 +1,10 @@
 """Series of a run for charts, for all runs at once."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as c
-from ticklane.plans.spread import TICK_SLICE, slice_of, spread_join
+from ticklane.plans.spread import TICK_SLICE, slice_of
 
 
 def tick_counts(telemetry: DataFrame) -> DataFrame:
@@ -25,12 +25,16 @@ def downsample(
     """
     if not c.MIN_MAX_POINTS <= max_points <= c.MAX_MAX_POINTS:
         raise ValueError(f"max_points must be in [{c.MIN_MAX_POINTS}, {c.MAX_MAX_POINTS}]")
-    strides = tick_counts(telemetry).select(
-        "run_id", F.ceil(F.col("ticks") / F.lit(max_points)).alias("stride")
-    )
-    kept = spread_join(points(telemetry), strides, "run_id", slice_of("tick", size)).filter(
-        F.col("tick") % F.col("stride") == 0
+    sliced = points(telemetry).withColumn("slice", slice_of("tick", size))
+    # Counted per slice and summed over the run's slices; the ticks then meet their
+    # stride by (run, slice), so a long run is not gathered anywhere.
+    total = F.sum("n").over(Window.partitionBy("run_id"))
+    strides = (
+        sliced.groupBy("run_id", "slice")
+        .agg(F.count("*").alias("n"))
+        .select("run_id", "slice", F.ceil(total / F.lit(max_points)).alias("stride"))
     )
+    kept = sliced.join(strides, ["run_id", "slice"]).filter(F.col("tick") % F.col("stride") == 0)
     return kept.select("run_id", *c.POINT_FIELDS)
 
 

@@ -367,7 +367,8 @@ def replay_telemetry(spark, sf_dir):
 def replay_summary(spark, sf_dir):
     good, starts = _starts(spark, sf_dir)
     ends = replay.run_ends(good, starts)
-    return _flat_report(replay.summaries(replay.kept_telemetry(good, starts), ends))
+    kept = shared.stored(replay.kept_telemetry(good, starts), "telemetry")
+    return _flat_report(replay.summaries(kept, ends))
 
 
 @query

@@ -23,19 +23,26 @@ def slice_of(column: str, size: int) -> Column:
 
 
 def spread_join(
-    facts: DataFrame, dim: DataFrame, key: str, slice_by: Column, how: str = "inner"
+    facts: DataFrame,
+    dim: DataFrame,
+    key: str,
+    slice_by: Column,
+    how: str = "inner",
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Many-to-one join of a large table to one row per key, without hot tasks.
 
     The dimension is first copied to the (key, slice) pairs that occur in the
     facts. That table has one row per slice, and the facts then join on the pair,
     so a hot key is spread over as many tasks as it has slices. Spark still
-    broadcasts the pairs when they are below its size threshold.
+    broadcasts the pairs when they are below its size threshold. The slice stays as
+    a column on demand, for a next step that wants the same placement.
     """
-    sliced = facts.withColumn("_slice", slice_by)
-    pairs = sliced.select(key, "_slice").distinct()
+    sliced = facts.withColumn("slice", slice_by)
+    pairs = sliced.select(key, "slice").distinct()
     pairs = pairs.join(dim, key, "inner")
-    return sliced.join(pairs, [key, "_slice"], how).drop("_slice")
+    joined = sliced.join(pairs, [key, "slice"], how)
+    return joined if keep_slice else joined.drop("slice")
 
 
 def with_neighbours(
