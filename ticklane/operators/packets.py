@@ -70,7 +70,7 @@ def _has_gap(sensors: Column) -> Column:
 
 
 def scalar(name: str, sensors: str = "sensors") -> Column:
-    return F.try_element_at(sensors, F.lit(name))[0]
+    return F.get(F.try_element_at(sensors, F.lit(name)), F.lit(0))
 
 
 def control_columns() -> dict[str, Column]:

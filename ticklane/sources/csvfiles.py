@@ -20,13 +20,16 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def sensor_widths(parsed_packets: DataFrame) -> dict[str, int]:
-    """Largest number of values per sensor. Sensor names are few: they are columns."""
+    """Largest number of values per sensor, in the order in which packets name them.
+
+    Sensor names become columns, so they are few by nature and are read up front.
+    """
     widths = (
-        parsed_packets.select(F.explode("sensors").alias("name", "values"))
-        .groupBy("name")
-        .agg(F.max(F.size("values")).alias("width"))
+        parsed_packets.select(F.posexplode(F.map_entries("sensors")).alias("place", "sensor"))
+        .groupBy("sensor.key")
+        .agg(F.max(F.size("sensor.value")).alias("width"), F.min("place").alias("place"))
     )
-    return {r["name"]: r["width"] for r in widths.orderBy("name").collect()}
+    return {r["key"]: r["width"] for r in widths.orderBy("place", "key").collect()}
 
 
 def packet_rows(parsed_packets: DataFrame, widths: dict[str, int], *keep: str) -> DataFrame:
