@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ticklane import constants as c
 from ticklane.operators.features import clamp
+from ticklane.plans.once import with_computed
 from ticklane.plans.spread import OFFSET_SLICE, slice_of, spread_join
 
 
@@ -12,13 +13,8 @@ def parsed(packets: DataFrame) -> DataFrame:
     """Add sensors, MAP<STRING, ARRAY<DOUBLE>>; of a repeated key the last counts."""
     pattern = F.lit(c.PACKET_PATTERN)
     keys = F.col("_keys")
-    # The keys are a column of their own so that they are extracted once a packet.
-    found = packets.withColumns(
-        {
-            "_keys": F.regexp_extract_all("msg", pattern, F.lit(1)),
-            "_texts": F.regexp_extract_all("msg", pattern, F.lit(2)),
-        }
-    )
+    found = with_computed(packets, "_keys", F.regexp_extract_all("msg", pattern, F.lit(1)))
+    found = found.withColumn("_texts", F.regexp_extract_all("msg", pattern, F.lit(2)))
     last = F.filter(
         F.arrays_zip("_keys", "_texts"),
         lambda pair, i: i == F.size(keys) - F.array_position(F.reverse(keys), pair["_keys"]),
@@ -26,7 +22,7 @@ def parsed(packets: DataFrame) -> DataFrame:
     sensors = F.map_from_entries(
         F.transform(last, lambda pair: F.struct(pair["_keys"], _numbers(pair["_texts"])))
     )
-    return found.withColumn("sensors", sensors).drop("_keys", "_texts")
+    return with_computed(found, "sensors", sensors).drop("_keys", "_texts")
 
 
 def _numbers(text: Column) -> Column:

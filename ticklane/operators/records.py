@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane import constants as c
+from ticklane.plans.once import with_computed
 
 AXES = ["x", "y", "z"]
 _VECTORS = ["pos", "vel", "accel", "gyro"]
@@ -17,26 +18,34 @@ _SCALARS = {
 }
 
 
-def _zero(kind: str) -> Column:
-    return F.lit(c.NO_HIT if kind == "string" else 0).cast(kind)
+def _cast(text: str, kind: str) -> str:
+    """SQL for a number in JSON text form; whole numbers drop their fraction."""
+    if kind == "int":
+        return f"try_cast(try_cast({text} as double) as int)"
+    return f"try_cast({text} as {kind})"
 
 
-def _sources() -> dict[str, tuple[list[str], str]]:
-    """Record field -> (paths that may hold it, type).
+def _field_sql() -> tuple[list[str], list[str]]:
+    """Value and complaint, in SQL, per record field.
 
-    A vector becomes its components; a field that already has the component's
-    name counts as well.
+    A vector gives its components; a plain field of the component's flattened name
+    counts as well.
     """
-    found = {name: ([f"$.{name}"], kind) for name, kind in _SCALARS.items()}
+    sources = {name: ([f"_f['{name}']"], kind) for name, kind in _SCALARS.items()}
     for vector in _VECTORS:
         for i, axis in enumerate(AXES):
-            paths = [f"$.{vector}[{i}]", f"$.{vector}_{i}"]
-            found[f"{vector}_{axis}"] = (paths, "double")
-    return found
-
-
-def with_variant(rows: DataFrame, info: str = "info") -> DataFrame:
-    return rows.withColumn("_info", F.try_parse_json(info))
+            texts = [f"get(_v.{vector}, {i})", f"_f['{vector}_{i}']"]
+            sources[f"{vector}_{axis}"] = (texts, "double")
+    values, bad = [], []
+    for name, (texts, kind) in sources.items():
+        default = f"'{c.NO_HIT}'" if kind == "string" else f"cast(0 as {kind})"
+        typed = ", ".join(_cast(t, kind) for t in texts)
+        values.append(f"coalesce({typed}, {default}) as {name}")
+        given = f"coalesce({', '.join(texts)}) is not null"
+        if name in _SCALARS:
+            given = f"map_contains_key(_f, '{name}')"
+        bad.append(f"if(coalesce({typed}) is null and {given}, '{name}', null)")
+    return values, bad
 
 
 def build_records(rows: DataFrame, info: str = "info") -> DataFrame:
@@ -45,17 +54,20 @@ def build_records(rows: DataFrame, info: str = "info") -> DataFrame:
     A field that is absent gets its default. So does one that cannot be cast, but
     it is also listed in bad_fields, for the caller to keep or set aside.
     """
-    out = with_variant(rows, info)
-    v = F.col("_info")
-    values, bad = [], []
-    for name, (paths, kind) in _sources().items():
-        typed = F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
-        present = F.coalesce(*[F.try_variant_get(v, p, "variant") for p in paths]).isNotNull()
-        values.append(F.coalesce(typed, _zero(kind)).alias(name))
-        bad.append(F.when(present & typed.isNull(), F.lit(name)))
-    return out.select(
-        *rows.columns, *values, F.array_compact(F.array(*bad)).alias("bad_fields")
+    fields = F.coalesce(
+        F.from_json(info, "map<string, string>"), F.create_map().cast("map<string, string>")
     )
+    vectors = [f"from_json(_f['{v}'], 'array<string>') as {v}" for v in _VECTORS]
+    out = with_computed(rows, "_f", fields)
+    out = with_computed(out, "_v", F.struct(*map(F.expr, vectors)))
+    values, bad = _field_sql()
+    return out.selectExpr(
+        *rows.columns, *values, f"array_compact(array({', '.join(bad)})) as bad_fields"
+    )
+
+
+def with_variant(rows: DataFrame, info: str = "info") -> DataFrame:
+    return with_computed(rows, "_info", F.try_parse_json(info))
 
 
 def component(info: Column, field: str, index: int) -> Column:
