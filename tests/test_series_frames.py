@@ -55,6 +55,13 @@ def test_asof_equals_brute_force(spark, size):
         size,
     ).collect()
     assert len(got) == len(set(asked))
+    once = frames.frames_asof(
+        spark.createDataFrame(sorted(set(asked)), "run_id string, at_tick int"),
+        spark.createDataFrame(sorted(saved), "run_id string, frame_tick int"),
+        size,
+        unique=True,
+    ).collect()
+    assert sorted(once, key=str) == sorted(got, key=str)
     for r in got:
         before = [t for run, t in saved if run == r.run_id and t <= r.at_tick]
         assert r.frame_tick == max(before, default=None)

@@ -13,7 +13,6 @@ RUN_END = "run_end"
 UNKNOWN = "unknown"
 MALFORMED = "malformed"
 MESSAGE_TYPES = [RUN_START, TELEMETRY, RUN_END]
-MAX_BATCH_MESSAGES = 500
 BATCH_INTERVAL = "1 second"
 
 # --- runs and seasons ------------------------------------------------------

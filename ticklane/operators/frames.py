@@ -21,13 +21,16 @@ def frame_at(frames: DataFrame, at_tick: int) -> DataFrame:
     )
 
 
-def frames_asof(probes: DataFrame, frames: DataFrame, size: int = TICK_SLICE) -> DataFrame:
+def frames_asof(
+    probes: DataFrame, frames: DataFrame, size: int = TICK_SLICE, unique: bool = False
+) -> DataFrame:
     """(run_id, at_tick, frame_tick): the last frame at or before each probed tick.
 
     frame_tick is null when the run has no frame that early. The answer depends on
-    (run_id, at_tick) alone, so each distinct probe gets one row. Probes and frames
-    are lined up in windows over (run, tick slice); a slice starts with the last
-    frame of the slices before it.
+    (run_id, at_tick) alone, so each distinct probe gets one row. ``unique`` says that
+    neither probes nor frames repeat, which saves a shuffle. Probes and frames are
+    lined up in windows over (run, tick slice); a slice starts with the last frame of
+    the slices before it.
     """
     rows = (
         probes.select("run_id", F.col("at_tick").alias("tick"), F.lit(1).alias("is_probe"))
@@ -50,7 +53,7 @@ def frames_asof(probes: DataFrame, frames: DataFrame, size: int = TICK_SLICE) ->
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        rows.distinct()
+        (rows if unique else rows.distinct())
         .union(carried)
         .withColumn("frame_tick", F.max(frame).over(in_order))
         .filter("is_probe = 1")

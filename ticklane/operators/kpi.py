@@ -84,11 +84,11 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
     """One row per (run, tick slice): totals, events inside it, its end states.
 
     Lap times need a list, but collecting lists over raw ticks would turn the
-    aggregate into an object one. A running lap number splits each slice into
-    laps first, so that each group has one lap time and plain numbers suffice.
+    aggregate into an object one. The ticks that finish a lap are few and are made
+    groups of their own first, next to one group of all others, so that each group
+    has at most one lap time and plain numbers suffice.
     """
     by_tick = "(partition by run_id, slice order by tick)"
-    so_far = by_tick[:-1] + " rows between unbounded preceding and current row)"
     # The first tick of a slice has no previous one here: its conditions are
     # null, count for nothing, and are settled when slices are put in a row.
     lap_done = "lap_count > prev_laps and last_lap_time > 0D and not isnan(last_lap_time)"
@@ -102,18 +102,19 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
             f"lag(off) over {by_tick} as prev_off",
             f"lag(lap_count) over {by_tick} as prev_laps",
         )
-        .selectExpr("*", f"coalesce({lap_done}, false) as lap_done")
-        .selectExpr("*", f"sum(int(lap_done)) over {so_far} as lap_no")
+        .selectExpr("*", f"if({lap_done}, tick, null) as lap_tick")
     )
     first = ["hit_on", "off", "lap_count", "last_lap_time"]
     last = ["hit_on", "off", "lap_count"]
-    laps = ticks.groupBy("run_id", "slice", "lap_no").agg(
+    laps = ticks.groupBy("run_id", "slice", "lap_tick").agg(
         *_all(
             _OF_TICKS,
             [
                 "count_if(hit_on and not prev_hit) as collisions",
                 "count_if(off and not prev_off) as offtrack_events",
-                "max(if(lap_done, last_lap_time, null)) as lap_time",
+                "max(if(lap_tick is not null, last_lap_time, null)) as lap_time",
+                "min(tick) as first_tick",
+                "max(tick) as last_tick",
             ],
             [f"min_by({s}, tick) as first_{s}" for s in first],
             [f"max_by({s}, tick) as last_{s}" for s in last],
@@ -124,11 +125,11 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
             _OF_TOTALS,
             _OF_EVENTS,
             [
-                "sort_array(collect_list(if(lap_time is not null, "
-                "struct(lap_no, lap_time), null))) as lap_list"
+                "sort_array(collect_list(if(lap_tick is not null, "
+                "struct(lap_tick, lap_time), null))) as lap_list"
             ],
-            [f"min_by(first_{s}, lap_no) as first_{s}" for s in first],
-            [f"max_by(last_{s}, lap_no) as last_{s}" for s in last],
+            [f"min_by(first_{s}, first_tick) as first_{s}" for s in first],
+            [f"max_by(last_{s}, last_tick) as last_{s}" for s in last],
         )
     )
 

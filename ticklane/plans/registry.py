@@ -305,7 +305,8 @@ def frame_floor(spark, sf_dir):
 @query
 def frame_asof(spark, sf_dir):
     probes = derive.telemetry(spark, sf_dir).select("run_id", F.col("tick").alias("at_tick"))
-    return frames.frames_asof(probes, derive.frames(spark, sf_dir))
+    # (run_id, tick) is the key of both tables.
+    return frames.frames_asof(probes, derive.frames(spark, sf_dir), unique=True)
 
 
 @query

@@ -12,14 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ticks are 32-bit, so a run has at most 2**32 / TICK_SLICE = 262,144 slices.
+# Ticks are 32-bit, so a run has at most 2**32 / TICK_SLICE, about 262,000 slices.
 TICK_SLICE = 16_384
 OFFSET_SLICE = 262_144
 
 
 def slice_of(column: str, size: int) -> Column:
-    """Number of the fixed-size range that an integer column falls in."""
-    return F.floor(F.col(column) / F.lit(size))
+    """Number of the fixed-size range that an integer column falls in.
+
+    Whole-number division rounds towards zero, so the range at zero is twice as wide
+    when there are negative values; ranges keep their order all the same.
+    """
+    return F.expr(f"{column} div {size}")
 
 
 def spread_join(

@@ -7,6 +7,7 @@ current state of a run is the version of its highest batch.
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ticklane import schemas
 from ticklane.operators import series
@@ -56,7 +57,7 @@ def before(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFra
 def replace_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
     parts, ddl = TABLES[table]
     names = [p.split(" ")[0] for p in parts]
-    columns = [f.name for f in rows.sparkSession.createDataFrame([], ddl).schema]
+    columns = StructType.fromDDL(ddl).fieldNames()
     writer = rows.select(*columns, *names).write.mode("overwrite")
     writer.partitionBy(*names).parquet(_path(root, table, batch_id))
 
