@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ticklane import schemas
 from ticklane.operators import decode
-from ticklane.plans.spread import running_totals
+from ticklane.plans.spread import TICK_SLICE, running_totals, slice_of, spread_join
 from ticklane.sources.shared import stored
 
 EVENT_SLICE = 262_144
@@ -216,7 +216,7 @@ def _make_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = telemetry(spark, sf_dir)
     last = ticks.groupBy("run_id").agg(F.max("tick").alias("last_tick"))
     # Ends of runs are found from the last tick; the rest needs no join.
-    ends = ticks.join(last, "run_id").filter(
+    ends = spread_join(ticks, last, "run_id", slice_of("tick", TICK_SLICE)).filter(
         (F.col("tick") == F.col("last_tick") - 3) | (F.col("tick") == F.col("last_tick") - 1)
     )
     n, o, tick = run_number(), F.col("arrival"), F.col("tick")

@@ -7,7 +7,7 @@ after a failure gives the same result, and a restart goes on from the checkpoint
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -25,9 +25,17 @@ def _stored_runs(spark: SparkSession, root: str, batch_id: int, wanted: DataFram
     return tables.latest_runs(versions.join(wanted, "run_id", "left_semi"))
 
 
-def _dates(runs: DataFrame) -> list:
-    """Start dates of the runs in a batch: a few calendar days."""
-    return [r[0] for r in runs.select("run_date").distinct().collect()]
+def _in_partitions_of(runs: DataFrame) -> Column:
+    """Condition for the telemetry partitions that hold these runs.
+
+    Few values come to the driver: calendar days, with at most RUN_BUCKETS each.
+    """
+    places = runs.groupBy("run_date").agg(F.collect_set(tables.run_bucket()).alias("buckets"))
+    found = F.lit(False)
+    for place in places.collect():
+        on_day = F.col("run_date") == F.lit(place["run_date"])
+        found = found | (on_day & F.col("run_bucket").isin(sorted(place["buckets"])))
+    return found
 
 
 def ingest_batch(
@@ -62,11 +70,9 @@ def _store(
     )
     runs = stored.unionByName(started, allowMissingColumns=True).persist()
     try:
-        dates = _dates(runs)
-        tables.replace_batch(
-            _new_ticks(spark, good, runs, dates, batch_id, root), root, "telemetry", batch_id
-        )
-        versions = _new_versions(spark, good, runs, started, dates, batch_id, root)
+        ticks = _new_ticks(spark, good, runs, batch_id, root)
+        tables.replace_batch(ticks, root, "telemetry", batch_id)
+        versions = _new_versions(spark, good, runs, started, batch_id, root)
         tables.replace_batch(versions, root, "runs", batch_id)
         tables.replace_batch(
             replay.quarantine(good, decode.rejected(messages), runs, seasons),
@@ -80,23 +86,22 @@ def _store(
 
 
 def _new_ticks(
-    spark: SparkSession,
-    good: DataFrame,
-    runs: DataFrame,
-    dates: list,
-    batch_id: int,
-    root: str,
+    spark: SparkSession, good: DataFrame, runs: DataFrame, batch_id: int, root: str
 ) -> DataFrame:
     """Ticks of known runs that no earlier batch has stored."""
     arrived = replay.kept_telemetry(good, runs)
     have = (
         tables.before(spark, root, "telemetry", batch_id)
-        .filter(F.col("run_date").isin(dates))
+        .filter(_in_partitions_of(runs))
         .select("run_id", "tick")
     )
     fresh = arrived.join(have, ["run_id", "tick"], "left_anti")
-    run_dates = runs.select("run_id", "run_date")
-    return spread_join(fresh, run_dates, "run_id", slice_of("tick", TICK_SLICE))
+    by_slice = slice_of("tick", TICK_SLICE)
+    placed = spread_join(fresh, runs.select("run_id", "run_date"), "run_id", by_slice)
+    # One task per partition and tick slice, so that few files are written.
+    return placed.withColumn("run_bucket", tables.run_bucket()).repartition(
+        "run_date", "run_bucket", by_slice
+    )
 
 
 def _new_versions(
@@ -104,7 +109,6 @@ def _new_versions(
     good: DataFrame,
     runs: DataFrame,
     started: DataFrame,
-    dates: list,
     batch_id: int,
     root: str,
 ) -> DataFrame:
@@ -116,10 +120,11 @@ def _new_versions(
         F.col("close_offset").alias("end_offset"),
         "last_end_offset",
     )
+    ended = _in_partitions_of(runs.join(ends.select("run_id"), "run_id", "left_semi"))
     so_far = (
         tables.read(spark, root, "telemetry")
-        .filter((F.col("batch_id") <= batch_id) & F.col("run_date").isin(dates))
-        .drop("batch_id", "run_date")
+        .filter((F.col("batch_id") <= batch_id) & ended)
+        .drop("batch_id", "run_date", "run_bucket")
     )
     summary = replay.summaries(so_far, ends).select(
         "run_id", F.struct(*schemas.KPI_FIELDS).alias("new_summary")

@@ -5,7 +5,7 @@ directory, so nothing is stored twice. Rows of earlier batches never change; the
 current state of a run is the version of its highest batch.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,8 +17,12 @@ _SUMMARY = f"struct<{', '.join(f.replace(' ', ':') for f in schemas.KPI.split(',
 
 # Partition columns inside the batch directory, then the DDL of the files.
 TABLES = {
-    # The start date of its run places a tick, so all copies of it share a partition.
-    "telemetry": (["run_date date"], f"{schemas.TELEMETRY}, log_offset bigint"),
+    # Start date and bucket of its run place a tick: all copies of a tick share a
+    # partition, and a batch looks only at the partitions of its own runs.
+    "telemetry": (
+        ["run_date date", "run_bucket int"],
+        f"{schemas.TELEMETRY}, log_offset bigint",
+    ),
     "runs": (
         [],
         "run_id string, season_id string, driver string, status string, started_at timestamp, "
@@ -29,6 +33,12 @@ TABLES = {
     "counts": ([], "kind string, messages bigint"),
 }
 _NO_BATCH = -1
+_FIRST = {"date": "1970-01-01", "int": "0"}
+RUN_BUCKETS = 32
+
+
+def run_bucket() -> Column:
+    return F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).cast("int").alias("run_bucket")
 
 
 def _path(root: str, table: str, batch_id: int) -> str:
@@ -38,7 +48,7 @@ def _path(root: str, table: str, batch_id: int) -> str:
 def create(spark: SparkSession, root: str) -> None:
     """Empty tables, where there are none yet."""
     for table, (parts, ddl) in TABLES.items():
-        inner = "".join(f"/{p.split(' ')[0]}=1970-01-01" for p in parts)
+        inner = "".join(f"/{p.split(' ')[0]}={_FIRST[p.split(' ')[1]]}" for p in parts)
         spark.createDataFrame([], ddl).coalesce(1).write.mode("ignore").parquet(
             _path(root, table, _NO_BATCH) + inner
         )
@@ -80,7 +90,7 @@ def current_runs(spark: SparkSession, root: str) -> DataFrame:
 
 def current_telemetry(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "telemetry").select(
-        "run_id", *schemas.TELEMETRY_COLUMNS, "log_offset", "run_date"
+        "run_id", *schemas.TELEMETRY_COLUMNS, "log_offset", "run_date", "run_bucket"
     )
 
 
