@@ -34,7 +34,7 @@ TABLES = {
 }
 _NO_BATCH = -1
 _FIRST = {"date": "1970-01-01", "int": "0"}
-RUN_BUCKETS = 32
+RUN_BUCKETS = 8
 
 
 def run_bucket() -> Column:
