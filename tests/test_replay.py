@@ -223,3 +223,33 @@ def test_summary_uses_the_placement_of_its_join(spark):
         assert after.count("Exchange hash") == before + 1  # only slices, by run
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_messages_are_never_shuffled_by_run_alone(spark, tmp_path):
+    """Raw messages move by (run, slice) and by (run, tick); only reduced rows by run."""
+    log = [
+        message(1, "run_start", "a"),
+        message(2, "telemetry", "a", tick=0),
+        message(3, "run_end", "a"),
+    ]
+    frame(spark, log).write.parquet(str(tmp_path / "m"))
+    messages = spark.read.parquet(str(tmp_path / "m"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        starts = replay.run_starts(messages)
+        for result in (
+            replay.kept_telemetry(messages, starts),
+            replay.orphan_telemetry(messages, starts).select("log_offset"),
+            replay.run_ends(messages, starts),
+        ):
+            lines = result._jdf.queryExecution().executedPlan().toString().splitlines()
+            for i, line in enumerate(lines):
+                if "Exchange hashpartitioning(run_id" not in line:
+                    continue
+                keys = line.split("hashpartitioning(")[1].split("), ENSURE")[0].split(", ")[:-1]
+                if len(keys) == 1:
+                    below = " ".join(lines[i + 1 : i + 3])
+                    assert "Aggregate" in below, line
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
