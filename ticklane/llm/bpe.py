@@ -10,21 +10,24 @@ white space dropped, and gives the ids of the tokenizers library for such a file
 """
 
 import hashlib
-import heapq
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from ticklane.llm.tables import texts
 
-#: White space of the normaliser.
+#: Words of the tokenizer: contractions, letters, single digits, other runs.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = re.compile(f"[^{_SPACE}]+")
-_KEPT = 200_000
+_WORD = regex.compile(rf"\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: Words whose encoding is kept by a task.
+_KEPT = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -35,102 +38,102 @@ def byte_symbols() -> list[str]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder and decoder of one vocabulary file.
+
+    Inside, a symbol is one character: the byte's value, or 256 more for the last byte of a
+    word. So the word end needs no suffix, and a fragment from any place in a word can be
+    merged on its own. Merging itself is the tokenizers library's.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        self.byte = {ord(c): b for b, c in enumerate(byte_symbols())}
+        vocab = {self.inner(token): i for token, i in model["vocab"].items() if not self.special_like(token, spec)}
+        merges = [(self.inner(a), self.inner(b)) for a, b in model["merges"]]
+        self.merger = Tokenizer(BPE(vocab, merges))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE))
-        self.symbols = byte_symbols()
+        self.tokens = {i: t for t, i in (model["vocab"] | self.special).items()}
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokens) + 1)]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.joined = {pair for token in self.ids for pair in self._pairs(token)}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-
-    def _split(self, token: str) -> list[str]:
-        return [*token[: -len(self.end) - 1], token[-len(self.end) - 1 :]] if token.endswith(self.end) and len(token) > len(self.end) else list(token)
-
-    def _pairs(self, token: str):
-        symbols = self._split(token)
-        return zip(symbols, symbols[1:])
-
-    def boundaries(self, symbols: list[str]) -> list[list[str]]:
+        self.joined = {token[i : i + 2] for token in vocab for i in range(len(token) - 1)}
+        self.fragments: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
+
+    @staticmethod
+    def special_like(token: str, spec: dict) -> bool:
+        return any(token == t["content"] for t in spec["added_tokens"])
+
+    def inner(self, token: str) -> str:
+        """A vocabulary entry in one character a symbol."""
+        ends = token.endswith(self.end) and token != self.end
+        chars = [chr(self.byte[ord(c)]) for c in (token[: -len(self.end)] if ends else token)]
+        return "".join(chars[:-1]) + chr(ord(chars[-1]) + 256) if ends else "".join(chars)
+
+    def boundaries(self, word: str) -> list[str]:
         """The symbols of a word, cut where no token holds both neighbours side by side."""
-        parts, start = [], 0
-        for i in range(1, len(symbols)):
-            if (symbols[i - 1], symbols[i]) not in self.joined:
-                parts.append(symbols[start:i])
-                start = i
-        return [*parts, symbols[start:]] if symbols else []
-
-    def merge(self, symbols: list[str]) -> list[int]:
-        """Ids of one fragment: the lowest-ranked pair first, the leftmost of equals."""
-        part, left, right = list(symbols), list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        heap = [(r, i) for i in range(len(part) - 1) if (r := self.ranks.get((part[i], part[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = right[i] if part[i] else len(part)
-            if j >= len(part) or self.ranks.get((part[i], part[j])) != rank:
-                continue
-            part[i], part[j], right[i] = part[i] + part[j], "", right[j]
-            if right[i] < len(part):
-                left[right[i]] = i
-            for k in (left[i], i):
-                if k >= 0 and right[k] < len(part) and (r := self.ranks.get((part[k], part[right[k]]))) is not None:
-                    heapq.heappush(heap, (r, k))
-        return [self.ids[p] for p in part if p]
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Packed ids and decoded text of a run without white space."""
-        if len(self.chunks) >= _KEPT:
-            self.chunks.clear()
-        text = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        ids: list[int] = []
-        for word in self.word.findall(text):
-            symbols = [self.symbols[b] for b in word.encode("utf-8")]
-            symbols[-1] += self.end
-            for part in self.boundaries(symbols):
-                key = tuple(part)
-                if key not in self.fragments:
-                    if len(self.fragments) >= _KEPT:
-                        self.fragments.clear()
-                    self.fragments[key] = self.merge(part)
-                ids += self.fragments[key]
-        found = b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.tokens[i] for i in ids)
-        if len(chunk) <= 64:
-            self.chunks[chunk] = found
-        return found
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the text that they decode to."""
-        ids, words = [], []
-        pieces = self.cut.split(text) if self.cut and "<" in text else [text]
-        for piece in pieces:
-            if piece in self.special:
-                ids.append(self.special[piece].to_bytes(4, "little"))
-                words.append(piece)
-                continue
-            for chunk in _CHUNK.findall(piece):
-                a, b = self.chunks.get(chunk) or self._chunk(chunk)
-                ids.append(a)
-                if b:
-                    words.append(b)
-        return b"".join(ids), " ".join(words)
+        joined = self.joined
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes words that have not been seen: all their new fragments in one call."""
+        parts = {}
+        for w in words:
+            inner = w.encode("utf-8").decode("latin-1")
+            parts[w] = self.boundaries(inner[:-1] + chr(ord(inner[-1]) + 256))
+        new = list({p for own in parts.values() for p in own if p not in self.fragments})
+        if new:
+            merged = self.merger.encode(new, is_pretokenized=True, add_special_tokens=False)
+            for p in new:
+                self.fragments[p] = []
+            for at, i in zip(merged.word_ids, merged.ids):
+                self.fragments[new[at]].append(i)
+        for w, own in parts.items():
+            ids = [i for p in own for i in self.fragments[p]] if len(own) > 1 else self.fragments[own[0]]
+            self.ids[w] = b"".join(map(self.packed.__getitem__, ids))
+            self.texts[w] = " ".join(map(self.tokens.__getitem__, ids))
+
+    def words(self, text: str) -> list[str]:
+        """Words of a text, special tokens standing for themselves."""
+        if "<" in text and self.cut.search(text):
+            return [w for piece in self.cut.split(text) for w in ([piece] if piece in self.special else self.words(piece))]
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        return _WORD.findall(text.lower())
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Per text its ids as little-endian 32-bit integers, and what they decode to."""
+        if len(self.ids) >= _KEPT:
+            for kept in (self.ids, self.texts, self.fragments):
+                kept.clear()
+        for content, i in self.special.items():
+            self.ids[content], self.texts[content] = i.to_bytes(4, "little"), content
+        found = [self.words(t) for t in texts]
+        self.learn({w for own in found for w in own if w not in self.ids})
+        return [(b"".join(map(self.ids.__getitem__, own)), " ".join(map(self.texts.__getitem__, own))) for own in found]
+
+
+@lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    """The codec of a file; one per Python worker, which tasks use in turn."""
+    return Codec(path)
+
+
+def _batches(frame: pd.DataFrame):
+    """Parts of a frame with about 100,000 characters of text each, so that few words are held."""
+    part = (frame.text.str.len().cumsum() // 100_000).to_numpy()
+    return (rows for _, rows in frame.groupby(part, sort=True))
 
 
 def _encoded(frames, path: str):
-    codec = Codec(path)
+    own = codec(path)
     for frame in frames:
-        for start in range(0, len(frame), 64):  # few ids are held at a time
-            part = frame.iloc[start : start + 64]
-            found = [codec.encode(t) for t in part.text]
+        for part in _batches(frame):
+            found = own.encode(list(part.text))
             yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "ids": [a for a, _ in found], "decoded": [b for _, b in found]})
 
 
@@ -145,12 +148,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _digested(frames, path: str):
-    codec = Codec(path)
+    own = codec(path)
     for frame in frames:
-        found = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b.encode("utf-8")).hexdigest()) for a, b in map(codec.encode, frame.text)]
-        out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        out.insert(0, "doc_id", frame.doc_id.astype("Int64").to_numpy())
-        yield out
+        for part in _batches(frame):
+            found = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b.encode("utf-8")).hexdigest()) for a, b in own.encode(list(part.text))]
+            out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out.insert(0, "doc_id", part.doc_id.astype("Int64").array)
+            yield out
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
