@@ -24,8 +24,8 @@ from tokenizers.models import BPE
 from ticklane.llm.tables import texts
 
 #: Words of the tokenizer: contractions, letters, single digits, other runs.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_WORD = regex.compile(rf"\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WORD = regex.compile(rf"\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Words whose encoding is kept by a task.
 _KEPT = 400_000
 

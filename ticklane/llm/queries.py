@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklane.llm import bpe, contamination, near_join, pii, toxicity
+from ticklane.llm import bpe, contamination, html_text, line_crf, near_join, pii, rules, suffix_dedup, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -13,10 +13,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learned from rows outside the held-out fifth only."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = rules.score(docs, rules.train(docs, labels.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -42,7 +68,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_codec, op7_toxicity, op8_decontamination, op9_pii, op10_ngram_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_crf, op2_suffix_dedup, op3_rule_ensemble, op4_html_text, op5_bpe_codec,
+        op6_token_counts, op7_toxicity, op8_decontamination, op9_pii, op10_ngram_join,
+    )
+}
 
 #: Words and shingles of texts. An item with fewer than five words is one shingle.
 _SHINGLES = r"""
