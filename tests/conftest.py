@@ -28,16 +28,11 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-DEFAULTS = {
-    "hit": "none",
-    "lap_count": 0,
-    "terminated": False,
-    "speed": 1.0,
-}
+DEFAULTS = {"hit": "none", "lap_count": 0, "terminated": False, "speed": 7.25}
 
 
 def tick_row(run_id, tick, **values):
-    row = {"run_id": run_id, "tick": tick, "ts": tick * 0.1}
+    row = {"run_id": run_id, "tick": tick, "ts": tick * 0.05}
     for name, kind in ((n, k) for n, k in _fields() if n not in row):
         row[name] = values.get(name, DEFAULTS.get(name, 0.0 if kind == "double" else 0))
     row.update(values)

@@ -27,9 +27,6 @@ def runs(spark):
     )
 
 
-RUN_COLUMNS = ["id", "season_id", "driver", "status", "started_at", "ended_at"]
-
-
 def ids(df, name="id"):
     return sorted(r[name] for r in df.collect())
 
@@ -39,26 +36,38 @@ def test_driver_filter_asks_the_runs(seasons, runs):
     assert ids(catalog.seasons_with_driver(seasons, runs, "random")) == ["s1", "s2"]
 
 
-def test_detail_nests_runs_newest_first(seasons, runs):
-    rows = {r.id: r for r in catalog.season_detail(seasons, runs, RUN_COLUMNS).collect()}
-    assert [r.id for r in rows["s1"].runs] == ["r2", "r3", "r1"]
-    assert list(rows["s1"].runs[0].asDict()) == RUN_COLUMNS
-    assert rows["s3"].runs == [] and (rows["s3"].part, rows["s3"].parts) == (0, 1)
-    assert set(rows) == {"s1", "s2", "s3"}
+def listed(detail):
+    out = {}
+    for r in sorted(detail.collect(), key=lambda r: (r.id, r.position or 0)):
+        out.setdefault(r.id, []).append((r.position, r.run_id))
+    return out
+
+
+def test_detail_lists_runs_newest_first(seasons, runs):
+    assert listed(catalog.season_detail(seasons, runs)) == {
+        "s1": [(0, "r2"), (1, "r3"), (2, "r1")], "s2": [(0, "r4")], "s3": [(None, None)],
+    }
 
 
-def test_detail_of_a_large_season_comes_in_parts(spark, seasons, runs):
-    many = spark.range(500).selectExpr(
-        "concat('x', id) as id", "'s2' as season_id", "'rl' as driver", "'running' as status",
-        "timestamp_seconds(id) as started_at", "cast(null as timestamp) as ended_at",
+def test_detail_of_a_hot_season_has_the_same_shape_and_order(spark, seasons):
+    many = spark.range(3000).selectExpr(
+        "concat('x', lpad(id, 4, '0')) as id", "'s2' as season_id", "'rl' as driver", "'running' as status",
+        "if(id % 100 = 7, null, timestamp_seconds(id % 50 * 700)) as started_at",
+        "cast(null as timestamp) as ended_at",
     )
-    rows = catalog.season_detail(seasons, many, RUN_COLUMNS, 50).filter("id = 's2'").collect()
-    assert {r.parts for r in rows} == {10} and len(rows) == 10
-    nested = [r.id for row in rows for r in row.runs]
-    assert len(nested) == 500 == len(set(nested))
-    for row in rows:
-        times = [r.started_at for r in row.runs]
-        assert times == sorted(times, reverse=True) and len(times) < 100
+    found = listed(catalog.season_detail(seasons, many))
+    known = {r.id: r.started_at for r in many.collect()}
+    newest = sorted(known, key=lambda i: (known[i] is not None, known[i], i) if known[i] else (False, T0, i), reverse=True)
+    assert found["s2"] == list(enumerate(newest))
+    one = catalog.season_with_runs(seasons, many, "s2").first()
+    assert [r.id for r in one.runs] == newest
+    assert catalog.season_with_runs(seasons, many, "s3").first().runs == []
+
+
+def test_newest_run_needs_no_sorted_aggregate(runs):
+    found = catalog.newest_runs(runs)
+    assert sorted((r.season_id, r.id) for r in found.collect()) == [("gone", "r9"), ("s1", "r2"), ("s2", "r4")]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_single_requests(seasons, runs, make_ticks):

@@ -119,3 +119,14 @@ def test_backfill(spark):
     assert decode.backfill_driver(old).first().driver == "random"
     some = spark.createDataFrame([("a", None), ("b", "rl")], "id string, driver string")
     assert sorted(r.driver for r in decode.backfill_driver(some).collect()) == ["random", "rl"]
+
+
+def test_ids_in_braces_and_urns(spark):
+    forms = [
+        "{01234567-89AB-cdef-0123-456789abcdef}", "urn:uuid:01234567-89ab-cdef-0123-456789abcdef",
+        "0123456789abcdef0123456789abcdef", "0123-456789abcdef-0123456789abcdef", "0123456789abcdef0123456789abcde",
+        "0123456789abcdef0123456789abcdeg",
+    ]
+    rows = spark.createDataFrame([(f,) for f in forms], "raw string")
+    found = [r[0] for r in rows.selectExpr(decode.canonical_id("raw")).collect()]
+    assert found == ["01234567-89ab-cdef-0123-456789abcdef"] * 4 + [None, None]

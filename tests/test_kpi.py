@@ -1,7 +1,9 @@
+import itertools
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import exchanges, plan_text
 from ticklane import schemas
@@ -11,24 +13,24 @@ SIZES = [1, 2, 3, 16_384]
 
 CASES = {
     # name: (ticks, expected fields)
-    "pct_in_lane": (
-        [{"cte": 0.1}, {"cte": -0.4}, {"cte": 0.49}, {"cte": -0.6}],
-        {"ticks": 4, "pct_in_lane": 75.0},
+    "three_of_eight_in_lane": (
+        [{"cte": v} for v in (0.0, 0.7, -0.25, 0.5, -0.5, 3.0, 0.3, -0.9)],
+        {"ticks": 8, "pct_in_lane": 37.5},
     ),
-    "collision_streaks": (
-        [{"hit": h} for h in ("none", "pole", "pole", "pole", "none", "cone")],
+    "long_and_short_hits": (
+        [{"hit": h} for h in ("cone", "cone", "none", "none", "wall", "pole", "wall", "none")],
         {"collisions": 2},
     ),
-    "offtrack_crossings": (
-        [{"cte": v} for v in (0.2, 1.5, 1.6, 0.3, 1.1)],
-        {"offtrack_events": 2},
+    "off_on_both_sides": (
+        [{"cte": v} for v in (-2.5, -0.9, 2.25, -2.25, 0.0, 0.99, -1.01)],
+        {"offtrack_events": 3},
     ),
-    "lap_times": (
+    "laps_with_times": (
         [
             {"lap_count": n, "last_lap_time": t}
-            for n, t in ((0, 0.0), (1, 12.34), (1, 12.34), (2, 11.10))
+            for n, t in ((1, 41.06), (1, 41.06), (2, 38.64), (3, 0.0), (5, 36.98))
         ],
-        {"laps": 2, "lap_times": [12.3, 11.1]},
+        {"laps": 5, "lap_times": [41.1, 38.6, 37.0]},
     ),
     "hit_at_first_tick_then_other": ([{"hit": "pole"}, {"hit": "cone"}], {"collisions": 1}),
     "borders": (
@@ -85,27 +87,26 @@ def test_run_without_ticks(spark, make_ticks):
     assert rows["one"]["ticks"] == 1
 
 
+def _streaks(flags):
+    """Number of runs of true values."""
+    return sum(on for on, _ in itertools.groupby(flags))
+
+
 def _plain_report(ticks):
-    """The same report by a loop over one run's ticks."""
-    collisions = offtrack = 0
-    laps, hit_before, off_before, laps_before = [], False, False, 0
-    for t in ticks:
-        hit, off = t["hit"] != "none", abs(t["cte"]) >= 1.0
-        collisions += hit and not hit_before
-        offtrack += off and not off_before
-        if t["lap_count"] > laps_before and t["last_lap_time"] > 0:
-            laps.append(round(t["last_lap_time"], 1))
-        hit_before, off_before, laps_before = hit, off, t["lap_count"]
-    n = len(ticks)
+    """The same report from streaks and pairs of one run's ticks."""
+    column = lambda name: [t[name] for t in ticks]
+    deviation = [abs(v) for v in column("cte")]
+    counts = column("lap_count")
+    finished = [t for n, m, t in zip([0, *counts], counts, column("last_lap_time")) if m > n and t > 0]
     return {
-        "ticks": n,
-        "laps": max(t["lap_count"] for t in ticks),
-        "lap_times": laps,
-        "max_abs_cte": round(max(abs(t["cte"]) for t in ticks), 3),
-        "max_speed": round(max(t["speed"] for t in ticks), 3),
-        "pct_in_lane": round(100.0 * sum(abs(t["cte"]) < 0.5 for t in ticks) / n, 1),
-        "collisions": collisions,
-        "offtrack_events": offtrack,
+        "ticks": len(ticks),
+        "laps": max(counts),
+        "lap_times": [round(t, 1) for t in finished],
+        "max_abs_cte": round(max(deviation), 3),
+        "max_speed": round(max(column("speed")), 3),
+        "pct_in_lane": round(100.0 * sum(v < 0.5 for v in deviation) / len(ticks), 1),
+        "collisions": _streaks(h != "none" for h in column("hit")),
+        "offtrack_events": _streaks(v >= 1.0 for v in deviation),
     }
 
 
@@ -143,6 +144,22 @@ def test_parts_agree_with_report(make_ticks):
         assert all(row[name] == full[row.run_id][name] for name in row.asDict())
 
 
+def test_lap_rows_equal_the_report(make_ticks):
+    rng = random.Random(9)
+    ticks = make_ticks({f"r{i}": _random_run(rng) for i in range(40)})
+    for size in (1, 4, 16_384):
+        listed = {}
+        for r in sorted(kpi.lap_rows(ticks, size).collect()):
+            assert r.lap_index == len(listed.setdefault(r.run_id, []))
+            listed[r.run_id].append(r.lap_time)
+        assert listed == {r.run_id: r.lap_times for r in kpi.report(ticks).collect() if r.lap_times}
+
+
+def test_a_column_called_slice_is_the_callers(make_ticks):
+    ticks = make_ticks({"a": [{"hit": "pole"}, {"hit": "pole"}, {"hit": "pole"}]})
+    assert kpi.report(ticks.withColumn("slice", F.col("tick"))).first().collisions == 1
+
+
 def test_json_form(make_ticks):
     report = kpi.report(make_ticks({"a": [{"lap_count": 1, "last_lap_time": 2.0}]}))
     assert list(json.loads(kpi.as_json(report).first().summary)) == schemas.KPI_FIELDS

@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from ticklane.plans.oracle import ORACLE_SQL
+from ticklane.plans.registry import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -34,13 +36,14 @@ def _sorted(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    frame = entry.queries()[name](spark, SMALL)
-    found = duck.execute(entry.oracle_sql()[name])
+    frame = QUERIES[name](spark, SMALL)
+    found = duck.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
     assert sorted(frame.columns) == sorted(columns)
     assert _sorted(frame.columns, frame.collect()) == _sorted(columns, found.fetchall())

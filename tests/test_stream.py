@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_text
 from ticklane import schemas
 from ticklane.operators import decode, replay
 from ticklane.sources import logfiles, shared
@@ -73,19 +74,20 @@ def part(log, first, last):
 
 def take_in(spark, root):
     ingest.start(
-        logfiles.stream_log(spark, f"{root}/in"), f"{root}/t", f"{root}/cp", catch_up=True
+        logfiles.stream_log(spark, f"{root}/in"), f"{root}/t", f"{root}/cp", catch_up=True, buckets=4
     ).awaitTermination()
 
 
 def test_stream_with_restarts_equals_batch(spark, log, expected):
     root = shared.new_path(spark, "stream-test")
-    for first, last in ((0, 99), (100, 239)):
-        logfiles.write_log(part(log, first, last), f"{root}/in")
+    for parts in (((0, 60), (61, 99)), ((100, 239),)):
+        for first, last in parts:
+            logfiles.write_log(part(log, first, last), f"{root}/in")
         take_in(spark, root)
     assert stored_state(spark, f"{root}/t") == expected
 
     totals = {r.batch_id: r.total for r in tables.batch_totals(spark, f"{root}/t").collect()}
-    assert max(totals.values()) == 240
+    assert max(totals.values()) == 240 and len(totals) == 3
     bad = tables.read(spark, f"{root}/t", "quarantine").filter("reason = 'malformed'").count()
     assert bad == log.filter("value = '{broken'").count()
     # A restart without new messages stores nothing more.
@@ -100,7 +102,7 @@ def test_stream_with_restarts_equals_batch(spark, log, expected):
 def test_repeated_batches_change_nothing(spark, log, expected):
     """A batch that failed after its writes is run again; later ones follow."""
     root = shared.new_path(spark, "retry-test")
-    tables.create(spark, root)
+    tables.create(spark, root, 4)
     ingest.ingest_batch(part(log, 0, 119), 0, root)
     ingest.ingest_batch(part(log, 0, 119), 0, root)
     ingest.ingest_batch(part(log, 120, 239), 1, root)
@@ -110,7 +112,7 @@ def test_repeated_batches_change_nothing(spark, log, expected):
 
 def test_failure_between_writes_is_recovered(spark, log, expected, monkeypatch):
     root = shared.new_path(spark, "crash-test")
-    tables.create(spark, root)
+    tables.create(spark, root, 4)
     ingest.ingest_batch(part(log, 0, 119), 0, root)
     write = tables.replace_batch
 
@@ -125,3 +127,67 @@ def test_failure_between_writes_is_recovered(spark, log, expected, monkeypatch):
     monkeypatch.setattr(tables, "replace_batch", write)
     ingest.ingest_batch(part(log, 120, 239), 1, root)
     assert stored_state(spark, root) == expected
+
+
+def test_null_and_mixed_log_times(spark):
+    """The place of a run does not depend on its start time."""
+    one, two = run_uuid(1), run_uuid(2)
+    tick = {name: 0.5 for name in schemas.DOUBLE_COLUMNS} | {"hit": "none", "lap_count": 0, "terminated": False}
+    messages = [
+        ("run_start", one, {}), ("telemetry", one, tick | {"tick": 0}), ("telemetry", one, tick | {"tick": 1}),
+        ("run_start", two, {}), ("telemetry", two, tick | {"tick": 3}),
+        ("telemetry", one, tick | {"tick": 0, "speed": 99.0}), ("run_end", one, {}),
+        ("telemetry", two, tick | {"tick": 3, "speed": 99.0}), ("run_end", two, {}),
+    ]
+    rows = [
+        (i, None if r == one or i > 6 else 1_704_000_000 + 90_000 * i, SEASON, json.dumps({"type": k, "season_id": SEASON, "run_id": r} | m))
+        for i, (k, r, m) in enumerate(messages)
+    ]
+    log = spark.createDataFrame(rows, "log_offset bigint, at bigint, key string, value string")
+    log = log.select("log_offset", F.timestamp_seconds("at").alias("log_ts"), "key", "value")
+    batch = state(*replay.replay(decode.conforming(decode.decode(log))))
+    assert [t[1:] for t in batch[1]] == [(0, 0.5), (1, 0.5), (3, 0.5)]
+    root = shared.new_path(spark, "null-times")
+    tables.create(spark, root, 4)
+    ingest.ingest_batch(part(log, 0, 4), 0, root)
+    ingest.ingest_batch(part(log, 5, 9), 1, root)
+    assert stored_state(spark, root) == batch
+
+
+def test_compacted_tables_go_on(spark, log, expected):
+    root = shared.new_path(spark, "compact-test")
+    tables.create(spark, root, 4)
+    for i, (first, last) in enumerate(((0, 79), (80, 159))):
+        ingest.ingest_batch(part(log, first, last), i, root)
+    tables.compact(spark, root, f"{root}-new")
+    assert stored_state(spark, f"{root}-new") == stored_state(spark, root)
+    ingest.ingest_batch(part(log, 160, 239), 2, f"{root}-new")
+    assert stored_state(spark, f"{root}-new") == expected
+
+
+def test_reads_are_pruned_to_buckets(spark, log):
+    root = shared.new_path(spark, "prune-test")
+    tables.create(spark, root, 16)
+    ingest.ingest_batch(part(log, 0, 119), 0, root)
+    scan = next(x for x in plan_text(tables.live_series(spark, root, run_uuid(3), 10)).splitlines() if "FileScan" in x)
+    assert "PartitionFilters: [isnotnull(run_bucket" in scan
+    here = ingest._in_buckets_of(spark, root, spark.createDataFrame([(run_uuid(3),)], "run_id string"))
+    stored = tables.before(spark, root, "telemetry", 5).filter(here)
+    assert "run_bucket" in next(x for x in plan_text(stored).splitlines() if "FileScan" in x).split("PartitionFilters")[1]
+
+
+def test_a_quarantined_message_can_be_repaired_and_replayed(spark):
+    run = run_uuid(5)
+    good = {name: 0.5 for name in schemas.DOUBLE_COLUMNS} | {"hit": "none", "lap_count": 0, "terminated": False}
+    start = {"type": "run_start", "season_id": SEASON, "run_id": run}
+    tick = {"type": "telemetry", "season_id": SEASON, "run_id": run, "tick": 4} | good
+    rows = [(2, 0, SEASON, json.dumps(start)), (2, 1, SEASON, json.dumps(tick | {"tick": "x4"}))]
+    log = spark.createDataFrame(rows, "log_partition int, log_offset bigint, key string, value string")
+    log = log.withColumn("log_ts", F.lit(None).cast("timestamp"))
+    messages = decode.decode(log)
+    bad = replay.quarantine(decode.conforming(messages), decode.rejected(messages), replay.run_starts(decode.conforming(messages)))
+    (row,) = bad.collect()
+    assert (row.log_partition, row.log_offset, row.key, row.value) == (2, 1, SEASON, rows[1][3])
+    repaired = bad.withColumn("value", F.replace("value", F.lit('"x4"'), F.lit("4"))).select(log.columns)
+    _, ticks = replay.replay(decode.conforming(decode.decode(log.filter("log_offset = 0").union(repaired))))
+    assert [(r.run_id, r.tick) for r in ticks.collect()] == [(run, 4)]

@@ -1,14 +1,14 @@
 """Season and run queries."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane import constants as c
 from ticklane import schemas
 from ticklane.plans.spread import TICK_SLICE, slice_of, spread_join
 
-RUNS_PER_PART = 1_000
-RUN_SLICES = 1_024
+#: Place of runs without a start time, after all others.
+NO_START = -(2**62)
 
 
 def season_rows(seasons: DataFrame) -> DataFrame:
@@ -39,43 +39,52 @@ def seasons_with_driver(seasons: DataFrame, runs: DataFrame, driver: str) -> Dat
     return seasons.join(with_run, "id", "left_semi")
 
 
-def _newest_first(run_columns: list[str]) -> Column:
-    ordered = ["started_at", "id", *[n for n in run_columns if n not in ("started_at", "id")]]
-    entries = F.sort_array(F.collect_list(F.struct(*ordered)), asc=False)
-    return F.transform(entries, lambda r: F.struct(*[r[n].alias(n) for n in run_columns]))
+def _positions(runs: DataFrame) -> DataFrame:
+    """Runs with position, from 0 for the newest of their season; ties go to the higher id.
 
-
-def season_detail(
-    seasons: DataFrame,
-    runs: DataFrame,
-    run_columns: list[str],
-    runs_per_part: int = RUNS_PER_PART,
-) -> DataFrame:
-    """Seasons with an array of their runs, newest first, empty when none.
-
-    A season is one row (part 0 of 1) up to ``runs_per_part`` runs. A season with
-    more is split by a hash of the run id into parts of about that many runs each,
-    every run in one of them, so that no array has to hold a whole hot season.
+    Runs are placed by (season, hour of start), so that a hot season is no single window;
+    only the numbers of runs per hour are added up across a season.
     """
-    counts = runs.groupBy("season_id").agg(
-        F.ceil(F.count("*") / F.lit(runs_per_part)).alias("parts")
+    hour = F.coalesce(F.expr("unix_micros(started_at) div 3600000000"), F.lit(NO_START))
+    placed = runs.withColumn("_hour", hour)
+    later = Window.partitionBy("season_id").orderBy(F.desc("_hour")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    newer = (
+        placed.groupBy("season_id", "_hour")
+        .agg(F.count("*").alias("_n"))
+        .select("season_id", "_hour", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_newer"))
     )
-    placed = spread_join(
-        runs, counts, "season_id", F.pmod(F.xxhash64("id"), F.lit(RUN_SLICES))
-    ).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")))
-    nested = (
-        placed.groupBy("season_id", "part")
-        .agg(F.first("parts").alias("parts"), _newest_first(run_columns).alias("runs"))
-        .withColumnRenamed("season_id", "id")
+    within = Window.partitionBy("season_id", "_hour").orderBy(F.desc("started_at"), F.desc("id"))
+    counted = placed.withColumn("_rank", F.row_number().over(within) - 1)
+    return (
+        counted.join(newer, ["season_id", "_hour"])
+        .withColumn("position", F.col("_rank") + F.col("_newer"))
+        .drop("_hour", "_rank", "_newer")
     )
-    joined = seasons.join(nested, "id", "left")
-    kind = nested.schema["runs"].dataType.simpleString()
-    return joined.select(
-        *[F.col(n) for n in seasons.columns],
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-        F.coalesce("runs", F.array().cast(kind)).alias("runs"),
+
+
+def season_detail(seasons: DataFrame, runs: DataFrame) -> DataFrame:
+    """Seasons with their runs, one row per run, and one row for a season without any.
+
+    Columns: those of the season, position (0 for the newest run) and the run's as
+    run_<name>; position and run columns are null in a season without runs.
+    """
+    named = _positions(runs).select(
+        F.col("season_id").alias("id"),
+        "position",
+        *[F.col(n).alias(f"run_{n}") for n in runs.columns if n != "season_id"],
     )
+    return seasons.join(named, "id", "left")
+
+
+def season_with_runs(seasons: DataFrame, runs: DataFrame, season_id: str) -> DataFrame:
+    """One season as a request for it is answered: its runs nested, newest first."""
+    entry = F.struct("started_at", *[n for n in ("id", *runs.columns) if n != "started_at"])
+    own = runs.filter(F.col("season_id") == season_id).select(entry.alias("run"))
+    nested = own.agg(F.sort_array(F.collect_list("run"), asc=False).alias("runs"))
+    nested = nested.select(F.lit(season_id).alias("id"), "runs")
+    return season_by_id(seasons, season_id).join(nested, "id")
 
 
 def runs_of(runs: DataFrame, season_id: str) -> DataFrame:
@@ -87,10 +96,19 @@ def newest_first(runs: DataFrame) -> DataFrame:
 
 
 def newest_runs(runs: DataFrame) -> DataFrame:
-    """The newest run of each season, the one shown first. Ties go to the higher id."""
-    columns = [n for n in runs.columns if n != "season_id"]
-    newest = F.max_by(F.struct(*columns), F.struct("started_at", "id")).alias("run")
-    return runs.groupBy("season_id").agg(newest).select("season_id", "run.*")
+    """The newest run of each season, the one shown first. Ties go to the higher id.
+
+    The latest start is a hash aggregate over two narrow columns; only runs that started
+    then are looked at whole.
+    """
+    latest = runs.groupBy(F.col("season_id").alias("_season")).agg(F.max("started_at").alias("_latest"))
+    at_last = runs.join(
+        latest,
+        runs.season_id.eqNullSafe(F.col("_season")) & runs.started_at.eqNullSafe(F.col("_latest")),
+        "left_semi",
+    )
+    higher = Window.partitionBy("season_id").orderBy(F.desc("id"))
+    return at_last.withColumn("_rank", F.row_number().over(higher)).filter("_rank = 1").drop("_rank")
 
 
 def orphan_runs(runs: DataFrame, seasons: DataFrame) -> DataFrame:
@@ -175,12 +193,17 @@ def short_id(identifier: str) -> Column:
     return F.substring(identifier, 1, c.SHORT_ID_LENGTH)
 
 
+def _utc(timestamp: str, form: str) -> Column:
+    """A time as text in UTC, whatever the session's time zone."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col(timestamp).cast("timestamp_ntz")), form)
+
+
 def run_labels(runs: DataFrame) -> DataFrame:
     return runs.select(
         "id",
         short_id("id").alias("short_id"),
         F.concat_ws(
-            c.LABEL_SEPARATOR, "driver", "status", F.date_format("started_at", "HH:mm:ss")
+            c.LABEL_SEPARATOR, "driver", "status", _utc("started_at", "HH:mm:ss")
         ).alias("label"),
     )
 
@@ -190,6 +213,6 @@ def season_labels(seasons: DataFrame) -> DataFrame:
         "id",
         short_id("id").alias("short_id"),
         F.concat_ws(
-            c.LABEL_SEPARATOR, F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), "track_id"
+            c.LABEL_SEPARATOR, _utc("created_at", "yyyy-MM-dd HH:mm:ss"), "track_id"
         ).alias("label"),
     )

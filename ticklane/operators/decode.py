@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ticklane import constants as c
 from ticklane import schemas
 
-# Text forms of a UUID, with or without hyphens.
-UUID_PATTERN = "(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
+# What is left of a valid id without prefixes, braces and hyphens.
+_HEX = "^[0-9a-f]{32}$"
 
 _CORRUPT = "_corrupt"
 _NONE = "cast(array() as array<string>)"
@@ -21,13 +21,17 @@ _RAW = r"from_json(regexp_replace(value, r':\s*(NaN|-?Infinity)', ':0'), 'map<st
 
 
 def canonical_id(raw: str) -> str:
-    """SQL for the lower-case hyphenated form of a valid id, null for anything else."""
-    digits = f"replace(lower({raw}), '-', '')"
+    """SQL for the lower-case hyphenated form of a valid id, null for anything else.
+
+    Ids may come with urn:uuid: before them, in braces, and with hyphens anywhere.
+    """
+    bare = f"replace(replace({raw}, 'urn:', ''), 'uuid:', '')"
+    digits = f"replace(lower(trim(BOTH '{{}}' FROM {bare})), '-', '')"
     parts = ", ".join(
         f"substring({digits}, {start}, {size})"
         for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     )
-    return f"if({raw} rlike r'{UUID_PATTERN}', concat_ws('-', {parts}), null)"
+    return f"if({digits} rlike '{_HEX}', concat_ws('-', {parts}), null)"
 
 
 def _problems(name: str) -> list[tuple[str, str]]:
@@ -42,7 +46,7 @@ def _problems(name: str) -> list[tuple[str, str]]:
 def _reasons(required: list[str], defaulted: list[str], ids: list[str]) -> str:
     """SQL for the list of reasons of one kind of message. ``raw`` is the key map."""
     checks = [check for name in [*required, *defaulted] for check in _problems(name)]
-    checks += [(f"not {name} rlike r'{UUID_PATTERN}'", f"bad_id:{name}") for name in ids]
+    checks += [(f"{name} is not null and {canonical_id(name)} is null", f"bad_id:{name}") for name in ids]
 
     def nulls(names: list[str]) -> str:
         found = ", ".join(f"if({name} is null, '{name}', null)" for name in names)
@@ -64,9 +68,9 @@ def _reasons(required: list[str], defaulted: list[str], ids: list[str]) -> str:
 
 
 def decode(log: DataFrame) -> DataFrame:
-    """Log columns except value, then kind, the message fields and reasons.
+    """Log columns, then kind, the message fields and reasons.
 
-    kind is a message type, 'unknown' (counted and skipped) or 'malformed'.
+    The text stays as value, for quarantine; a stored table reads it only there. kind is a message type, 'unknown' (counted and skipped) or 'malformed'.
     """
     # A generator keeps the parse in one place: filters on its fields are not pushed
     # below it, where they would parse the text again.
@@ -90,7 +94,7 @@ def decode(log: DataFrame) -> DataFrame:
         log.select("*", F.inline(F.array(message)))
         .selectExpr("*", kinds)
         .selectExpr(
-            *[name for name in log.columns if name != "value"],
+            *log.columns,
             "kind",
             f"{canonical_id('season_id')} as season_id",
             f"{canonical_id('run_id')} as run_id",

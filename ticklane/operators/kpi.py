@@ -18,6 +18,9 @@ IN_LANE = f"abs(cte) < {IN_LANE_CTE}D"
 OFF_TRACK = f"abs(cte) >= {OFFTRACK_CTE}D and not isnan(cte)"
 COLLIDED = f"hit != '{NO_HIT}'"
 
+#: Telemetry columns that the report reads, besides run_id.
+COLUMNS = ["tick", "ts", "speed", "cte", "hit", "lap_count", "last_lap_time"]
+
 _SCORED = [
     "run_id",
     "tick",
@@ -80,7 +83,7 @@ def basics(telemetry: DataFrame) -> DataFrame:
     return totals.selectExpr("run_id", *_FROM_TOTALS)
 
 
-def _slices(telemetry: DataFrame, size: int) -> DataFrame:
+def _slices(telemetry: DataFrame, size: int, placed: bool) -> DataFrame:
     """One row per (run, tick slice): totals, events inside it, its end states.
 
     Lap times need a list, but collecting lists over raw ticks would turn the
@@ -88,14 +91,14 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
     groups of their own first, next to one group of all others, so that each group
     has at most one lap time and plain numbers suffice.
     """
-    by_tick = "(partition by run_id, slice order by tick)"
+    by_tick = "(partition by run_id, _slice order by tick)"
     # The first tick of a slice has no previous one here: its conditions are
     # null, count for nothing, and are settled when slices are put in a row.
     lap_done = "lap_count > prev_laps and last_lap_time > 0D and not isnan(last_lap_time)"
-    if "slice" not in telemetry.columns:
-        telemetry = telemetry.withColumn("slice", slice_of("tick", size))
+    if not placed:
+        telemetry = telemetry.withColumn("_slice", slice_of("tick", size))
     ticks = (
-        telemetry.selectExpr(*_SCORED, "slice")
+        telemetry.selectExpr(*_SCORED, "_slice")
         .selectExpr(
             "*",
             f"lag(hit_on) over {by_tick} as prev_hit",
@@ -106,7 +109,7 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
     )
     first = ["hit_on", "off", "lap_count", "last_lap_time"]
     last = ["hit_on", "off", "lap_count"]
-    laps = ticks.groupBy("run_id", "slice", "lap_tick").agg(
+    laps = ticks.groupBy("run_id", "_slice", "lap_tick").agg(
         *_all(
             _OF_TICKS,
             [
@@ -120,7 +123,7 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
             [f"max_by({s}, tick) as last_{s}" for s in last],
         )
     )
-    return laps.groupBy("run_id", "slice").agg(
+    return laps.groupBy("run_id", "_slice").agg(
         *_all(
             _OF_TOTALS,
             _OF_EVENTS,
@@ -134,9 +137,9 @@ def _slices(telemetry: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _joined_slices(telemetry: DataFrame, size: int) -> DataFrame:
+def _joined_slices(telemetry: DataFrame, size: int, placed: bool = False) -> DataFrame:
     """Slices with the events at their first tick added."""
-    before = "over (partition by run_id order by slice)"
+    before = "over (partition by run_id order by _slice)"
     was_hit = f"lag(last_hit_on, 1, false) {before}"
     was_off = f"lag(last_off, 1, false) {before}"
     had_laps = f"lag(last_lap_count, 1, 0) {before}"
@@ -144,9 +147,9 @@ def _joined_slices(telemetry: DataFrame, size: int) -> DataFrame:
         f"first_lap_count > {had_laps} "
         "and first_last_lap_time > 0D and not isnan(first_last_lap_time)"
     )
-    return _slices(telemetry, size).selectExpr(
+    return _slices(telemetry, size, placed).selectExpr(
         "run_id",
-        "slice",
+        "_slice",
         *_TOTALS,
         f"collisions + int(first_hit_on and not {was_hit}) as collisions",
         f"offtrack_events + int(first_off and not {was_off}) as offtrack_events",
@@ -155,17 +158,17 @@ def _joined_slices(telemetry: DataFrame, size: int) -> DataFrame:
     )
 
 
-def report(telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
+def report(telemetry: DataFrame, size: int = TICK_SLICE, placed: bool = False) -> DataFrame:
     """run_id and the KPI fields, one row per run that has ticks.
 
-    Ticks that already carry their ``slice`` are used as they are placed.
+    With ``placed``, ticks carry their slice in the column _slice, as spread_join leaves it.
     """
     laps_by_slice = (
-        "sort_array(collect_list(if(size(slice_laps) > 0, struct(slice, slice_laps), null))) "
+        "sort_array(collect_list(if(size(slice_laps) > 0, struct(_slice, slice_laps), null))) "
         "as laps_by_slice"
     )
     runs = (
-        _joined_slices(telemetry, size)
+        _joined_slices(telemetry, size, placed)
         .groupBy("run_id")
         .agg(*_all(_OF_TOTALS, _OF_EVENTS, [laps_by_slice]))
     )
@@ -179,9 +182,16 @@ def report(telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
 
 
 def lap_rows(telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
-    """Lap times in long form: (run_id, lap_index, lap_time), index from 0."""
-    return report(telemetry, size).select(
-        "run_id", F.posexplode("lap_times").alias("lap_index", "lap_time")
+    """Lap times in long form: (run_id, lap_index, lap_time), index from 0.
+
+    Numbered by slices: no array holds the laps of a whole run.
+    """
+    earlier = "over (partition by run_id order by _slice rows between unbounded preceding and 1 preceding)"
+    numbered = _joined_slices(telemetry, size).selectExpr(
+        "run_id", "slice_laps", f"int(coalesce(sum(size(slice_laps)) {earlier}, 0)) as before"
+    )
+    return numbered.selectExpr("run_id", "before", "posexplode(slice_laps) as (i, t)").selectExpr(
+        "run_id", "before + i as lap_index", f"{round_sql('t', 1)} as lap_time"
     )
 
 
@@ -193,9 +203,11 @@ def _or_empty() -> list[str]:
     return [f"coalesce({name}, {zero[name]}) as {name}" for name in KPI_FIELDS]
 
 
-def report_for(runs: DataFrame, telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
+def report_for(
+    runs: DataFrame, telemetry: DataFrame, size: int = TICK_SLICE, placed: bool = False
+) -> DataFrame:
     """A report for each run_id in ``runs``, all zeros where no tick was kept."""
-    found = runs.join(report(telemetry, size), "run_id", "left")
+    found = runs.join(report(telemetry, size, placed), "run_id", "left")
     return found.selectExpr(*runs.columns, *_or_empty())
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane import constants as c
+from ticklane.functions.numbers import double_sql, words_sql
 from ticklane.operators.features import clamp
 from ticklane.plans.once import with_computed
 from ticklane.plans.spread import OFFSET_SLICE, slice_of, spread_join
@@ -12,23 +13,16 @@ from ticklane.plans.spread import OFFSET_SLICE, slice_of, spread_join
 def parsed(packets: DataFrame) -> DataFrame:
     """Add sensors, MAP<STRING, ARRAY<DOUBLE>>; of a repeated key the last counts."""
     pattern = F.lit(c.PACKET_PATTERN)
-    keys = F.col("_keys")
     found = with_computed(packets, "_keys", F.regexp_extract_all("msg", pattern, F.lit(1)))
     found = found.withColumn("_texts", F.regexp_extract_all("msg", pattern, F.lit(2)))
-    last = F.filter(
-        F.arrays_zip("_keys", "_texts"),
-        lambda pair, i: i == F.size(keys) - F.array_position(F.reverse(keys), pair["_keys"]),
-    )
-    sensors = F.map_from_entries(
-        F.transform(last, lambda pair: F.struct(pair["_keys"], _numbers(pair["_texts"])))
+    sensors = F.expr(
+        "map_from_entries(transform(filter(arrays_zip(_keys, _texts), "
+        "(p, i) -> i = size(_keys) - array_position(reverse(_keys), p._keys)), "
+        f"p -> struct(p._keys, transform({words_sql('p._texts')}, t -> {double_sql('t')}))))"
     )
     return with_computed(found, "sensors", sensors).drop("_keys", "_texts")
 
 
-def _numbers(text: Column) -> Column:
-    return F.transform(F.split(F.trim(text), r"\s+"), lambda t: t.try_cast("double"))
-
-
 def is_stop(msg: Column) -> Column:
     stop = F.lit(False)
     for mark in c.STOP_MARKS:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklane import constants as c
+from ticklane.functions.numbers import double_sql
 from ticklane.plans.once import with_computed
 
 AXES = ["x", "y", "z"]
@@ -17,12 +18,22 @@ _SCALARS = {
     "last_lap_time": "double",
 }
 
+#: Fields of the loop around the simulator: kind, and default where rows lack the column.
+_GIVEN = {
+    "tick": ("int", "0"),
+    "ts": ("double", "null"),
+    "steering": ("double", "0"),
+    "throttle": ("double", "0"),
+    "reward": ("double", "0"),
+    "terminated": ("boolean", "false"),
+}
+
 
 def _cast(text: str, kind: str) -> str:
     """SQL for a number in JSON text form; whole numbers drop their fraction."""
-    if kind == "int":
-        return f"try_cast(try_cast({text} as double) as int)"
-    return f"try_cast({text} as {kind})"
+    if kind == "string":
+        return text
+    return f"try_cast({double_sql(text)} as {kind})"
 
 
 def _field_sql() -> tuple[list[str], list[str]]:
@@ -51,8 +62,10 @@ def _field_sql() -> tuple[list[str], list[str]]:
 def build_records(rows: DataFrame, info: str = "info") -> DataFrame:
     """Add the record fields and bad_fields, the names of uncastable values.
 
-    A field that is absent gets its default. So does one that cannot be cast, but
-    it is also listed in bad_fields, for the caller to keep or set aside.
+    What the simulator does not report comes from columns of rows where they exist: tick, ts,
+    steering, throttle, reward and terminated. A field that is absent gets its default, and
+    ts stays null. So does one that cannot be cast, but it is also listed in bad_fields, for
+    the caller to keep or set aside.
     """
     fields = F.coalesce(
         F.from_json(info, "map<string, string>"), F.create_map().cast("map<string, string>")
@@ -61,8 +74,10 @@ def build_records(rows: DataFrame, info: str = "info") -> DataFrame:
     out = with_computed(rows, "_f", fields)
     out = with_computed(out, "_v", F.struct(*map(F.expr, vectors)))
     values, bad = _field_sql()
+    kept = [n for n in rows.columns if n not in _GIVEN]
+    given = [f"cast({n if n in rows.columns else default} as {kind}) as {n}" for n, (kind, default) in _GIVEN.items()]
     return out.selectExpr(
-        *rows.columns, *values, f"array_compact(array({', '.join(bad)})) as bad_fields"
+        *kept, *given, *values, f"array_compact(array({', '.join(bad)})) as bad_fields"
     )
 
 
@@ -108,10 +123,11 @@ def flatten_fields(rows: DataFrame, key: str, info: str = "info") -> DataFrame:
     )
 
 
-def widen(long_rows: DataFrame, key: str) -> DataFrame:
-    """One row per key, one column per field name, sorted by name.
+def field_names(long_rows: DataFrame) -> DataFrame:
+    """(field, rows) of what occurs, to choose the columns of widen from."""
+    return long_rows.groupBy("field").agg(F.count("*").alias("rows"))
 
-    The names become columns, so they are few by nature and are read up front.
-    """
-    names = [r[0] for r in long_rows.select("field").distinct().orderBy("field").collect()]
+
+def widen(long_rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """One row per key, one column for each of the names; other fields are left out."""
     return long_rows.groupBy(key).pivot("field", names).agg(F.max("value"))

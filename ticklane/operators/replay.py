@@ -8,6 +8,8 @@ Order is always that of ``log_offset``:
 - the summary covers the ticks that arrived before the last run_end.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ticklane.operators import kpi
 from ticklane.plans.spread import OFFSET_SLICE, TICK_SLICE, slice_of, spread_join
 from ticklane.sources.shared import stored
 
+_LOG = dict(part.split(" ") for part in schemas.LOG.split(", "))
+
 
 def known_seasons(starts: DataFrame, seasons: DataFrame) -> DataFrame:
     return starts.join(seasons.select(F.col("id").alias("season_id")), "season_id", "left_semi")
@@ -82,25 +86,19 @@ def run_ends(messages: DataFrame, starts: DataFrame) -> DataFrame:
 def first_arrivals(rows: DataFrame) -> DataFrame:
     """Per (run_id, tick) the row with the lowest log_offset.
 
-    An aggregate, not a ranking window: copies are reduced before the shuffle,
-    so a tick that was sent very often does not gather in one task.
+    The lowest offset is a hash aggregate over three narrow columns, so copies are
+    reduced before the shuffle; the rows then semi-join it on all three.
     """
-    payload = [name for name in rows.columns if name not in ("run_id", "tick", "log_offset")]
-    return (
-        rows.groupBy("run_id", "tick")
-        .agg(
-            F.min("log_offset").alias("log_offset"),
-            F.min_by(F.struct(*payload), "log_offset").alias("_row"),
-        )
-        .select("run_id", "tick", "log_offset", *[f"_row.{name}" for name in payload])
-    )
+    place = ["run_id", "tick", "log_offset"]
+    first = rows.groupBy("run_id", "tick").agg(F.min("log_offset").alias("log_offset"))
+    return rows.join(first, place, "left_semi").select(*place, *[n for n in rows.columns if n not in place])
 
 
-def kept_telemetry(messages: DataFrame, starts: DataFrame) -> DataFrame:
-    """The telemetry table, plus log_offset."""
-    ticks = messages.filter(F.col("kind") == c.TELEMETRY).select(
-        "run_id", *schemas.TELEMETRY_COLUMNS, "log_offset"
-    )
+def kept_telemetry(
+    messages: DataFrame, starts: DataFrame, columns: Sequence[str] = schemas.TELEMETRY_COLUMNS
+) -> DataFrame:
+    """The telemetry table, or some of its columns, plus log_offset."""
+    ticks = messages.filter(F.col("kind") == c.TELEMETRY).select("run_id", *columns, "log_offset")
     known = _after_start(ticks, starts).filter("log_offset > start_offset")
     return first_arrivals(known.drop("start_offset"))
 
@@ -119,7 +117,7 @@ def summaries(kept: DataFrame, ends: DataFrame, size: int = TICK_SLICE) -> DataF
     before_end = spread_join(
         kept, cutoffs, "run_id", slice_of("tick", size), keep_slice=True
     ).filter("log_offset < last_end_offset")
-    return kpi.report_for(ends.select("run_id"), before_end, size)
+    return kpi.report_for(ends.select("run_id"), before_end, size, placed=True)
 
 
 def runs_table(starts: DataFrame, ends: DataFrame, summary_rows: DataFrame) -> DataFrame:
@@ -143,19 +141,22 @@ def runs_table(starts: DataFrame, ends: DataFrame, summary_rows: DataFrame) -> D
 def quarantine(
     messages: DataFrame, rejected: DataFrame, starts: DataFrame, seasons: DataFrame | None = None
 ) -> DataFrame:
-    """(log_offset, kind, reason): each rejected message once per reason.
+    """The log columns, kind and reason: each rejected message once per reason.
 
-    ``messages`` conform by themselves; some still refer to something unknown.
+    The message is kept whole (value, key, time, topic partition and offset), so that it can
+    be repaired and replayed when the topic has let go of it. ``messages`` conform by
+    themselves; some still refer to something unknown.
     """
-    keep = ["log_offset", "kind", "reason"]
-    found = rejected.withColumn("reason", F.explode("reasons")).select(keep)
-    orphans = orphan_telemetry(messages, starts)
-    found = found.unionByName(orphans.withColumn("reason", F.lit("unknown:run_id")).select(keep))
+
+    def kept(rows: DataFrame, reason) -> DataFrame:
+        missing = {n: F.lit(None).cast(k) for n, k in _LOG.items() if n not in rows.columns}
+        return rows.withColumns({**missing, "reason": reason}).select(*_LOG, "kind", "reason")
+
+    found = kept(rejected, F.explode("reasons"))
+    found = found.unionByName(kept(orphan_telemetry(messages, starts), F.lit("unknown:run_id")))
     if seasons is not None:
         lost = unknown_seasons(messages.filter(F.col("kind") == c.RUN_START), seasons)
-        found = found.unionByName(
-            lost.withColumn("reason", F.lit("unknown:season_id")).select(keep)
-        )
+        found = found.unionByName(kept(lost, F.lit("unknown:season_id")))
     return found
 
 
@@ -172,3 +173,13 @@ def replay(
     ends = run_ends(messages, starts)
     kept = stored(kept_telemetry(messages, starts), "telemetry")
     return runs_table(starts, ends, summaries(kept, ends, size)), kept.drop("log_offset")
+
+
+def replay_runs(
+    messages: DataFrame, seasons: DataFrame | None = None, size: int = TICK_SLICE
+) -> DataFrame:
+    """The runs alone: of telemetry only the columns of the KPI report are read."""
+    starts = run_starts(messages, seasons)
+    ends = run_ends(messages, starts)
+    kept = kept_telemetry(messages, starts, kpi.COLUMNS)
+    return runs_table(starts, ends, summaries(kept, ends, size))

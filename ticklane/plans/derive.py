@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from ticklane import schemas
 from ticklane.operators import decode
 from ticklane.plans.spread import TICK_SLICE, running_totals, slice_of, spread_join
-from ticklane.sources.shared import stored
+from ticklane.sources import tables
+from ticklane.sources.shared import new_path, stored
 
 EVENT_SLICE = 262_144
 RUN_PREFIX = "00000000-0000-4000-a000-"
 SEASON_PREFIX = "00000000-0000-4000-b000-"
 UNKNOWN_SEASON = SEASON_PREFIX + "999999999999"
 
+#: What the derived records and packets hold, as a wire format states it.
+INFO_FIELDS = ["cte", "gyro", "gyro_0", "gyro_1", "gyro_2", "hit", "lap_count", "pos_0", "pos_1", "speed"]
+PACKET_SENSORS = {"angle": 1, "trackPos": 1, "speedX": 1, "track": 3, "gear": 1}
+
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -43,6 +48,10 @@ def run_number(run_id: str = "run_id") -> Column:
     return F.substring(run_id, len(RUN_PREFIX) + 1, 12).cast("int")
 
 
+def season_of(run: Column) -> Column:
+    return padded(SEASON_PREFIX, run % 10)
+
+
 def _make_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = running_totals(
         table(spark, sf_dir, "events"),
@@ -61,7 +70,8 @@ def _make_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "throttle": F.lit(0.3),
         "speed": value / F.lit(9.7),
         "forward_vel": value / F.lit(11.3),
-        "cte": side * (value - F.lit(50.0)) / F.lit(37.0),
+        # no negative zero, whose sign not every engine keeps
+        "cte": F.when(value == 50.0, 0.0).otherwise(side * (value - F.lit(50.0)) / F.lit(37.0)),
         "pos_x": value,
         "pos_y": k,
         "vel_x": value / F.lit(3.0),
@@ -75,7 +85,7 @@ def _make_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     return events.select(
         (F.col("event_id") + 1).alias("arrival"),
-        padded(SEASON_PREFIX, F.col("user_id") % 10).alias("season_id"),
+        season_of(F.col("user_id")).alias("season_id"),
         padded(RUN_PREFIX, F.col("user_id")).alias("run_id"),
         *[
             fields.get(name, zero).cast(kind).alias(name)
@@ -89,6 +99,16 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once("telemetry", spark, sf_dir, _make_telemetry)
 
 
+def stored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stored table, laid out for requests for one run."""
+    key = (spark.sparkContext.applicationId, sf_dir, "tables")
+    if key not in _written:
+        root = new_path(spark, "tables")
+        tables.write_telemetry(telemetry(spark, sf_dir).select("run_id", *schemas.TELEMETRY_COLUMNS), root)
+        _written[key] = tables.read_table(spark, root, "telemetry")
+    return _written[key]
+
+
 def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     number = F.col("n_nationkey")
@@ -145,8 +165,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text sensor packets: (log_id, pkt_id, msg), one log per order priority."""
+    """Text sensor packets: (log_id, pkt_id, msg), one log per thousand orders.
+
+    Every third log is stopped late in it, by either of the two marks.
+    """
     order, cust = F.col("o_orderkey"), F.col("o_custkey")
+    log = F.floor(order / 1000)
     two = lambda n: F.format_string("%02d", n.cast("bigint"))
     text = lambda n: n.cast("string")
     sensors = F.concat(
@@ -162,11 +186,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     mark = (
         F.when(order % 1000 == 0, "***identified***")
-        .when((order > 5000) & (order % 4001 == 0), "***shutdown***")
+        .when((order % 1000 == 930) & (log % 6 == 1), "***shutdown***")
+        .when((order % 1000 == 930) & (log % 6 == 4), "***restart***")
         .otherwise(sensors)
     )
     return table(spark, sf_dir, "orders").select(
-        F.substring("o_orderpriority", 1, 1).alias("log_id"),
+        text(log).alias("log_id"),
         order.alias("pkt_id"),
         mark.alias("msg"),
     )
@@ -192,7 +217,11 @@ def info_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 4 == 2, F.lit("{}"))
         .otherwise(F.lit('{"gyro":"bad","hit":"pole"}'))
     )
-    return table(spark, sf_dir, "events").select("event_id", info.alias("info"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", info.alias("info"), (e % 1000).alias("tick"), e.cast("double").alias("ts"),
+        (e % 3 - 1).alias("steering"), F.lit(0.3).alias("throttle"), F.col("value").alias("reward"),
+        (F.col("event_type") == "error").alias("terminated"),
+    )
 
 
 # --- message log -----------------------------------------------------------

@@ -37,8 +37,9 @@ telemetry as (
     cast((event_id % 241) - 120 as double) / cast(100 as double) as steering,
     cast(0.3 as double) as throttle,
     value / cast(9.7 as double) as speed, value / cast(11.3 as double) as forward_vel,
-    (case when k % 2 = 1 then -1 else 1 end) * (value - cast(50 as double))
-      / cast(37 as double) as cte,
+    case when value = 50 then cast(0 as double) else
+      (case when k % 2 = 1 then -1 else 1 end) * (value - cast(50 as double))
+      / cast(37 as double) end as cte,
     value as pos_x, cast(k as double) as pos_y, cast(0 as double) as pos_z,
     value / cast(3 as double) as vel_x, cast(0 as double) as vel_y,
     cast(k as double) / cast(7 as double) as vel_z,
@@ -92,16 +93,16 @@ log as (
   union all select o * 20 + 4, 'run_end', season_id, run_id, null, ts, null, null, null,
     null, null, null, null, 'crashed' from b where tick = mt - 1 and n % 5 = 0),
 bad as (
-  select o * 20 + 6 as log_offset, 'malformed' as kind, 'malformed' as reason from b
+  select o * 20 + 6 as log_offset, 'malformed' as kind, 'malformed' as reason, ts, season_id from b
     where o % 101 = 1
-  union all select o * 20 + 7, 'telemetry', 'missing:run_id' from b where o % 103 = 2
-  union all select o * 20 + 8, 'telemetry', 'bad_id:run_id' from b where o % 107 = 3
-  union all select o * 20 + 9, 'telemetry', 'bad_type:tick' from b where o % 109 = 4
-  union all select o * 20 + 10, 'telemetry', 'not_finite:cte' from b where o % 113 = 5
-  union all select o * 20 + 11, 'telemetry', 'too_long:hit' from b where o % 127 = 6
-  union all select o * 20 + 12, 'telemetry', 'null:speed' from b where o % 131 = 7
-  union all select o * 20 + 13, 'run_start', 'null:driver' from b where o % 137 = 8
-  union all select o * 20 + 14, 'run_start', 'unknown:season_id' from b where o % 139 = 9),
+  union all select o * 20 + 7, 'telemetry', 'missing:run_id', ts, season_id from b where o % 103 = 2
+  union all select o * 20 + 8, 'telemetry', 'bad_id:run_id', ts, season_id from b where o % 107 = 3
+  union all select o * 20 + 9, 'telemetry', 'bad_type:tick', ts, season_id from b where o % 109 = 4
+  union all select o * 20 + 10, 'telemetry', 'not_finite:cte', ts, season_id from b where o % 113 = 5
+  union all select o * 20 + 11, 'telemetry', 'too_long:hit', ts, season_id from b where o % 127 = 6
+  union all select o * 20 + 12, 'telemetry', 'null:speed', ts, season_id from b where o % 131 = 7
+  union all select o * 20 + 13, 'run_start', 'null:driver', ts, season_id from b where o % 137 = 8
+  union all select o * 20 + 14, 'run_start', 'unknown:season_id', ts, season_id from b where o % 139 = 9),
 starts as (
   select run_id, min(log_offset) as start_offset, arg_min(season_id, log_offset) as season_id,
     arg_min(driver, log_offset) as driver, arg_min(ts, log_offset) as started_at
@@ -225,11 +226,11 @@ _add(
 _add(
     "season_detail",
     _S,
-    """select s.id, s.track_id, s.driver, cast(0 as bigint) as part, cast(1 as bigint) as parts,
-      cast(count(r.id) as int) as n_runs,
-      coalesce(string_agg(r.id, ',' order by r.started_at desc, r.id desc), '') as run_ids,
-      coalesce(string_agg(r.status, ',' order by r.started_at desc, r.id desc), '') as run_statuses
-    from seasons s left join runs r on r.season_id = s.id group by s.id, s.track_id, s.driver""",
+    """select s.id, s.track_id, s.driver, r.id as run_id, r.driver as run_driver,
+      r.status as run_status, r.started_at as run_started_at, r.ended_at as run_ended_at,
+      case when r.id is not null then
+        row_number() over (partition by s.id order by r.started_at desc, r.id desc) - 1 end as position
+    from seasons s left join runs r on r.season_id = s.id""",
 )
 _add("season_runs", _S, "select season_id, id, driver, status, started_at, ended_at from runs")
 _add(
@@ -247,7 +248,7 @@ _add(
     "orphan_ticks",
     _S,
     """select run_id, tick from telemetry
-    where run_id not in (select id from runs where status <> 'running')""",
+    where cast(substr(run_id, 25) as int) % 20 = 3""",
 )
 for _name, _not in (("cascade_set", ""), ("cascade_survivors", "not ")):
     _add(
@@ -301,7 +302,9 @@ _add(
 _add(
     "frame_asof",
     _F,
-    """select t.run_id, t.tick as at_tick, f.frame_tick
+    """select t.run_id, t.tick as at_tick, f.frame_tick,
+      case when f.frame_tick is not null then concat(t.season_id, '/runs/', t.run_id, '/frames/',
+        format('{:06d}.jpg', f.frame_tick)) end as path
     from telemetry t asof left join frames f on t.run_id = f.run_id and t.tick >= f.frame_tick""",
 )
 _add(
@@ -314,8 +317,8 @@ _L = [TELEMETRY, LOG]
 _add(
     "quarantine",
     _L,
-    """select log_offset, kind, reason from bad
-    union all select l.log_offset, l.kind, 'unknown:run_id' from log l
+    """select log_offset, kind, reason, ts as log_ts, season_id as key, true as whole from bad
+    union all select l.log_offset, l.kind, 'unknown:run_id', l.ts, l.season_id, true from log l
       left join starts s on l.run_id = s.run_id
       where l.kind = 'telemetry' and (s.start_offset is null or l.log_offset < s.start_offset)""",
 )
@@ -386,9 +389,10 @@ _add(
 
 PACKETS = """
 packets as (
-  select substr(o_orderpriority, 1, 1) as log_id, o_orderkey as pkt_id,
+  select cast(o_orderkey // 1000 as varchar) as log_id, o_orderkey as pkt_id,
     case when o_orderkey % 1000 = 0 then '***identified***'
-      when o_orderkey > 5000 and o_orderkey % 4001 = 0 then '***shutdown***'
+      when o_orderkey % 1000 = 930 and o_orderkey // 1000 % 6 = 1 then '***shutdown***'
+      when o_orderkey % 1000 = 930 and o_orderkey // 1000 % 6 = 4 then '***restart***'
       else concat(
         '(angle 0.', lpad(cast(o_custkey % 100 as varchar), 2, '0'),
         ')(trackPos ', case when o_orderkey % 2 = 0 then '-' else '' end, '0.',
@@ -411,7 +415,7 @@ parsed as (
     cast(regexp_extract(msg, '[(]gear ([^)]*)[)]', 1) as double) as gear
   from packets p
   where msg <> '***identified***' and not exists (
-    select 1 from packets q where q.log_id = p.log_id and q.msg = '***shutdown***'
+    select 1 from packets q where q.log_id = p.log_id and q.msg in ('***shutdown***', '***restart***')
       and q.pkt_id <= p.pkt_id)),
 driven as (
   select *, case when speedx < 60 then cast(0.6 as double) else cast(0 as double) end as act_accel,
@@ -431,7 +435,9 @@ _add("csv_packet_export", [PACKETS], "select * from driven")
 _add(
     "record_defaults",
     [],
-    """select event_id,
+    """select event_id, cast(event_id % 1000 as int) as tick, cast(event_id as double) as ts,
+      cast(event_id % 3 - 1 as double) as steering, cast(0.3 as double) as throttle,
+      value as reward, event_type = 'error' as terminated,
       case when event_id % 4 = 0 then cast(event_id % 30 as double) else 0.0 end as speed,
       cast(0 as double) as forward_vel,
       case when event_id % 4 = 1 then cast(-1.25 as double) else 0.0 end as cte,
@@ -526,3 +532,21 @@ _add(
     """select kind, messages from kinds
     union all select 'all', cast(sum(messages) as bigint) from kinds""",
 )
+_add("season_by_id", [SEASONS], f"select id, track_id, driver from seasons where id = {_season_id('7')}")
+_add(
+    "run_by_ids",
+    _S,
+    f"""select id, season_id, driver, status, started_at, ended_at from runs
+    where id = {_run_id('13')} and season_id = {_season_id('3')}""",
+)
+_add("telemetry_of_run", _T, f"select {_KEPT} from telemetry where run_id = {_run_id('13')}")
+_add(
+    "live_series",
+    _L,
+    f"""select {_POINT} from (
+      select k.run_id, k.tick, k.ts, k.speed, k.cte, t.pos_x, t.pos_y, t.steering, t.throttle,
+        greatest(1, cast(ceil(count(*) over (partition by k.run_id) / 10.0) as bigint)) as stride
+      from kept k join telemetry t on t.run_id = k.run_id and t.tick = k.tick
+      where k.run_id = {_run_id('13')})
+    where tick % stride = 0""",
+)

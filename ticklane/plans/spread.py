@@ -40,13 +40,13 @@ def spread_join(
     facts. That table has one row per slice, and the facts then join on the pair,
     so a hot key is spread over as many tasks as it has slices. Spark still
     broadcasts the pairs when they are below its size threshold. The slice stays as
-    a column on demand, for a next step that wants the same placement.
+    column _slice on demand, for a next step that wants the same placement.
     """
-    sliced = facts.withColumn("slice", slice_by)
-    pairs = sliced.select(key, "slice").distinct()
+    sliced = facts.withColumn("_slice", slice_by)
+    pairs = sliced.select(key, "_slice").distinct()
     pairs = pairs.join(dim, key, "inner")
-    joined = sliced.join(pairs, [key, "slice"], how)
-    return joined if keep_slice else joined.drop("slice")
+    joined = sliced.join(pairs, [key, "_slice"], how)
+    return joined if keep_slice else joined.drop("_slice")
 
 
 def with_neighbours(

@@ -14,7 +14,7 @@ MESSAGE = (
     f"last_tick int, {_TELEMETRY_DDL}"
 )
 
-LOG = "log_offset bigint, log_ts timestamp, key string, value string"
+LOG = "log_partition int, log_offset bigint, log_ts timestamp, key string, value string"
 
 KPI = (
     "duration_s double, ticks bigint, laps int, lap_times array<double>, "

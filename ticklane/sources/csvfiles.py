@@ -19,21 +19,23 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
-def sensor_widths(parsed_packets: DataFrame) -> dict[str, int]:
-    """Largest number of values per sensor, in the order in which packets name them.
-
-    Sensor names become columns, so they are few by nature and are read up front.
-    """
-    widths = (
+def sensor_widths(parsed_packets: DataFrame) -> DataFrame:
+    """(sensor, width, place): the most values of each sensor that occurs, and its first
+    place in a packet, to choose the columns of packet_rows from."""
+    return (
         parsed_packets.select(F.posexplode(F.map_entries("sensors")).alias("place", "sensor"))
         .groupBy("sensor.key")
         .agg(F.max(F.size("sensor.value")).alias("width"), F.min("place").alias("place"))
+        .select(F.col("key").alias("sensor"), "width", "place")
     )
-    return {r["key"]: r["width"] for r in widths.orderBy("place", "key").collect()}
 
 
 def packet_rows(parsed_packets: DataFrame, widths: dict[str, int], *keep: str) -> DataFrame:
-    """Sensors flattened to columns, then the act_ control columns."""
+    """Sensors flattened to columns, then the act_ control columns.
+
+    widths: values per sensor, as the wire format has them. A sensor of width 1 is a column of
+    its name; of a wider one, value i is <name>_i, also where a packet has a lone value.
+    """
     sensor = lambda name, i: F.get(F.try_element_at("sensors", F.lit(name)), F.lit(i))
     columns = []
     for name, width in widths.items():

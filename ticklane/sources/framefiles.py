@@ -31,3 +31,11 @@ def scan_frames(spark: SparkSession, root: str) -> DataFrame:
 def frame_name(tick: str = "frame_tick"):
     """File name of a tick: six digits, more when needed."""
     return F.format_string("%06d.jpg", F.col(tick))
+
+
+def frame_path(season: str = "season_id", run: str = "run_id", tick: str = "frame_tick"):
+    """Path of a frame's file below the root; null where there is no frame."""
+    return F.when(
+        F.col(tick).isNotNull(),
+        F.concat(F.col(season), F.lit("/runs/"), F.col(run), F.lit("/frames/"), frame_name(tick)),
+    )

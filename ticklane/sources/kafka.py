@@ -13,6 +13,7 @@ def as_log(records: DataFrame) -> DataFrame:
     messages of a run are in one partition and their offsets can be compared.
     """
     return records.select(
+        F.col("partition").alias("log_partition"),
         F.col("offset").alias("log_offset"),
         F.col("timestamp").alias("log_ts"),
         F.col("key").cast("string").alias("key"),

@@ -8,15 +8,19 @@ _MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """Append log rows. A stream takes files in by age, so rows appended later have
-    to have higher offsets; the order of rows within one append does not matter, as
-    long as one micro-batch takes it in whole."""
-    log.write.mode("append").options(**_MICROS).json(path)
+    """Append log rows as one file, in offset order.
+
+    A stream takes files in by age, so rows appended later have to have higher offsets.
+    One append is one file, so that a bound on files per batch cannot part its rows.
+    """
+    log.coalesce(1).sortWithinPartitions("log_offset").write.mode("append").options(**_MICROS).json(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LOG).options(**_MICROS).json(path)
 
 
-def stream_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(schemas.LOG).options(**_MICROS).json(path)
+def stream_log(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """The files as a stream, at most so many a batch."""
+    reader = spark.readStream.schema(schemas.LOG).options(**_MICROS)
+    return reader.option("maxFilesPerTrigger", max_files).json(path)

@@ -13,29 +13,17 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ticklane import constants as c
 from ticklane import schemas
-from ticklane.operators import decode, replay
-from ticklane.plans.spread import TICK_SLICE, slice_of, spread_join
+from ticklane.operators import decode, kpi, replay
 from ticklane.streaming import tables
 
 SeasonsReader = Callable[[SparkSession], DataFrame]
 
 
-def _stored_runs(spark: SparkSession, root: str, batch_id: int, wanted: DataFrame) -> DataFrame:
-    versions = tables.before(spark, root, "runs", batch_id)
-    return tables.latest_runs(versions.join(wanted, "run_id", "left_semi"))
-
-
-def _in_partitions_of(runs: DataFrame) -> Column:
-    """Condition for the telemetry partitions that hold these runs.
-
-    Few values come to the driver: calendar days, with at most RUN_BUCKETS each.
-    """
-    places = runs.groupBy("run_date").agg(F.collect_set(tables.run_bucket()).alias("buckets"))
-    found = F.lit(False)
-    for place in places.collect():
-        on_day = F.col("run_date") == F.lit(place["run_date"])
-        found = found | (on_day & F.col("run_bucket").isin(sorted(place["buckets"])))
-    return found
+def _in_buckets_of(spark: SparkSession, root: str, run_ids: DataFrame) -> Column:
+    """Condition for the buckets that hold these runs: at most as many numbers as buckets."""
+    bucket = tables.run_bucket(F.col("run_id"), tables.buckets_of(spark, root))
+    found = run_ids.select(bucket.alias("b")).distinct().collect()
+    return F.col("run_bucket").isin([r["b"] for r in found]) if found else F.lit(False)
 
 
 def ingest_batch(
@@ -61,16 +49,17 @@ def _store(
     good = decode.conforming(messages)
     touched = good.select("run_id").distinct()
 
-    stored = _stored_runs(spark, root, batch_id, touched)
+    here = _in_buckets_of(spark, root, touched)
+    versions = tables.before(spark, root, "runs", batch_id).filter(here)
+    stored = tables.latest_runs(versions.join(touched, "run_id", "left_semi"))
     started = (
         replay.run_starts(good, seasons)
         .join(stored.select("run_id"), "run_id", "left_anti")
-        .withColumn("run_date", F.to_date("started_at"))
         .withColumn("status", F.lit(c.OPEN_STATUS))
     )
     runs = stored.unionByName(started, allowMissingColumns=True).persist()
     try:
-        ticks = _new_ticks(spark, good, runs, batch_id, root)
+        ticks = _new_ticks(spark, good, runs, here, batch_id, root)
         tables.replace_batch(ticks, root, "telemetry", batch_id)
         versions = _new_versions(spark, good, runs, started, batch_id, root)
         tables.replace_batch(versions, root, "runs", batch_id)
@@ -86,22 +75,17 @@ def _store(
 
 
 def _new_ticks(
-    spark: SparkSession, good: DataFrame, runs: DataFrame, batch_id: int, root: str
+    spark: SparkSession, good: DataFrame, runs: DataFrame, here: Column, batch_id: int, root: str
 ) -> DataFrame:
     """Ticks of known runs that no earlier batch has stored."""
     arrived = replay.kept_telemetry(good, runs)
     have = (
         tables.before(spark, root, "telemetry", batch_id)
-        .filter(_in_partitions_of(runs))
+        .filter(here)
         .select("run_id", "tick")
+        .join(runs.select("run_id"), "run_id", "left_semi")
     )
-    fresh = arrived.join(have, ["run_id", "tick"], "left_anti")
-    by_slice = slice_of("tick", TICK_SLICE)
-    placed = spread_join(fresh, runs.select("run_id", "run_date"), "run_id", by_slice)
-    # One task per partition and tick slice, so that few files are written.
-    return placed.withColumn("run_bucket", tables.run_bucket()).repartition(
-        "run_date", "run_bucket", by_slice
-    )
+    return arrived.join(have, ["run_id", "tick"], "left_anti")
 
 
 def _new_versions(
@@ -120,11 +104,10 @@ def _new_versions(
         F.col("close_offset").alias("end_offset"),
         "last_end_offset",
     )
-    ended = _in_partitions_of(runs.join(ends.select("run_id"), "run_id", "left_semi"))
     so_far = (
         tables.read(spark, root, "telemetry")
-        .filter((F.col("batch_id") <= batch_id) & ended)
-        .drop("batch_id", "run_date", "run_bucket")
+        .filter((F.col("batch_id") <= batch_id) & _in_buckets_of(spark, root, ends))
+        .select("run_id", *kpi.COLUMNS, "log_offset")
     )
     summary = replay.summaries(so_far, ends).select(
         "run_id", F.struct(*schemas.KPI_FIELDS).alias("new_summary")
@@ -143,7 +126,6 @@ def _new_versions(
         close("end_status", "status").alias("status"),
         "started_at",
         close("end_time", "ended_at").alias("ended_at"),
-        "run_date",
         "start_offset",
         close("end_offset", "close_offset").alias("close_offset"),
         F.coalesce("new_summary", "summary").alias("summary"),
@@ -157,13 +139,14 @@ def start(
     read_seasons: SeasonsReader | None = None,
     catch_up: bool = False,
     interval: str = c.BATCH_INTERVAL,
+    buckets: int = tables.RUN_BUCKETS,
 ) -> StreamingQuery:
     """Start ingesting a streaming log into the tables under ``root``.
 
     The checkpoint moves on only after a batch is stored. With ``catch_up`` the
     query stops once it has taken in what is there.
     """
-    tables.create(log.sparkSession, root)
+    tables.create(log.sparkSession, root, buckets)
     trigger = {"availableNow": True} if catch_up else {"processingTime": interval}
     return (
         log.writeStream.foreachBatch(

@@ -1,8 +1,9 @@
-"""Append-only tables that the stream writes, one directory per micro-batch.
+"""Append-only tables that the stream writes.
 
-``<root>/<table>/batch_id=<n>``: a batch that is run again replaces its own
-directory, so nothing is stored twice. Rows of earlier batches never change; the
-current state of a run is the version of its highest batch.
+``<root>/<table>/[run_bucket=<k>/]batch_id=<n>``: a batch that is run again replaces its own
+directories, so nothing is stored twice. Rows of earlier batches never change; the
+current state of a run is the version of its highest batch. Telemetry and runs are placed by
+a hash of the run id, in a number of buckets that is fixed when the tables are created.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,52 +12,50 @@ from pyspark.sql.types import StructType
 
 from ticklane import schemas
 from ticklane.operators import series
-from ticklane.plans.spread import running_totals
+from ticklane.plans.spread import TICK_SLICE, running_totals, slice_of
 
 _SUMMARY = f"struct<{', '.join(f.replace(' ', ':') for f in schemas.KPI.split(', '))}>"
 
-# Partition columns inside the batch directory, then the DDL of the files.
+#: Whether a table is placed by bucket, and the DDL of its files.
 TABLES = {
-    # Start date and bucket of its run place a tick: all copies of a tick share a
-    # partition, and a batch looks only at the partitions of its own runs.
-    "telemetry": (
-        ["run_date date", "run_bucket int"],
-        f"{schemas.TELEMETRY}, log_offset bigint",
-    ),
+    "telemetry": (True, f"{schemas.TELEMETRY}, log_offset bigint"),
     "runs": (
-        [],
+        True,
         "run_id string, season_id string, driver string, status string, started_at timestamp, "
-        "ended_at timestamp, run_date date, start_offset bigint, close_offset bigint, "
-        f"summary {_SUMMARY}",
+        f"ended_at timestamp, start_offset bigint, close_offset bigint, summary {_SUMMARY}",
     ),
-    "quarantine": ([], "log_offset bigint, kind string, reason string"),
-    "counts": ([], "kind string, messages bigint"),
+    "quarantine": (False, f"{schemas.LOG}, kind string, reason string"),
+    "counts": (False, "kind string, messages bigint"),
 }
 _NO_BATCH = -1
-_FIRST = {"date": "1970-01-01", "int": "0"}
-RUN_BUCKETS = 8
-
-
-def run_bucket() -> Column:
-    return F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).cast("int").alias("run_bucket")
+#: Buckets of new tables: as many write tasks at least as the cluster has cores, so that a
+#: batch is written, and one bucket read, in parallel.
+RUN_BUCKETS = 256
 
 
-def _path(root: str, table: str, batch_id: int) -> str:
-    return f"{root}/{table}/batch_id={batch_id}"
+def run_bucket(run_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(run_id), F.lit(buckets)).cast("int")
 
 
-def create(spark: SparkSession, root: str) -> None:
-    """Empty tables, where there are none yet."""
-    for table, (parts, ddl) in TABLES.items():
-        inner = "".join(f"/{p.split(' ')[0]}={_FIRST[p.split(' ')[1]]}" for p in parts)
+def create(spark: SparkSession, root: str, buckets: int = RUN_BUCKETS) -> None:
+    """Empty tables, where there are none yet; a number of buckets once chosen stays."""
+    spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("ignore").parquet(
+        f"{root}/properties"
+    )
+    for table, (placed, ddl) in TABLES.items():
+        inner = "/run_bucket=0" if placed else ""
         spark.createDataFrame([], ddl).coalesce(1).write.mode("ignore").parquet(
-            _path(root, table, _NO_BATCH) + inner
+            f"{root}/{table}{inner}/batch_id={_NO_BATCH}"
         )
 
 
+def buckets_of(spark: SparkSession, root: str) -> int:
+    return spark.read.schema("buckets int").parquet(f"{root}/properties").first()["buckets"]
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    parts, ddl = TABLES[table]
-    full = ", ".join([ddl, *parts, "batch_id int"])
+    placed, ddl = TABLES[table]
+    full = f"{ddl}, run_bucket int, batch_id int" if placed else f"{ddl}, batch_id int"
     return spark.read.schema(full).parquet(f"{root}/{table}")
 
 
@@ -65,20 +64,29 @@ def before(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFra
 
 
 def replace_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
-    parts, ddl = TABLES[table]
-    names = [p.split(" ")[0] for p in parts]
+    """Store the rows of a batch in place of any that an earlier attempt has left.
+
+    A batch gives the same rows each time, so its directories are the same ones.
+    """
+    placed, ddl = TABLES[table]
     columns = StructType.fromDDL(ddl).fieldNames()
-    writer = rows.select(*columns, *names).write.mode("overwrite")
-    writer.partitionBy(*names).parquet(_path(root, table, batch_id))
+    if not placed:
+        rows.select(*columns).write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
+        return
+    buckets = buckets_of(rows.sparkSession, root)
+    order = ["run_id", "tick"] if "tick" in columns else ["run_id"]
+    split = [slice_of("tick", TICK_SLICE)] if "tick" in columns else []
+    placed_rows = rows.select(*columns).withColumn("run_bucket", run_bucket(F.col("run_id"), buckets))
+    # A task writes a bucket, or a slice of a long run; files are in the order of requests.
+    placed_rows = placed_rows.withColumn("batch_id", F.lit(batch_id)).repartition("run_bucket", *split)
+    writer = placed_rows.sortWithinPartitions("run_bucket", *order).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_bucket", "batch_id").parquet(f"{root}/{table}")
 
 
 def latest_runs(versions: DataFrame) -> DataFrame:
-    columns = [name for name in versions.columns if name not in ("run_id", "batch_id")]
-    return (
-        versions.groupBy("run_id")
-        .agg(F.max_by(F.struct(*columns), "batch_id").alias("_run"))
-        .select("run_id", *[f"_run.{name}" for name in columns])
-    )
+    """The last version of each run; the highest batch is a hash aggregate of two columns."""
+    last = versions.groupBy("run_id").agg(F.max("batch_id").alias("batch_id"))
+    return versions.join(last, ["run_id", "batch_id"], "left_semi").drop("batch_id", "run_bucket")
 
 
 def current_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -90,7 +98,7 @@ def current_runs(spark: SparkSession, root: str) -> DataFrame:
 
 def current_telemetry(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "telemetry").select(
-        "run_id", *schemas.TELEMETRY_COLUMNS, "log_offset", "run_date", "run_bucket"
+        "run_id", *schemas.TELEMETRY_COLUMNS, "log_offset", "run_bucket"
     )
 
 
@@ -110,6 +118,26 @@ def batch_totals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def live_series(spark: SparkSession, root: str, run_id: str, max_points: int) -> DataFrame:
-    """The downsampled series of one run as far as it has arrived."""
-    ticks = current_telemetry(spark, root).filter(F.col("run_id") == run_id)
+    """The downsampled series of one run as far as it has arrived; reads its bucket only."""
+    ticks = current_telemetry(spark, root).filter(
+        (F.col("run_bucket") == run_bucket(F.lit(run_id), buckets_of(spark, root)))
+        & (F.col("run_id") == run_id)
+    )
     return series.in_tick_order(series.downsample(ticks, max_points))
+
+
+def compact(spark: SparkSession, root: str, target: str) -> None:
+    """The tables as they are now, in few files and with the latest run versions only.
+
+    Written to a new root, on which the stream goes on with its old checkpoint once it was
+    stopped: what is stored counts as its last batch. Readers of the old root are not
+    disturbed; it may go when there are none left.
+    """
+    create(spark, target, buckets_of(spark, root))
+    newest = read(spark, root, "counts").agg(F.max("batch_id")).first()[0]
+    last = _NO_BATCH if newest is None else newest
+    replace_batch(read(spark, root, "telemetry"), target, "telemetry", last)
+    replace_batch(latest_runs(read(spark, root, "runs")), target, "runs", last)
+    replace_batch(read(spark, root, "quarantine"), target, "quarantine", last)
+    counts = read(spark, root, "counts")
+    counts.repartition(1).write.mode("overwrite").partitionBy("batch_id").parquet(f"{target}/counts")
