@@ -12,8 +12,9 @@ A document's set is its distinct word shingles (see shingles). Two sets link whe
    entries times mean list length, taken per size from the data.
 4. In each list all sets are compared with its earliest document (a star, not all pairs).
    Verified links form components; only list mates of different components are compared
-   after that. So groups of copies cost links in proportion to their members, and no link
-   between components is lost.
+   after that, and only at entries so early in both sets that the overlap which their two
+   sizes need is still possible. So groups of copies cost links in proportion to their
+   members, and no link between components is lost.
 
 Hot keys: list sizes and pivots are combined before the shuffle, and the joins on a key may
 be split by adaptive execution. A set is never gathered across documents in one task.
@@ -71,7 +72,7 @@ def _profile(frames):
         })
         sets += found
         held += sum(map(len, found))
-        if held > 8_000_000:  # bounds the memory of a long task
+        if held > 3_000_000:  # bounds the memory of a long task
             yield common()
             sets, held = [], 0
     if (last := common()) is not None:
@@ -98,9 +99,13 @@ def boundary(sizes: list[tuple[int, int, float]], percent: int) -> int:
 
 
 def _postings(frames, common: np.ndarray, limit: int, percent: int):
+    """(key, doc_id, late): late is the place of the key's last shingle in the set's order,
+    less one for a subset of two. Sets of n and m that must share c have a key in common
+    with late at most n - c in one and m - c in the other.
+    """
     hashes = WordHashes()
     for frame in frames:
-        keys, ids = [], []
+        keys, ids, late = [], [], []
         for doc_id, text in zip(frame.doc_id, frame.text):
             s = shingle_hashes(text, hashes)
             n = len(s)
@@ -115,12 +120,16 @@ def _postings(frames, common: np.ndarray, limit: int, percent: int):
                 i, j = np.triu_indices(len(head), 1)
                 keys.append(mixed(np.minimum(head[i], head[j]) * np.uint64(3) + mixed(np.maximum(head[i], head[j]))))
                 ids.append(np.full(len(i), doc_id))
+                late.append(j - 1)
             if 100 * n >= percent * (limit + 1):
                 head = s[: prefix(n, 1, percent)]
                 keys.append(head)
                 ids.append(np.full(len(head), doc_id))
+                late.append(np.arange(len(head)))
         if keys:
-            yield pd.DataFrame({"key": _signed(np.concatenate(keys)), "doc_id": np.concatenate(ids).astype(np.int64)})
+            yield pd.DataFrame({
+                "key": _signed(np.concatenate(keys)), "doc_id": np.concatenate(ids).astype(np.int64), "late": np.concatenate(late).astype(np.int32)
+            })
 
 
 def _linked(frames, percent: int):
@@ -173,9 +182,9 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = stored(known.filter("n > 0").join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "rep"), "near-classes")
     reps = classes.filter("doc_id = rep").select("doc_id", "n").distinct()
 
-    postings = docs.filter("doc_id is not null").mapInPandas(lambda f: _postings(f, common.value, limit, percent), "key long, doc_id long")
+    postings = docs.filter("doc_id is not null").mapInPandas(lambda f: _postings(f, common.value, limit, percent), "key long, doc_id long, late int")
     lists = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
-    mates = stored(postings.join(lists, "key").join(reps, "doc_id").select("key", "doc_id", "n"), "near-mates")
+    mates = stored(postings.join(lists, "key").join(reps, "doc_id").select("key", "doc_id", "n", "late"), "near-mates")
 
     def worth(pairs: DataFrame) -> DataFrame:
         """Without pairs that their sizes, or for heavy sets the shared part of the prefixes, rule out."""
@@ -193,8 +202,10 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = stored(placed, "near-placed")
     open_lists = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     placed = stored(placed.join(open_lists, "key"), "near-open")
-    one, two = placed.selectExpr("key", "doc_id a", "n na", "root ra"), placed.selectExpr("key", "doc_id b", "n nb", "root rb")
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    one, two = (placed.selectExpr("key", f"doc_id {x}", f"n n{x}", f"root r{x}", f"late late_{x}") for x in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    for x in "ab":  # n - late at least the overlap that both sizes need
+        fits = fits & ((100 + percent) * (F.col(f"n{x}") - F.col(f"late_{x}")) >= percent * (F.col("na") + F.col("nb")))
     crossing = one.join(two, (one.key == two.key) & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
     tried = star.select("a", "b")
     more = verified(worth(crossing).join(tried, ["a", "b"], "left_anti"), docs, percent)
