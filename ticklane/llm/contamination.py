@@ -5,10 +5,10 @@ the item's distinct word shingles (five words; A-Z lower-cased; an item with few
 its whole word sequence as one shingle, sought as such in documents).
 
 Items are parted by the size of their shingle set, doubling from part to part. An item's
-sketch is the SKETCH shingles of least hash. A document keeps, for the parts, its shingles
-whose hash is at most the largest hash in any sketch of the part, so long documents keep
-few shingles for large items and all that matter for small ones. A document and an item that
-share a sketch shingle are a candidate: an item held to 75 percent is missed with a chance of
+sketch is the SKETCH shingles of least hash. The sketches of a part lie below a bound, the
+lower the larger its items are. A document keeps its shingles up to the largest bound of the
+parts whose items are small enough for it to hold. A document and an item that share a
+sketch shingle are a candidate: an item held to 75 percent is missed with a chance of
 0.25 ** SKETCH. Items of at most SKETCH shingles have all of them in the sketch. Candidates
 are then verified by exact containment on the shingles themselves.
 
@@ -55,6 +55,18 @@ def _rehashed(shingles: str, width: int) -> Column:
     return F.transform(shingles, lambda s: hashed(*[F.get(F.split(s, " "), F.lit(i)) for i in range(width)]))
 
 
+def _sought(width: int, parts: list[tuple[int, int]]) -> Column:
+    """Array of (width, h): hashes of a document's shingles, up to the bound of its size.
+
+    parts: the fewest shingles with which a document can hold an item of a part, and the
+    bound of the part.
+    """
+    n = F.size("words") - F.lit(width - 1)
+    bound = F.greatest(F.lit(-1), *[F.when(n >= need, F.lit(top)).otherwise(F.lit(-1)) for need, top in parts])
+    kept = F.array_distinct(F.filter(hashes_of("words", width), lambda h: h <= bound))
+    return F.transform(kept, lambda h: F.struct(F.lit(width).alias("width"), h.alias("h")))
+
+
 def _once(frame: DataFrame, **values: Column) -> DataFrame:
     """Adds columns behind a generator, so that later filters do not compute them anew."""
     struct = F.struct(*[v.alias(k) for k, v in values.items()])
@@ -76,22 +88,19 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFram
     items = stored(items.select("item_id", "width", full.alias("shingles")).withColumn("n_item", F.size("shingles")), "items")
     by_width = F.coalesce(*[F.when(F.col("width") == k, _rehashed("shingles", k)) for k in range(1, WIDTH + 1)])
     part = F.coalesce(*[F.when(F.col("n_item") <= bound, F.lit(i)) for i, bound in enumerate(PARTS)], F.lit(len(PARTS)))
-    sketches = items.select("item_id", "width", part.alias("part"), F.slice(F.array_sort(by_width), 1, SKETCH).alias("h"))
-    sketches = stored(sketches.select("item_id", "width", "part", F.explode("h").alias("h")), "item-sketches")
+    sketches = items.select("item_id", "width", part.alias("part"), "n_item", F.slice(F.array_sort(by_width), 1, SKETCH).alias("h"))
+    sketches = stored(sketches.select("item_id", "width", "part", "n_item", F.explode("h").alias("h")), "item-sketches")
     # at most (widths x parts) rows, whatever the tables hold
-    bounds = sketches.groupBy("width", "part").agg(F.max("h").alias("top")).collect()
+    bounds = sketches.groupBy("width", "part").agg(F.max("h").alias("top"), F.min("n_item").alias("least")).collect()
 
     rows = _once(texts(docs).filter("doc_id is not null"), words=words_of(F.col("text")))
-    sought = []
-    for width in sorted({b.width for b in bounds}):
-        top = F.lit(max(b.top for b in bounds if b.width == width))
-        kept = F.filter(hashes_of("words", width), lambda h: h <= top)
-        sought.append(rows.select("doc_id", F.lit(width).alias("width"), F.explode(F.array_distinct(kept)).alias("h")))
+    sought = [
+        _sought(width, [(-(-b.least * percent // 100), b.top) for b in bounds if b.width == width])
+        for width in sorted({b.width for b in bounds})
+    ]
     if not sought:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item int, n_shared int")
-    found = sought[0]
-    for more in sought[1:]:
-        found = found.union(more)
+    found = rows.select("doc_id", F.explode(F.concat(*sought)).alias("s")).select("doc_id", "s.*")
     pairs = stored(found.join(sized(sketches.select("width", "h", "item_id")), ["width", "h"]).select("doc_id", "item_id").distinct(), "leak-pairs")
 
     ids = stored(pairs.select("doc_id").distinct(), "leak-ids")
