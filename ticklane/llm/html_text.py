@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklane.llm import html_labels
+from ticklane.llm.tables import ship
 from ticklane.llm.trees import nested, value
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
@@ -143,6 +144,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A null html is empty. Broken markup is read as far as it goes. Rows stay as they are,
     also repeated ones and those with null ids; other columns go.
     """
+    ship(pages.sparkSession)
     model = tree(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     return rows.mapInPandas(lambda f: _extracted(f, model), "page_id long, url string, text string")

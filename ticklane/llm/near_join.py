@@ -10,7 +10,8 @@ A document's set is its distinct word shingles (see shingles). Two sets link whe
    post single shingles (k = 1) to inverted lists, as do the light sets large enough to
    link with a heavy one. The boundary has the least estimated cost: subsets against list
    entries times mean list length, taken per size from the data.
-4. In each list all sets are compared with its earliest document (a star, not all pairs).
+4. In each list sets are compared with its earliest document and with the earliest one of
+   about their size (stars, not all pairs).
    Verified links form components; only list mates of different components are compared
    after that, and only at entries so early in both sets that the overlap which their two
    sizes need is still possible. So groups of copies cost links in proportion to their
@@ -186,16 +187,20 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     lists = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
     mates = stored(postings.join(lists, "key").join(reps, "doc_id").select("key", "doc_id", "n", "late"), "near-mates")
 
-    def worth(pairs: DataFrame) -> DataFrame:
-        """Without pairs that their sizes, or for heavy sets the shared part of the prefixes, rule out."""
-        small, large = F.least("na", "nb"), F.greatest("na", "nb")
-        rest = large - (large - F.ceil(large * percent / 100) + 1)
-        enough = (small <= limit) | ((100 + percent) * (F.col("k") + rest) >= percent * (small + large))
-        return pairs.filter((100 * small >= percent * large) & enough).select("a", "b")
-
-    pivots = mates.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("key", "a")
-    star = mates.join(pivots, "key").filter("doc_id > a").groupBy("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).agg(F.count("*").alias("k"))
-    links = verified(worth(star.join(reps.selectExpr("doc_id a", "n na"), "a")), docs, percent)
+    # Stars: each set with the earliest document of a list, and with the earliest of its own
+    # size there. They find most links, not all; what they leave out comes below.
+    mates = mates.withColumn("band", F.floor(F.log("n") / math.log(100 / percent) * 2))
+    pivots = mates.groupBy("key").agg(F.min("doc_id").alias("a")).withColumn("band", F.lit(None).cast("bigint"))
+    by_size = mates.groupBy("key", "band").agg(F.min("doc_id").alias("a"))
+    star = mates.select("key", "doc_id", "n").join(pivots.select("key", "a"), "key").unionByName(
+        mates.join(by_size, ["key", "band"]).select("key", "doc_id", "n", "a")
+    )
+    star = star.filter("doc_id > a").groupBy("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).agg(F.count_distinct("key").alias("k"))
+    star = star.join(reps.selectExpr("doc_id a", "n na"), "a")
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    likely = (small <= limit) | ((100 + percent) * (F.col("k") + F.ceil(large * percent / 100)) > percent * (small + large))
+    star = stored(star.filter((100 * small >= percent * large) & likely).select("a", "b"), "near-star")
+    links = verified(star, docs, percent)
 
     roots = components(links)
     placed = mates.join(roots.selectExpr("node doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
@@ -206,9 +211,8 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
     for x in "ab":  # n - late at least the overlap that both sizes need
         fits = fits & ((100 + percent) * (F.col(f"n{x}") - F.col(f"late_{x}")) >= percent * (F.col("na") + F.col("nb")))
-    crossing = one.join(two, (one.key == two.key) & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    tried = star.select("a", "b")
-    more = verified(worth(crossing).join(tried, ["a", "b"], "left_anti"), docs, percent)
+    crossing = one.join(two, (one.key == two.key) & fits).select("a", "b").distinct()
+    more = verified(crossing.join(star, ["a", "b"], "left_anti"), docs, percent)
 
     same = classes.filter("doc_id > rep").selectExpr("rep a", "doc_id b")
     roots = components(links.union(more).union(same))

@@ -39,7 +39,7 @@ COVER = np.array([1, 2, 4, 8, 16, 32, 37, 55, 64])
 HEAD = LENGTH - PERIOD + 1
 BEFORE = PERIOD - 1
 #: Bytes of documents in a block, and about how many samples or surroundings a bucket has.
-BLOCK_BYTES, BUCKET_SAMPLES, BUCKET_EDGES = 3_000_000, 2_000_000, 100_000
+BLOCK_BYTES, BUCKET_SAMPLES, BUCKET_EDGES = 2_000_000, 1_000_000, 60_000
 #: Heads with more samples than this are compared by sets, not in pairs.
 PAIRS = 12
 _BASE = 0x9E3779B97F4A7C15
@@ -99,7 +99,7 @@ def _ranked(frames, buckets: int):
         low = np.maximum(at - BEFORE, base)
         high = np.minimum(at + LENGTH, base + np.repeat(lengths, sizes))
         hashes = _Hashes(np.frombuffer(b"".join(raw for _, raw in block), np.uint8))
-        head, around = hashes.of(at, at + HEAD), hashes.of(low, high) + (at - low).astype(np.uint64)
+        head, around = hashes.of(at, at + HEAD), mixed(hashes.of(low, high) + (at - low).astype(np.uint64))
         del hashes
         ids = np.array([d for d, _ in block], np.int64)
         doc = np.repeat(np.arange(len(block)), sizes)
@@ -153,14 +153,21 @@ def _bucket(key, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([old, found], ignore_index=True)
 
 
-def _surroundings(frames):
+def _parts(frames):
+    """The rows of the frames a thousand at a time, so that results stay small."""
     for frame in frames:
+        for start in range(0, len(frame), 1_000):
+            yield frame.iloc[start : start + 1_000]
+
+
+def _surroundings(frames):
+    for frame in _parts(frames):
         rows = []
-        for doc_id, text, places in zip(frame.doc_id, frame.text, frame.places):
+        for doc_id, text, places, heads in zip(frame.doc_id, frame.text, frame.places, frame.heads):
             raw = text.encode("utf-8")
-            for p in places:
-                low = max(0, p["at"] - BEFORE)
-                rows.append((p["head"], doc_id, p["at"], p["at"] - low, raw[low : p["at"] + LENGTH]))
+            for at, head in zip(places.tolist(), heads.tolist()):
+                low = max(0, at - BEFORE)
+                rows.append((head, doc_id, at, at - low, raw[low : at + LENGTH]))
         yield pd.DataFrame(rows, columns=["head", "doc_id", "at", "before", "around"])
 
 
@@ -177,8 +184,26 @@ def _paired(around: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.nd
     return left, right
 
 
+def _earlier_by_sets(around: list[bytes], before: list[int]) -> list[tuple[int, int]]:
+    """Per sample of one head, in order: the first and last place, from the sample on, of a
+    string that an earlier one has at the same place; (1, 0) if there is none."""
+    found = [(1, 0)] * len(around)
+    for place in range(-BEFORE, 1):
+        seen: set[bytes] = set()
+        for i, (raw, b) in enumerate(zip(around, before)):
+            string = raw[b + place : b + place + LENGTH] if b + place >= 0 else b""
+            if len(string) == LENGTH:
+                if string in seen:
+                    found[i] = (min(found[i][0], place), place)
+                seen.add(string)
+    return found
+
+
 def _edges(frame: pd.DataFrame) -> pd.DataFrame:
-    """Intervals of later samples that an earlier sample of the same head covers."""
+    """Intervals of later samples that earlier samples of the same head cover, one a sample.
+
+    All intervals around a sample hold its head, so their union is one interval.
+    """
     frame = frame.sort_values(["head", "doc_id", "at"], kind="stable", ignore_index=True)
     head, at, doc = frame["head"].to_numpy(), frame["at"].to_numpy(np.int64), frame.doc_id.to_numpy()
     n = len(frame)
@@ -189,27 +214,22 @@ def _edges(frame: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(change)
     rank = np.arange(n) - np.repeat(change[:-1], size)
     few = np.repeat(size <= PAIRS, size)
-    found = []
+    low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for back in range(1, PAIRS):
         two = np.flatnonzero(few & (rank >= back))
         if len(two):
             left, right = _paired(around, two - back, two)
             ok = left + right >= LENGTH
-            found.append(pd.DataFrame({"doc_id": doc[two[ok]], "start": at[two[ok]] - left[ok], "end": at[two[ok]] + right[ok]}))
+            low[two[ok]] = np.maximum(low[two[ok]], left[ok])
+            high[two[ok]] = np.maximum(high[two[ok]], right[ok])
+    del around
     for a, b in zip(change[:-1], change[1:]):
         if b - a > PAIRS:
-            seen: set[tuple[int, bytes]] = set()
-            rows = []
-            for i in range(a, b):
-                raw, before = frame.around[i], frame.before[i]
-                for s in range(len(raw) - LENGTH + 1):
-                    string = (s - before, raw[s : s + LENGTH])
-                    if string in seen:
-                        rows.append((doc[i], at[i] - before + s, at[i] - before + s + LENGTH))
-                    else:
-                        seen.add(string)
-            found.append(pd.DataFrame(rows, columns=["doc_id", "start", "end"]))
-    return pd.concat(found, ignore_index=True).astype(np.int64) if found else pd.DataFrame({"doc_id": [], "start": [], "end": []}, dtype=np.int64)
+            for i, (first, last) in enumerate(_earlier_by_sets(frame.around[a:b].tolist(), frame.before[a:b].tolist()), a):
+                if first <= last:
+                    low[i], high[i] = -first, last + LENGTH
+    hit = high > 0
+    return pd.DataFrame({"doc_id": doc[hit], "start": at[hit] - low[hit], "end": at[hit] + high[hit]}).astype(np.int64)
 
 
 def united(starts, ends, n: int) -> list[tuple[int, int]]:
@@ -234,7 +254,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = stored(ranked.groupBy("bucket").applyInPandas(_bucket, "doc_id long, at int, head long"), "repeat-samples")
     opened = found.filter("head <> 0")
     groups = opened.count() // BUCKET_EDGES + 1
-    places = opened.groupBy("doc_id").agg(F.collect_list(F.struct("at", "head")).alias("places"))
+    places = opened.groupBy("doc_id").agg(F.collect_list("at").alias("places"), F.collect_list("head").alias("heads"))
     around = docs.join(places, "doc_id").mapInPandas(_surroundings, "head long, doc_id long, at int, before int, around binary")
     around = around.withColumn("part", F.pmod(F.xxhash64("head"), F.lit(groups)))
     edges = stored(around.groupBy("part").applyInPandas(lambda f: _edges(f.drop(columns="part")), "doc_id long, start long, end long"), "repeat-edges")
@@ -243,11 +263,11 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def _removed(frames):
-    for frame in frames:
+    for frame in _parts(frames):
         rows = []
-        for text, spans in zip(frame.text, frame.spans):
+        for text, starts, ends in zip(frame.text, frame.starts, frame.ends):
             raw = text.encode("utf-8")
-            cut = united([s["start"] for s in spans], [s["end"] for s in spans], len(raw)) if spans is not None else []
+            cut = united(starts.tolist(), ends.tolist(), len(raw)) if starts is not None else []
             kept, last = [], 0
             for a, b in cut:
                 kept.append(raw[last:a])
@@ -281,5 +301,5 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _applied(docs: DataFrame, run, schema: str) -> DataFrame:
-    spans = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeats(docs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return texts(docs).join(spans, "doc_id", "left").mapInPandas(run, schema)

@@ -1,6 +1,11 @@
 """Small helpers shared by the operators: columns, sized broadcasts, stored steps, samples."""
 
-from pyspark.sql import Column, DataFrame
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklane.sources.shared import stored
@@ -9,8 +14,24 @@ from ticklane.sources.shared import stored
 BROADCAST_ROWS = 1_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once a session, if they can't import it anyway."""
+    package = Path(__file__).resolve().parents[1]
+    known = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    if package.parent in (Path(p).resolve() for p in known) or spark.sparkContext.applicationId in _shipped:
+        return
+    base = os.path.realpath(tempfile.mkdtemp(prefix="ticklane-"))
+    archive = shutil.make_archive(os.path.join(base, package.name), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def texts(docs: DataFrame, column: str = "text", *keep: str) -> DataFrame:
     """(doc_id, text), plus the columns in keep; a null text becomes empty. Other columns go."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", *keep, F.coalesce(F.col(column), F.lit("")).alias("text"))
 
 
@@ -29,4 +50,4 @@ def share(key: str, wanted: int, total: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(77), F.col(key)), F.lit(parts)) < int(parts * min(1.0, wanted / max(total, 1))) + 1
 
 
-__all__ = ["BROADCAST_ROWS", "share", "sized", "stored", "texts"]
+__all__ = ["BROADCAST_ROWS", "share", "ship", "sized", "stored", "texts"]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm.linear import fit_logistic, sigmoid
-from ticklane.llm.tables import share, sized, stored, texts
+from ticklane.llm.tables import share, ship, sized, stored, texts
 
 #: Bounds of the training sample and of the feature set.
 TRAIN_ROWS, FEATURES = 8_000, 600
@@ -145,6 +145,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """The documents, all columns, that the chain does not call toxic."""
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
     def clean(batches):
