@@ -1,3 +1,5 @@
+"""Documents for tests."""
+
 import pytest
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, n int, root string"

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from made import make_docs  # noqa: F401
 from ticklane.llm import contamination, near_join, suffix_dedup
 from ticklane.llm.components import components
 

@@ -25,7 +25,7 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 FEATURES = 16
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-_ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(WINDOW)], np.uint64)
+_ODD = mixed(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def repeated(words: list[bytes], hashes: WordHashes) -> int:

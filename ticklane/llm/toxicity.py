@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     The earlier two categories are made from the label: a toxic text with at least SEVERE,
     or REPEATED, distinct marker words, which are features found ten times likelier in
     toxic rows. About `rows` labelled rows are used, chosen by a hash of doc_id. Null
-    labels and documents without a label are left out.
+    labels and documents without a label are left out. Without any label nothing is toxic.
     """
     labels = labels.select("doc_id", F.col(column).cast("double").alias("y")).dropna().dropDuplicates(["doc_id"])
     sample = stored(labels.filter(share("doc_id", rows, labels.count())), "toxic-labels")
@@ -93,6 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     counts = sample.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(
         c.alias("docs"), F.log(rate / base).alias("odds"), (F.abs(rate - base) / F.sqrt((c + 1.0) / (n + 1) / F.lit(n + 1))).alias("z")
     )
+    if not n:
+        return Chain(["severe", "repeated", "toxic"], {}, [(np.zeros(0), np.zeros(i), -10.0) for i in range(3)])
     chosen = counts.filter(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("z"), "term").limit(FEATURES).collect()
     features = {r.term: i for i, r in enumerate(chosen)}
     markers = [r.term for r in chosen if r.odds >= np.log(10.0) and not r.term.endswith("*")]
