@@ -199,6 +199,15 @@ def test_main_text_of_a_page(spark):
     )
 
 
+def test_what_is_around_an_article(spark):
+    model = html_text.tree(spark)
+    page = (
+        '<div class="sidebar layout"><article class="post"><header><h1>Title here</h1></header><p>Words of the article go on here.</p>'
+        '<footer><p>Tags and such</p></footer></article></div><section id="comments"><article class="comment"><p>I like this very much.</p></article></section>'
+    )
+    assert html_text.main_text(page, model) == "Title here\nWords of the article go on here."
+
+
 def test_tree_fits_its_table(spark):
     model = html_text.tree(spark)
     assert all(trees.value(model, x) == y for x, y in html_labels.rows())

@@ -10,7 +10,6 @@ import html
 import re
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +39,7 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 
 def _kind(tag: str, attributes: str) -> int:
     kind = _KINDS.get(tag, 0)
-    if not kind and attributes and tag not in ("body", "html"):
+    if kind <= _ARTICLE and attributes and tag not in ("body", "html"):
         for names in _ATTRIBUTE.findall(attributes):
             for found, pattern in _NAMED:
                 if pattern.search("".join(names)):
@@ -52,7 +51,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """Blocks in page order: (text, words, words in links, heading, container)."""
     out, text = [], []
     linked = heading = links = 0
-    # open containers; what an outer one excludes, an inner article does not bring back
+    # open elements with their kinds
     opened: list[tuple[str, int]] = []
     at = 0
 
@@ -65,8 +64,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         linked = 0
 
     def container() -> int:
-        kinds = [k for _, k in opened if k]
-        return max(kinds, default=0)
+        """Kind of the place: what is around an article does not count in it, but comments do."""
+        kinds = [k for _, k in opened]
+        if _COMMENTS in kinds:
+            return _COMMENTS
+        own = [i for i, (t, k) in enumerate(opened) if t in ("article", "main") and k == _ARTICLE]
+        return max(kinds[own[-1] :] if own else kinds, default=0)
 
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -102,7 +105,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             elif tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6"):
                 heading = 1
             elif tag not in _VOID and tag not in ("p", "li", "tr", "td", "th", "dt", "dd", "body", "html"):
-                opened.append((tag, _kind(tag, attributes)))
+                in_article = tag == "header" and any(t in ("article", "main") for t, _ in opened)
+                opened.append((tag, 0 if in_article else _kind(tag, attributes)))
             if tag in ("p", "li", "td", "th") and attributes and (kind := _kind(tag, attributes)) > _ARTICLE:
                 opened.append((tag, kind))
     flush()

@@ -13,7 +13,6 @@ earlier line. Training maximises the conditional likelihood (forward-backward).
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ticklane.llm.shingles import WordHashes, mixed
 from ticklane.llm.tables import share as share_of

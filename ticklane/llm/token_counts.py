@@ -14,7 +14,6 @@ Memory: one chunk's offsets besides the text. Counts of pieces seen before are k
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
