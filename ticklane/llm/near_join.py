@@ -207,11 +207,16 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = stored(placed, "near-placed")
     open_lists = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     placed = stored(placed.join(open_lists, "key"), "near-open")
-    one, two = (placed.selectExpr("key", f"doc_id {x}", f"n n{x}", f"root r{x}", f"late late_{x}") for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    # a is the smaller set of a pair (of equals the earlier), so its entry is early by more, and
+    # b is in the same band of sizes or in the next.
+    size = F.floor(F.log("n") / (1.001 * math.log(100 / percent)))  # a little wide, for rounding
+    fits = (F.col("ra") != F.col("rb")) & (F.struct("na", "a") < F.struct("nb", "b"))
     for x in "ab":  # n - late at least the overlap that both sizes need
         fits = fits & ((100 + percent) * (F.col(f"n{x}") - F.col(f"late_{x}")) >= percent * (F.col("na") + F.col("nb")))
-    crossing = one.join(two, (one.key == two.key) & fits).select("a", "b").distinct()
+    one, two = (placed.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("late").alias(f"late_{x}"), size.alias(f"size_{x}")) for x in "ab")
+    one = one.filter((100 + percent) * (F.col("na") - F.col("late_a")) >= 2 * percent * F.col("na"))
+    one = one.withColumn("size_b", F.explode(F.array("size_a", F.col("size_a") + 1)))
+    crossing = one.join(two, ["key", "size_b"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = verified(crossing.join(star, ["a", "b"], "left_anti"), docs, percent)
 
     same = classes.filter("doc_id > rep").selectExpr("rep a", "doc_id b")
