@@ -55,7 +55,7 @@ def test_topic_needs_the_connector(spark):
 
 def test_log_files_keep_micros(spark, tmp_path):
     log = spark.sql(
-        "select 1L as log_offset, timestamp '2024-01-01 00:00:00.123456' as log_ts, "
+        "select 3 as log_partition, 1L as log_offset, timestamp '2024-01-01 00:00:00.123456' as log_ts, "
         "'k' as key, '{}' as value"
     )
     logfiles.write_log(log, str(tmp_path / "log"))
