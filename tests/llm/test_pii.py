@@ -48,6 +48,19 @@ def test_base_spans_equal_plain_patterns(make_docs):
         assert [(s.start, s["rank"], s.end) for s in found[i] if s.base] == base_spans(text), text and text[:80]
 
 
+def test_no_candidate_is_lost_to_the_first_filter(make_docs):
+    sparse = ["pay 4" + " 1" * 15 + " now", "card 4" + "-1" * 15 + ".", "0" + " 0" * 11, "1" + "-1" * 18, "+1 2 3 4 5 6 7 8 9", "a@b.c", "1.2.3.4"]
+    found = {r.doc_id: r.spans for r in pii.find_pii(make_docs(*sparse)).collect()}
+    for i, text in enumerate(sparse):
+        assert [(s.start, s["rank"], s.end) for s in found[i] if s.base] == base_spans(text), text
+    assert [s.kind for s in found[0]] == [s.kind for s in found[1]] == ["card"]
+    clean = {r.doc_id: r.text for r in pii.redacted(make_docs(*sparse)).collect()}
+    assert (clean[0], clean[1]) == ("pay [CARD] now", "card [CARD].")
+    loose = ["token a1b2c3d4e5f6a7b8 end", "ABCDEFGHIJKLMNOPQRST", "ABCD1E2F3G4H5I6J7K8L", "a-b-c-d-e-f-g-h-1-j-k-l-m-n-o-p-q", "1a2b3c4d5e6f7a8b"]
+    kinds = make_docs(*loose).select("doc_id", pii.candidates(F.col("text"))["kind"].alias("kinds")).collect()
+    assert [r.kinds for r in sorted(kinds)] == [["secret"], ["key"], ["key"], ["secret"], ["secret"]]
+
+
 def test_method_adds_spans_and_keeps_the_base(make_docs):
     rng = random.Random(3)
     texts = []

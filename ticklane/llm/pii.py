@@ -42,6 +42,8 @@ LOOSE = {
 KINDS = (*BASE, *LOOSE)
 #: Kinds that can only occur where a text has this: spares the pattern elsewhere.
 _NEEDS = {"email": "@", "phone": "+"}
+#: A text without any of this holds no match of any kind: each pattern contains one branch.
+_DENSE = r"[0-9][\x20.-]?[0-9]|@|[A-Z0-9]{16}|[0-9a-f]{16}|[A-Za-z0-9_-]{32}|\+[0-9]"
 #: Words that announce a kind, lower case.
 _CONTEXT = {
     "email": r"e-?mail|correo|courriel|mail",
@@ -149,9 +151,8 @@ def candidates(text: Column) -> Column:
     Positions are code points, the end exclusive. base: a match that passes the checks of its
     base pattern.
     """
-    dense = text.rlike(r"[0-9]{2}|[0-9]\.[0-9]|@|[A-Z0-9]{16}|[A-Za-z0-9_-]{32}|\+[0-9]")
     judged = F.transform(F.concat(*[_spans(k, text) for k in KINDS]), _judged)
-    return F.when(dense, judged)
+    return F.when(text.rlike(_DENSE), judged)
 
 
 def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 100):
