@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from made import make_docs  # noqa: F401
@@ -151,6 +152,39 @@ def test_repeats_equal_brute_force(make_docs, monkeypatch, block, samples, pairs
     assert found == removed(rows)
 
 
+def ruled_rows():
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    near = [text(50) for _ in range(6)]
+    rows = [text(rng.randrange(90)) + rng.choice(near)[rng.randrange(20) :] + "-" * 60 + rng.choice(near)[: rng.randrange(51)] + text(80) for _ in range(120)]
+    return list(enumerate(rows + ["=" * 400, rows[0], rows[1]], 3))
+
+
+@pytest.mark.parametrize("samples", [100, 10**6])
+def test_heads_of_rule_lines_are_dealt_out(make_docs, monkeypatch, samples):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_SAMPLES", samples)
+    monkeypatch.setattr(suffix_dedup, "WIDE", 20)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    kept = {}
+    monkeypatch.setattr(suffix_dedup, "stored", lambda frame, name, *a, f=suffix_dedup.stored: kept.setdefault(name, f(frame, name, *a)))
+    rows = ruled_rows()
+    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(make_docs(*rows)).collect()}
+    assert found == removed(rows) and sum(n for _, n, _, _ in found.values()) > 500
+    heads = kept["repeat-samples"].filter("head <> 0").groupBy("head").count().collect()
+    assert {r.head for r in heads if r["count"] > 20} == {r.head for r in kept["repeat-wide-heads"].collect()} != set()
+    assert (min(r.head for r in heads) < 0) == (samples == 100)
+    assert kept["repeat-wide-edges"].count() > 0
+
+
+def test_samples_of_one_head_go_to_many_buckets():
+    frame = pd.DataFrame(ruled_rows(), columns=["doc_id", "text"])
+    dashes = suffix_dedup._Hashes(np.frombuffer(b"-" * 28, np.uint8)).of(np.array([0]), np.array([28]))
+    samples = lambda wide: {r.bucket: len(r.heads) // 4 for f in suffix_dedup._ranked([frame], 8, wide) for r in f.itertuples()}
+    together, dealt = samples(np.zeros(0, np.uint64)), samples(dashes)
+    assert max(together.values()) > 250 and len([b for b in dealt if b >= 8]) == 8
+    assert max(n for b, n in dealt.items() if b >= 8) < 120 and sum(dealt.values()) == sum(together.values())
+
+
 def test_cover_meets_every_difference():
     cover = suffix_dedup.COVER
     differences = {(a - b) % suffix_dedup.PERIOD for a in cover for b in cover}

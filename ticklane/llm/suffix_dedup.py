@@ -19,18 +19,20 @@ bytes from there on. So it is enough to sort samples, a share of len(COVER) / PE
 
 Within a block of documents, samples with equal head and surroundings are sent once, so a
 passage found in a third of all documents sends as many entries as there are blocks. Heads
-with many different surroundings are compared by sets of strings, in linear time.
+with many different surroundings, as those in rule lines, are dealt out: in 1 by head and
+surroundings (a sample of documents tells the heads, and so the places of work only), in 3 by
+the strings around their samples, which equal an earlier string or not.
 """
 
 import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklane.llm.shingles import mixed
-from ticklane.llm.tables import stored, texts
+from ticklane.llm.tables import sized, stored, texts
 
 LENGTH = 100
 #: A difference cover of 73: every difference modulo 73 is one of two members, once.
@@ -42,6 +44,12 @@ BEFORE = PERIOD - 1
 BLOCK_BYTES, BUCKET_SAMPLES, BUCKET_EDGES = 2_000_000, 1_000_000, 60_000
 #: Heads with more samples than this are compared by sets, not in pairs.
 PAIRS = 12
+#: Heads with more open samples than this are not kept together: their strings are dealt out.
+WIDE = 1_000
+#: One in so many documents is looked at for heads that fill a tenth of a bucket.
+SAMPLED = 64
+#: Strings of wide heads of which a task sends equal ones once.
+STRINGS = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -87,15 +95,39 @@ def _blocks(frames):
         yield block
 
 
-def _ranked(frames, buckets: int):
-    """Per block and bucket the samples (heads, surroundings, places), and the block's documents."""
+def _placed(block):
+    """(lengths, starts, samples a document, document starts by sample, samples) in the joined block."""
+    lengths = np.array([len(raw) for _, raw in block])
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    offsets = [sample_offsets(n) for n in lengths]
+    sizes = [len(o) for o in offsets]
+    base = np.repeat(starts[:-1], sizes)
+    return lengths, starts, sizes, base, np.concatenate(offsets) + base
+
+
+def _heads(frames):
     for block in _blocks(frames):
-        lengths = np.array([len(raw) for _, raw in block])
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        offsets = [sample_offsets(n) for n in lengths]
-        sizes = [len(o) for o in offsets]
-        base = np.repeat(starts[:-1], sizes)
-        at = np.concatenate(offsets) + base
+        at = _placed(block)[-1]
+        head, n = np.unique(_Hashes(np.frombuffer(b"".join(raw for _, raw in block), np.uint8)).of(at, at + HEAD), return_counts=True)
+        yield pd.DataFrame({"head": head.view(np.int64), "n": n})
+
+
+def wide_heads(docs: DataFrame) -> np.ndarray:
+    """Sorted fingerprints of heads with about a tenth of a bucket of samples or more."""
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(78), "doc_id"), F.lit(SAMPLED)) == 0)
+    heads = some.mapInPandas(_heads, "head long, n long").groupBy("head").agg(F.sum("n").alias("n"))
+    found = heads.filter(F.col("n") * 10 * SAMPLED >= BUCKET_SAMPLES).select("head").collect()
+    return np.sort(np.array([r.head for r in found], np.int64).view(np.uint64))
+
+
+def _ranked(frames, buckets: int, wide: np.ndarray):
+    """Per block and bucket the samples (heads, surroundings, places), and the block's documents.
+
+    Samples of wide heads go to buckets from `buckets` on, by their surroundings; these have
+    the place of the head in `wide`, and all 64 bits of the surroundings.
+    """
+    for block in _blocks(frames):
+        lengths, starts, sizes, base, at = _placed(block)
         low = np.maximum(at - BEFORE, base)
         high = np.minimum(at + LENGTH, base + np.repeat(lengths, sizes))
         hashes = _Hashes(np.frombuffer(b"".join(raw for _, raw in block), np.uint8))
@@ -108,7 +140,15 @@ def _ranked(frames, buckets: int):
         again = np.zeros(len(at), bool)
         again[1:] = (head[1:] == head[:-1]) & (around[1:] == around[:-1])
         bucket = ((head >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)
-        edge = np.searchsorted(bucket, np.arange(buckets + 1))  # sorted by head, so by bucket
+        name = head & np.uint64(0xFFFFFFFF)
+        if len(wide):
+            index = np.minimum(np.searchsorted(wide, head), len(wide) - 1)
+            dealt = wide[index] == head
+            bucket = np.where(dealt, buckets + ((around & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), bucket)
+            name = np.where(dealt, index.astype(np.uint64), name)
+            order = np.argsort(bucket, kind="stable")
+            bucket, name, around, at, doc, again = bucket[order], name[order], around[order], at[order], doc[order], again[order]
+        edge = np.searchsorted(bucket, np.arange(2 * buckets + 1))  # sorted by head, so by bucket
         at -= starts[doc]
         rows = []
         for b in np.flatnonzero(np.diff(edge)):
@@ -117,7 +157,8 @@ def _ranked(frames, buckets: int):
             # the earliest of equal samples of a block stands for the others, which are covered
             new, old = ~again[own], again[own]
             rows.append((
-                int(b), (head[own][new] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (around[own][new] >> np.uint64(32)).astype(np.uint32).tobytes(),
+                int(b), name[own][new].astype(np.uint32).tobytes(),
+                (around[own][new] if b >= buckets else (around[own][new] >> np.uint64(32)).astype(np.uint32)).tobytes(),
                 at[own][new].astype(np.uint32).tobytes(), place[new].astype(np.uint32).tobytes(),
                 at[own][old].astype(np.uint32).tobytes(), place[old].astype(np.uint32).tobytes(), ids[used].tobytes(),
             ))
@@ -127,15 +168,20 @@ def _ranked(frames, buckets: int):
 _RANKED = "bucket int, heads binary, arounds binary, offsets binary, places binary, old_offsets binary, old_places binary, docs binary"
 
 
-def _bucket(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: covered samples (head 0), and open ones with their head."""
+def _bucket(key, frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Of one bucket: covered samples (head 0), and open ones with their head.
+
+    In a bucket of wide heads the earliest of equal surroundings is open in any case, as other
+    surroundings of the head are in other buckets; such heads are below 0.
+    """
+    dealt = key[0] >= buckets
     joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in frame[name]])
     named = lambda places: np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(p, np.uint32)] for d, p in zip(frame.docs, frame[places])])
-    head, around, at, doc = joined("heads", np.uint32), joined("arounds", np.uint32), joined("offsets", np.uint32), named("places")
+    head, around, at, doc = joined("heads", np.uint32), joined("arounds", np.uint64 if dealt else np.uint32), joined("offsets", np.uint32), named("places")
     old = pd.DataFrame({"doc_id": named("old_places"), "at": joined("old_offsets", np.uint32).astype(np.int32), "head": np.int64(0)})
     order = np.argsort(head, kind="stable")
     same = head[order[1:]] == head[order[:-1]]
-    twice = np.zeros(len(head), bool)
+    twice = np.full(len(head), dealt)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     head, around, at, doc = head[twice], around[twice], at[twice], doc[twice]
     order = np.lexsort((at, doc, around, head))
@@ -147,8 +193,8 @@ def _bucket(key, frame: pd.DataFrame) -> pd.DataFrame:
     change[1:] = head[1:] != head[:-1]
     group = np.cumsum(change) - 1
     kinds = np.bincount(group, weights=first) if len(group) else np.zeros(0)
-    keep = ~first | (kinds[group] > 1)
-    cls = (np.int64(key[0]) << np.int64(32)) + head.astype(np.int64) + 1
+    keep = ~first | (kinds[group] > 1) | dealt
+    cls = -1 - head.astype(np.int64) if dealt else (np.int64(key[0]) << np.int64(32)) + head.astype(np.int64) + 1
     found = pd.DataFrame({"doc_id": doc, "at": at.astype(np.int32), "head": np.where(first, cls, 0)})[keep]
     return pd.concat([old, found], ignore_index=True)
 
@@ -161,6 +207,7 @@ def _parts(frames):
 
 
 def _surroundings(frames):
+    """The bytes around open samples."""
     for frame in _parts(frames):
         rows = []
         for doc_id, text, places, heads in zip(frame.doc_id, frame.text, frame.places, frame.heads):
@@ -171,6 +218,44 @@ def _surroundings(frames):
         yield pd.DataFrame(rows, columns=["head", "doc_id", "at", "before", "around"])
 
 
+def _sent(digests: list[bytes], doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
+    """Strings once each, the earliest of equal ones, and intervals of the later ones (again)."""
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    order = np.lexsort((start, doc, both[:, 1], both[:, 0]))
+    both, doc, start = both[order], doc[order], start[order]
+    again = np.zeros(len(doc), bool)
+    again[1:] = (both[1:] == both[:-1]).all(axis=1)
+    new = pd.DataFrame({"one": both[~again, 0], "two": both[~again, 1], "doc_id": doc[~again], "start": start[~again]})
+    doc, start = doc[again], start[again]
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    # later strings that start side by side are one interval
+    apart = np.flatnonzero((np.diff(doc, prepend=doc[:1] - 1) != 0) | (np.diff(start, prepend=start[:1]) > 1))
+    last = np.append(apart[1:], len(doc))[: len(apart)] - 1
+    old = pd.DataFrame({"one": start[apart], "two": doc[apart], "doc_id": doc[apart], "start": start[apart], "end": start[last] + LENGTH})
+    return pd.concat([new.assign(end=new.start + LENGTH, again=False), old.assign(again=True)], ignore_index=True)
+
+
+def _strings(frames):
+    """All strings that hold an open sample of a wide head, by a digest of 128 bits."""
+    digests, docs, starts = [], [], []
+    for frame in frames:
+        for doc_id, text, places in zip(frame.doc_id, frame.text, frame.places):
+            raw = text.encode("utf-8")
+            own = np.unique(np.asarray(places, np.int64)[:, None] + np.arange(-BEFORE, 1))
+            own = own[(own >= 0) & (own <= len(raw) - LENGTH)]
+            for s in range(0, len(own), STRINGS):
+                part = own[s : s + STRINGS]
+                digests += [hashlib.blake2b(raw[i : i + LENGTH], digest_size=16).digest() for i in part.tolist()]
+                docs.append(np.full(len(part), doc_id, np.int64))
+                starts.append(part)
+                if len(digests) >= STRINGS:
+                    yield _sent(digests, np.concatenate(docs), np.concatenate(starts))
+                    digests, docs, starts = [], [], []
+    if digests:
+        yield _sent(digests, np.concatenate(docs), np.concatenate(starts))
+
+
 def _paired(around: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal bytes before and from the sample on, for pairs of rows of aligned surroundings."""
     left, right = np.empty(len(one), np.int32), np.empty(len(one), np.int32)
@@ -250,18 +335,35 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     samples = size * len(COVER) // PERIOD
     buckets = samples // BUCKET_SAMPLES + 1
-    ranked = docs.mapInPandas(lambda f: _ranked(f, buckets), _RANKED)
-    found = stored(ranked.groupBy("bucket").applyInPandas(_bucket, "doc_id long, at int, head long"), "repeat-samples")
+    wide = wide_heads(docs) if buckets > 1 else np.zeros(0, np.uint64)
+    ranked = docs.mapInPandas(lambda f: _ranked(f, buckets, wide), _RANKED)
+    found = stored(ranked.groupBy("bucket").applyInPandas(lambda key, f: _bucket(key, f, buckets), "doc_id long, at int, head long"), "repeat-samples")
     opened = found.filter("head <> 0")
+    large = stored(opened.groupBy("head").count().filter(f"count > {WIDE}").select("head"), "repeat-wide-heads")
+    covered = found.filter("head = 0").selectExpr("doc_id", f"bigint(at - {BEFORE}) start", f"bigint(at + {LENGTH}) end")
+    if not large.isEmpty():
+        covered = covered.union(_wide_edges(docs, opened.join(sized(large), "head", "left_semi")))
+        opened = opened.join(sized(large), "head", "left_anti")
     groups = opened.count() // BUCKET_EDGES + 1
     places = opened.groupBy("doc_id").agg(F.collect_list("at").alias("places"), F.collect_list("head").alias("heads"))
     around = docs.join(places, "doc_id").mapInPandas(_surroundings, "head long, doc_id long, at int, before int, around binary")
     around = around.withColumn("part", F.pmod(F.xxhash64("head"), F.lit(groups)))
     edges = stored(around.groupBy("part").applyInPandas(lambda f: _edges(f.drop(columns="part")), "doc_id long, start long, end long"), "repeat-edges")
-    covered = found.filter("head = 0").selectExpr("doc_id", f"bigint(at - {BEFORE}) start", f"bigint(at + {LENGTH}) end")
     return covered.union(edges)
 
 
+def _wide_edges(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """Intervals of strings around the samples that equal an earlier such string.
+
+    A task sends equal strings once, so a string has at most as many rows as there are parts.
+    """
+    places = opened.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    strings = docs.join(places, "doc_id").mapInPandas(_strings, "one long, two long, doc_id long, start long, end long, again boolean")
+    order = Window.partitionBy("one", "two", "again").orderBy("doc_id", "start")
+    later = strings.withColumn("nth", F.row_number().over(order)).filter("again or nth > 1")
+    return stored(later.select("doc_id", "start", "end"), "repeat-wide-edges")
+
+
 def _removed(frames):
     for frame in _parts(frames):
         rows = []
