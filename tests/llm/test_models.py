@@ -208,6 +208,26 @@ def test_what_is_around_an_article(spark):
     assert html_text.main_text(page, model) == "Title here\nWords of the article go on here."
 
 
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize("name", ["content-with-sidebar", "post share-enabled", "no-comments", "sidebar", "main-nav", "page-header", "post promo"])
+def test_a_class_name_does_not_lose_an_article(spark, name):
+    page = f'<nav><a href="/">Home</a></nav><div class="{name}"><h1>A title of five words</h1><p>{LONG}</p><p>{LONG}</p></div><footer>{LONG}</footer>'
+    assert html_text.main_text(page, html_text.tree(spark)).split("\n") == ["A title of five words", LONG.strip(), LONG.strip()]
+
+
+def test_links_and_short_texts_in_named_elements_stay_out(spark):
+    links = "".join(f'<li><a href="{i}">some link {i}</a></li>' for i in range(9))
+    page = f'<article><p>{LONG}</p></article><div class="sidebar"><div class="content"><ul>{links}</ul></div></div><div class="share">Share this now</div><div id="comments"><div class="post"><p>{LONG}</p></div></div>'
+    assert html_text.main_text(page, html_text.tree(spark)) == LONG.strip()
+
+
+def test_hidden_elements_end_where_they_end():
+    page = '<p>a</p><svg/><p>b</p><svg><svg><text>no</text></svg>no</svg><p>c</p><datalist><option>no<option>no</datalist><p>d</p><select><option>no</option></select>e'
+    assert [b[0] for b in html_text.blocks(page)] == ["a", "b", "c", "d", "e"]
+
+
 def test_tree_fits_its_table(spark):
     model = html_text.tree(spark)
     assert all(trees.value(model, x) == y for x, y in html_labels.rows())

@@ -1,7 +1,8 @@
 """Labelled blocks from which the tree of html_text learns, written by hand.
 
 container: 0 none, 1 article or main, 2 nav, menu or sidebar, 3 page header or footer,
-4 advert, notice or form, 5 comments. heading: 1 for h1 to h6. Words and link density are
+4 advert or dialog, 5 comments, 6 a form, or an element that its class, id or role alone puts
+in 2 to 4: there many words with few links are content. heading: 1 for h1 to h6. Words and link density are
 those of the block, of the block before and of the block after (0 at the page's ends).
 """
 
@@ -67,6 +68,27 @@ BLOCKS = """
 5 0 55 0.0 20 0.0 44 0.0 0
 5 0 3 1.0 55 0.0 20 0.0 0
 5 1 2 0.0 90 0.0 4 0.0 0
+6 0 60 0.0 70 0.0 55 0.0 1
+6 0 45 0.1 12 0.0 60 0.0 1
+6 0 35 0.0 50 0.0 3 1.0 1
+6 0 110 0.03 4 1.0 80 0.0 1
+6 0 40 0.0 3 1.0 0 0.0 1
+6 0 70 0.0 0 0.0 0 0.0 1
+6 1 8 0.0 3 1.0 60 0.0 1
+6 1 5 0.0 0 0.0 45 0.0 1
+6 0 22 0.0 40 0.0 35 0.0 1
+6 0 14 0.0 1 1.0 3 0.0 0
+6 0 12 0.0 2 1.0 14 0.0 0
+6 0 6 0.0 22 0.0 18 0.0 0
+6 0 5 0.0 60 0.0 60 0.0 0
+6 0 2 0.0 15 0.0 10 0.0 0
+6 0 3 0.0 3 1.0 60 0.0 0
+6 0 9 0.0 3 1.0 45 0.0 0
+6 0 4 0.0 0 0.0 60 0.0 0
+6 0 3 1.0 2 1.0 4 1.0 0
+6 0 25 0.9 4 1.0 30 0.9 0
+6 0 40 0.8 3 1.0 30 0.9 0
+6 1 3 0.0 1 1.0 2 1.0 0
 """
 
 

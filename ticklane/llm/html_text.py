@@ -2,7 +2,8 @@
 
 A page is cut into flat blocks of text at block-level tags. A block has its number of words,
 its share of words inside links, the same of the blocks before and after it, and the kind of
-container it stands in. A tree trained on the small table of html_labels tells content from
+container it stands in. Elements such as nav or footer tell a kind; class, id and role of others
+only hint at one, so that words and links decide there. A tree trained on the small table of html_labels tells content from
 the rest. Scripts, styles, markup, comments in the source and form controls are no text.
 """
 
@@ -23,9 +24,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose text is not shown, or belongs to a form.
 _HIDDEN = frozenset("script style noscript template textarea select svg iframe title object math button option".split())
+#: Those of them that can hold their like, and the end of one that needs no end tag.
+_NESTING = frozenset("svg object math template".split())
+_OPTION_END = re.compile(r"</option\b[^>]*>|(?=<option\b|</?(?:select|datalist|optgroup)\b)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ARTICLE, _MENU, _EDGE, _EXTRA, _COMMENTS = 1, 2, 3, 4, 5
-_KINDS = {"article": _ARTICLE, "main": _ARTICLE, "nav": _MENU, "menu": _MENU, "aside": _MENU, "header": _EDGE, "footer": _EDGE, "form": _EXTRA, "dialog": _EXTRA}
+_ARTICLE, _MENU, _EDGE, _EXTRA, _COMMENTS, _HINT = 1, 2, 3, 4, 5, 6
+_KINDS = {"article": _ARTICLE, "main": _ARTICLE, "nav": _MENU, "menu": _MENU, "aside": _MENU, "header": _EDGE, "footer": _EDGE, "form": _HINT, "dialog": _EXTRA}
 #: Words of a class, id or role that tell the container.
 _NAMED = (
     (_COMMENTS, re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|discussion|disqus|respond)(?:$|[\s_-])", re.I)),
@@ -34,6 +38,8 @@ _NAMED = (
     (_EDGE, re.compile(r"(?:^|[\s_-])(?:header|footer|masthead|copyright)(?:$|[\s_-])", re.I)),
     (_ARTICLE, re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.I)),
 )
+#: Names that tell what a page has or lacks, not what the element is, or from where on they do.
+_STATE = re.compile(r"(?:(?<=\s)|^)(?:no|has|is|without|show|hide)[_-]\S*|[_-](?:with|without|has|no)[_-]\S*|\S*[_-](?:enabled|disabled|open|closed|on|off)(?=\s|$)", re.I)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -41,12 +47,31 @@ def _kind(tag: str, attributes: str) -> int:
     kind = _KINDS.get(tag, 0)
     if kind <= _ARTICLE and attributes and tag not in ("body", "html"):
         for names in _ATTRIBUTE.findall(attributes):
+            own = _STATE.sub("", "".join(names))
             for found, pattern in _NAMED:
-                if pattern.search("".join(names)):
-                    return found
+                if pattern.search(own):
+                    return found if found in (_ARTICLE, _COMMENTS) else _HINT
     return kind
 
 
+def _end(tag: str, attributes: str, page: str, at: int) -> int | None:
+    """Where a hidden element ends whose start tag ends at `at`; none if it is not closed."""
+    if tag in ("svg", "math") and attributes.rstrip().endswith("/"):
+        return at
+    if tag == "option":
+        end = _OPTION_END.search(page, at)
+        return end and end.end()
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b([^>]*)>", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag in _NESTING and not m[2].endswith("/"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return None
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """Blocks in page order: (text, words, words in links, heading, container)."""
     out, text = [], []
@@ -64,12 +89,17 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         linked = 0
 
     def container() -> int:
-        """Kind of the place: what is around an article does not count in it, but comments do."""
+        """Kind of the place: what is around an article does not count in it, but comments do.
+
+        Else the innermost element counts that has a kind; a class such as content does so only
+        where nothing else has one.
+        """
         kinds = [k for _, k in opened]
         if _COMMENTS in kinds:
             return _COMMENTS
         own = [i for i, (t, k) in enumerate(opened) if t in ("article", "main") and k == _ARTICLE]
-        return max(kinds[own[-1] :] if own else kinds, default=0)
+        kinds = [k for k in (kinds[own[-1] :] if own else kinds) if k]
+        return next((k for k in reversed(kinds) if k != _ARTICLE), kinds[-1] if kinds else 0)
 
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -99,9 +129,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         else:
             flush()
             if tag in _HIDDEN:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                if end or tag in ("script", "style"):
-                    at = end.end() if end else len(page)
+                end = _end(tag, attributes, page, at)
+                if end is not None or tag in ("script", "style"):
+                    at = len(page) if end is None else end
             elif tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6"):
                 heading = 1
             elif tag not in _VOID and tag not in ("p", "li", "tr", "td", "th", "dt", "dd", "body", "html"):
@@ -123,7 +153,7 @@ def featured(found: list[tuple[str, int, int, int, int]]) -> list[list[float]]:
 def _fitted(app: str) -> object:
     spark = SparkSession.active()
     table = spark.createDataFrame(html_labels.rows(), "x array<double>, label double")
-    tree = DecisionTreeClassifier(maxDepth=5, featuresCol="features", labelCol="label", seed=7)
+    tree = DecisionTreeClassifier(maxDepth=7, featuresCol="features", labelCol="label", seed=7)
     return nested(tree.fit(table.select("label", array_to_vector("x").alias("features"))).toDebugString)
 
 
