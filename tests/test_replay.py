@@ -206,6 +206,24 @@ def test_copies_are_reduced_before_the_shuffle(spark):
     assert "Window" not in plan and "SortAggregate" not in plan
 
 
+def test_rows_of_one_offset_count_once(spark):
+    """A log appended twice, and equal offsets of two topic partitions."""
+    log = [message(i, "telemetry", "a", tick=i % 3, speed=float(i)) for i in range(6)]
+    other = [message(0, "telemetry", "a", tick=0, speed=-1.0), message(1, "telemetry", "b", tick=1)]
+    rows = frame(spark, log + log + other)
+    found = replay.first_arrivals(rows)
+    assert set(found.columns) == set(rows.columns)
+    got = sorted((r.run_id, r.tick, r.log_offset, r.speed) for r in found.collect())
+    assert got == [("a", 0, 0, -1.0), ("a", 1, 1, 1.0), ("a", 2, 2, 2.0), ("b", 1, 1, 0.0)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = replay.first_arrivals(rows)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hash") == 3  # none for the rows that the join has placed
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_summary_uses_the_placement_of_its_join(spark):
     """The ticks that met their cut-off are not shuffled again for the report."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -84,14 +84,17 @@ def run_ends(messages: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def first_arrivals(rows: DataFrame) -> DataFrame:
-    """Per (run_id, tick) the row with the lowest log_offset.
+    """Per (run_id, tick) the row with the lowest log_offset; of several such rows the least.
 
     The lowest offset is a hash aggregate over three narrow columns, so copies are
-    reduced before the shuffle; the rows then semi-join it on all three.
+    reduced before the shuffle; the rows then semi-join it on all three. Rows that share
+    the offset too are reduced where the join has placed them.
     """
     place = ["run_id", "tick", "log_offset"]
     first = rows.groupBy("run_id", "tick").agg(F.min("log_offset").alias("log_offset"))
-    return rows.join(first, place, "left_semi").select(*place, *[n for n in rows.columns if n not in place])
+    rest = F.struct(*[n for n in rows.columns if n not in place])
+    least = F.sort_array(F.collect_set(rest))[0].alias("row")
+    return rows.join(first, place, "left_semi").groupBy(*place).agg(least).select(*place, "row.*")
 
 
 def kept_telemetry(
