@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklane.llm import bpe, contamination, html_text, line_crf, near_join, pii, rules, suffix_dedup, token_counts, toxicity
+from ticklane.llm import (
+    bpe, contamination, html_text, line_crf, near_join, pii, prefix_trie, rules, suffix_dedup, token_counts, toxicity,
+)
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -68,11 +70,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_crf, op2_suffix_dedup, op3_rule_ensemble, op4_html_text, op5_bpe_codec,
-        op6_token_counts, op7_toxicity, op8_decontamination, op9_pii, op10_ngram_join,
+        op6_token_counts, op7_toxicity, op8_decontamination, op9_pii, op10_ngram_join, op11_prefix_trie,
     )
 }
 
@@ -128,5 +134,51 @@ reached AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.root) AS component_id
 FROM documents AS d LEFT JOIN sizes AS s ON s.doc_id = d.doc_id JOIN reached AS r ON r.node = d.doc_id
 GROUP BY d.doc_id, s.n
+""",
+    "op11_prefix_trie": rf"""
+WITH own AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (
+    SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+           flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: list_transform(range(8), lambda b: (ascii(x)::BIGINT >> b) & 1))) AS bits
+    FROM own GROUP BY conv_id
+),
+convs AS (
+    SELECT conv_id, n, base, xor(list_reduce(bits, lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1)), 4294967295::BIGINT), 4294967295) % 4 AS h
+    FROM ids
+),
+turns AS (
+    SELECT c.conv_id, o.i + 1 AS d, o.role, o.text FROM convs AS c JOIN own AS o ON o.conv_id = c.base AND o.i < c.h
+    UNION ALL
+    SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + o.i - c.h + 1, o.role, o.text
+    FROM convs AS c JOIN own AS o ON o.conv_id = c.conv_id AND o.i >= c.h LEFT JOIN convs AS b ON b.conv_id = c.base
+),
+members AS (
+    SELECT conv_id, d, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS p,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+    FROM turns
+    UNION ALL
+    SELECT conv_id, 0, '', 0 FROM convs
+),
+lengths AS (SELECT conv_id, max(d) AS d FROM members GROUP BY conv_id),
+ends AS (
+    SELECT d, p, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM members JOIN lengths USING (conv_id, d) GROUP BY d, p
+),
+nodes AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM members GROUP BY d, p),
+children AS (
+    SELECT up.d, up.p, count(*) AS n FROM nodes AS k JOIN members AS up ON up.conv_id = k.conv_id AND up.d = k.d - 1 GROUP BY up.d, up.p
+),
+subtrees AS (
+    SELECT up.d, up.p, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((k.n_convs - 1) * k.words) AS saved
+    FROM nodes AS k JOIN members AS up ON up.conv_id = k.conv_id AND up.d <= k.d LEFT JOIN children AS c ON c.d = k.d AND c.p = k.p
+    GROUP BY up.d, up.p
+),
+parents AS (SELECT n.d, n.p, o.conv_id FROM nodes AS n JOIN members AS m ON m.conv_id = n.conv_id AND m.d = n.d - 1 JOIN nodes AS o ON o.d = m.d AND o.p = m.p)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes AS n JOIN subtrees AS s USING (d, p) LEFT JOIN children AS c USING (d, p) LEFT JOIN ends AS e USING (d, p) LEFT JOIN parents AS u USING (d, p)
 """,
 }
