@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklane.llm import (
-    bpe, contamination, html_text, line_crf, near_join, pii, prefix_trie, rules, suffix_dedup, token_counts, toxicity,
+    bpe, byte_gru, contamination, html_text, lexical_search, line_crf, near_join, pii, prefix_trie, rules, suffix_dedup,
+    token_counts, toxicity,
 )
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -74,11 +75,23 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages are learned from rows outside the held-out quarter only; a row without an id is not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return byte_gru.predict(docs, byte_gru.train(docs.filter(~held_out))).withColumn("held_out", held_out)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_crf, op2_suffix_dedup, op3_rule_ensemble, op4_html_text, op5_bpe_codec,
-        op6_token_counts, op7_toxicity, op8_decontamination, op9_pii, op10_ngram_join, op11_prefix_trie,
+        op6_token_counts, op7_toxicity, op8_decontamination, op9_pii, op10_ngram_join, op11_prefix_trie, op12_lexical_search,
+        op13_byte_gru,
     )
 }
 
@@ -180,5 +193,32 @@ parents AS (SELECT n.d, n.p, o.conv_id FROM nodes AS n JOIN members AS m ON m.co
 SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves,
        s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM nodes AS n JOIN subtrees AS s USING (d, p) LEFT JOIN children AS c USING (d, p) LEFT JOIN ends AS e USING (d, p) LEFT JOIN parents AS u USING (d, p)
+""",
+    "op12_lexical_search": r"""
+WITH found AS (
+    SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE doc_id IS NOT NULL
+),
+docs AS (SELECT doc_id, doc, terms, len(terms) AS n FROM found WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+items AS (SELECT item_id, min(coalesce(text, '')) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+item_terms AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM items
+),
+tfs AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tfs, totals WHERE term IN (SELECT term FROM item_terms) GROUP BY term, n_docs
+),
+scores AS (
+    SELECT item_id, doc_id, doc, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM item_terms JOIN weights USING (term) JOIN tfs USING (term) JOIN docs USING (doc), totals
+    GROUP BY item_id, doc_id, doc
+),
+places AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM places WHERE rank <= 50
 """,
 }
