@@ -177,9 +177,16 @@ class _Search:
         self.width = width
 
     def branches(self, batches):
+        """Nodes of BRANCH documents, whatever the size of the batches."""
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for i in range(0, batch.num_rows, BRANCH):
-                yield _Node(batch.slice(i, BRANCH), self.width)
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= BRANCH:
+                rows = pa.concat_batches(held)
+                yield _Node(rows.slice(0, BRANCH), self.width)
+                held = [rows.slice(BRANCH)]
+        if any(b.num_rows for b in held):
+            yield _Node(pa.concat_batches(held), self.width)
 
     def at_leaf(self, node: _Node, k: int, find):
         """Calls find with the leaf's largest summands laid out by term."""

@@ -14,8 +14,10 @@ A document's set is its distinct word shingles (see shingles). Two sets link whe
    about their size (stars, not all pairs).
    Verified links form components; only list mates of different components are compared
    after that, and only at entries so early in both sets that the overlap which their two
-   sizes need is still possible. So groups of copies cost links in proportion to their
-   members, and no link between components is lost.
+   sizes need is still possible. Of such a pair the shared entries are counted, and only if
+   they are as many as the prefixes of a linked pair share are the texts compared. So
+   groups of copies cost links in proportion to their members, passages that many texts
+   share cost short lists of keys, and no link between components is lost.
 
 Hot keys: list sizes and pivots are combined before the shuffle, and the joins on a key may
 be split by adaptive execution. A set is never gathered across documents in one task.
@@ -184,6 +186,7 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = classes.filter("doc_id = rep").select("doc_id", "n").distinct()
 
     postings = docs.filter("doc_id is not null").mapInPandas(lambda f: _postings(f, common.value, limit, percent), "key long, doc_id long, late int")
+    postings = stored(postings, "near-postings")
     lists = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
     mates = stored(postings.join(lists, "key").join(reps, "doc_id").select("key", "doc_id", "n", "late"), "near-mates")
 
@@ -198,6 +201,7 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     star = star.filter("doc_id > a").groupBy("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).agg(F.count_distinct("key").alias("k"))
     star = star.join(reps.selectExpr("doc_id a", "n na"), "a")
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    # Sets that link share at least so many entries; light ones are known by pairs of them.
     likely = (small <= limit) | ((100 + percent) * (F.col("k") + F.ceil(large * percent / 100)) > percent * (small + large))
     star = stored(star.filter((100 * small >= percent * large) & likely).select("a", "b"), "near-star")
     links = verified(star, docs, percent)
@@ -216,7 +220,15 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     one, two = (placed.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("late").alias(f"late_{x}"), size.alias(f"size_{x}")) for x in "ab")
     one = one.filter((100 + percent) * (F.col("na") - F.col("late_a")) >= 2 * percent * F.col("na"))
     one = one.withColumn("size_b", F.explode(F.array("size_a", F.col("size_a") + 1)))
-    crossing = one.join(two, ["key", "size_b"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crossing = one.join(two, ["key", "size_b"]).filter(fits).select("a", "b", "na", "nb").distinct()
+    crossing = stored(crossing, "near-crossing")
+    in_pair = crossing.selectExpr("explode(array(a, b)) doc_id").distinct()
+    entries = mates.join(in_pair, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # a prefix each
+    entries = stored(entries, "near-entries")
+    for x in "ab":
+        crossing = crossing.join(entries.select(F.col("doc_id").alias(x), F.col("keys").alias(f"keys_{x}")), x)
+    crossing = crossing.withColumn("k", F.size(F.array_intersect("keys_a", "keys_b"))).filter(likely)
+    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(crossing.join(star, ["a", "b"], "left_anti"), docs, percent)
 
     same = classes.filter("doc_id > rep").selectExpr("rep a", "doc_id b")

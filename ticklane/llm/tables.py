@@ -12,13 +12,19 @@ from ticklane.sources.shared import stored
 
 #: Rows of a side that may be broadcast: ids or short keys, so some tens of MB at most.
 BROADCAST_ROWS = 1_000_000
+#: Rows that go to a Python worker at a time, unless the session says so: whole texts are large.
+ARROW_ROWS = 1_000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the Python workers, once a session, if they can't import it anyway."""
+    """Sets the session up for Python workers: they get the package, once, if they can't import
+    it anyway, and texts in small batches."""
+    if spark.conf.get(_ARROW) == "10000":  # Spark's default
+        spark.conf.set(_ARROW, ARROW_ROWS)
     package = Path(__file__).resolve().parents[1]
     known = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
     if package.parent in (Path(p).resolve() for p in known) or spark.sparkContext.applicationId in _shipped:
