@@ -39,8 +39,8 @@ BOUNDARIES = (2, 4, 8, 12, 16, 24, 32, 48, 64)
 #: A shingle is common if found in one of so many documents, and in COMMON_LEAST at least.
 #: At most (mean set size * COMMON_SHARE) shingles can be common, whatever the corpus size.
 COMMON_SHARE, COMMON_LEAST = 10_000, 8
-#: Times that a shingle must occur in one task's documents to be reported at all.
-COMMON_IN_TASK = 3
+#: Times that a shingle must occur in a stretch of so many shingles of a task to be reported at all.
+COMMON_IN_TASK, STRETCH = 2, 6_000_000
 
 
 def _digest(s: np.ndarray) -> int:
@@ -75,7 +75,7 @@ def _profile(frames):
         })
         sets += found
         held += sum(map(len, found))
-        if held > 3_000_000:  # bounds the memory of a long task
+        if held > STRETCH:  # bounds the memory of a long task
             yield common()
             sets, held = [], 0
     if (last := common()) is not None:
