@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -110,3 +111,13 @@ def test_reliabilities_are_recovered():
     assert prior == pytest.approx(0.3, abs=0.04)
     for j, (p, q) in enumerate(zip(right, silent)):
         assert table[j, 1, 2] == pytest.approx(p * (1 - q), abs=0.06)
+
+
+@pytest.mark.parametrize("text", ["12, " * 100_000, "a1@b.de 10.0.0.1 555-123-4567 " * 5_000, ("4111 1111 1111 1111, " + "0123456789abcdef, ") * 4_000])
+def test_many_matches_in_one_text_take_seconds(make_docs, text):
+    began = time.perf_counter()
+    (row,) = pii.find_pii(make_docs(text)).collect()
+    (clean,) = pii.redacted(make_docs(text)).collect()
+    assert time.perf_counter() - began < 60
+    assert [(s.start, s["rank"], s.end) for s in row.spans if s.base] == base_spans(text)
+    assert "a1@b" not in clean.text and "10.0.0.1" not in clean.text

@@ -70,6 +70,8 @@ _GAZETTEER = {
 }
 _VOTES = ("form", "gazetteer", "context", "surround")
 _NEAR = 24
+#: Spans that are handled at a time where lists grow or are compared.
+CHUNK = 128
 
 
 def _digits(span: Column) -> Column:
@@ -98,29 +100,56 @@ def valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: in a lambda an expression is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _starts(lengths: Column, gaps: Column) -> Column:
+    """Where each match starts, from the lengths of matches and of the gaps before them.
+
+    Sums run over stretches of CHUNK matches, so that growing lists are copied seldom.
+    """
+    none = F.array().cast("array<int>")
+    n = F.size(lengths)
+
+    def stretch(at: Column, k: Column) -> Column:
+        own = F.sequence(k * CHUNK, F.least((k + 1) * CHUNK, n) - 1)
+        return F.aggregate(
+            own, F.struct(at.alias("at"), none.alias("out")),
+            lambda acc, i: _let(
+                acc["at"] + F.get(gaps, i),
+                lambda start: F.struct((start + F.get(lengths, i)).alias("at"), F.concat(acc["out"], F.array(start)).alias("out")),
+            ),
+        )
+
+    return F.aggregate(
+        F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, k: _let(stretch(acc["at"], k), lambda one: F.struct(one["at"].alias("at"), F.concat(acc["out"], one["out"]).alias("out"))),
+    )["out"]
+
+
 def _spans(kind: str, text: Column) -> Column:
     """Array of (kind, start, end, span, before, after) of a pattern's matches.
 
     Split gives the gaps around the matches, so lengths added up give positions.
     """
     pattern = BASE.get(kind) or LOOSE[kind]
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.split(text, pattern, -1)
-    at = F.sequence(F.lit(0), F.size(found) - 1)
-    entry = lambda start, i: F.struct(
-        F.lit(kind).alias("kind"), start.cast("int").alias("start"), (start + F.length(F.get(found, i))).cast("int").alias("end"),
-        F.get(found, i).alias("span"), F.right(F.get(gaps, i), F.lit(_NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(_NEAR)).alias("after"),
-    )
     none = F.array().cast("array<struct<kind:string,start:int,end:int,span:string,before:string,after:string>>")
-    walked = F.aggregate(
-        at, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(found, i))).alias("at"),
-            F.concat(acc["out"], F.array(entry(acc["at"] + F.length(F.get(gaps, i)), i))).alias("out"),
-        ),
-    )["out"]
+
+    def entries(both: Column) -> Column:
+        found, gaps = both["found"], both["gaps"]
+        lengths = [F.transform(x, lambda y: F.length(y)) for x in (found, gaps)]
+        entry = lambda start, i: F.struct(
+            F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(F.get(found, i))).cast("int").alias("end"),
+            F.get(found, i).alias("span"), F.right(F.get(gaps, i), F.lit(_NEAR)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(_NEAR)).alias("after"),
+        )
+        sizes = F.struct(lengths[0].alias("found"), lengths[1].alias("gaps"))
+        return F.transform(_let(sizes, lambda x: _starts(x["found"], x["gaps"])), entry)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("found"), F.split(text, pattern, -1).alias("gaps"))
     there = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.lit(True)
-    return F.when(there & text.rlike(pattern), walked).otherwise(none)
+    return F.when(there & text.rlike(pattern), _let(both, entries)).otherwise(none)
 
 
 def _judged(s: Column) -> Column:
@@ -211,9 +240,23 @@ def decided(spans: Column, model: dict, threshold: float = 0.5) -> Column:
                 z = z + F.when(s[column].cast("string") == value, F.lit(w)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) >= threshold
 
+    def apart(base: Column):
+        """Base spans by stretches with their range, and so whether a span overlaps none of them."""
+        ks = F.sequence(F.lit(0), F.floor((F.size(base) - 1) / CHUNK).cast("int"))
+        part = lambda k: F.slice(base, k * CHUNK + 1, CHUNK)
+        stretch = lambda k: _let(part(k), lambda own: F.struct(
+            own.alias("own"), F.array_min(own["start"]).alias("low"), F.array_max(own["end"]).alias("high"),
+        ))
+        return F.when(F.size(base) > 0, F.transform(ks, stretch))
+
+    meets = lambda s, b: (s["start"] < b["end"]) & (b["start"] < s["end"])
+    taken = lambda s, parts: F.exists(parts, lambda p: (s["start"] < p["high"]) & (p["low"] < s["end"]) & F.exists(p["own"], lambda b: meets(s, b)))
     base = F.filter(spans, lambda s: s["base"])
-    free = lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-    more = F.filter(spans, lambda s: ~s["kind"].isin(*BASE) & likely(s) & free(s))
+    others = F.filter(spans, lambda s: ~s["kind"].isin(*BASE) & likely(s))
+    more = _let(
+        F.struct(others.alias("others"), apart(base).alias("parts")),
+        lambda x: F.filter(x["others"], lambda s: ~F.coalesce(taken(s, x["parts"]), F.lit(False))),
+    )
     order = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(i)) for i, k in enumerate(KINDS)])
     entry = lambda s: F.struct(s["start"].alias("start"), order(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"))
     return F.array_sort(F.transform(F.concat(base, more), entry))
@@ -235,19 +278,31 @@ def redacted(docs: DataFrame) -> DataFrame:
     n_chars, if there is such a column, is the new length. Overlapping spans become one.
     """
     text = F.col("text")
-    found = stored(docs.select(candidates(F.coalesce(text, F.lit(""))).alias("spans")).filter("spans is not null"), "pii-candidates")
-    spans = decided(candidates(text), fit(found))
-    walked = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-            ).alias("out"),
-        ),
-    )
-    clean = F.coalesce(F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text))), text)
-    out = docs.withColumn("text", clean)
+    mine = "_spans"
+    while mine in docs.columns:
+        mine += "_"
+    found = stored(docs.withColumn(mine, candidates(text)), "pii-documents")
+    spans = decided(F.col(mine), fit(found.select(F.col(mine).alias("spans")).filter("spans is not null")))
+
+    def pieces(spans: Column) -> Column:
+        """The text before each span and its label; a span that starts inside another joins it."""
+        walked = F.aggregate(
+            F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int")),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda acc, k: F.aggregate(
+                F.slice(spans, k * CHUNK + 1, CHUNK), acc,
+                lambda acc, s: F.struct(
+                    F.greatest(acc["at"], s["end"]).alias("at"),
+                    F.when(s["start"] < acc["at"], acc["out"]).otherwise(
+                        F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+                    ).alias("out"),
+                ),
+            ),
+        )
+        return _let(walked, lambda w: F.array_join(F.concat(w["out"], F.array(F.substring(text, w["at"] + 1, F.length(text)))), ""))
+
+    clean = F.when(F.size(spans) > 0, _let(spans, pieces)).otherwise(text)
+    out = found.withColumn("text", F.coalesce(clean, text)).drop(mine)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
