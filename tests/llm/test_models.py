@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from itertools import product
 
@@ -248,3 +249,24 @@ def test_flat_blocks_and_neighbours():
     found = html_text.blocks("<p>one two</p><ul><li><a>three</a> four</li></ul>")
     assert found == [("one two", 2, 0, 0, 0), ("three four", 2, 1, 0, 0)]
     assert html_text.featured(found) == [[0, 0, 2, 0, 0, 0, 2, 0.5], [0, 0, 2, 0.5, 2, 0, 0, 0]]
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<p data-x=it's>It isn't lost here, really.</p><p>second</p>", ["It isn't lost here, really.", "second"]),
+        ("<div title=don't>shown</div>", ["shown"]),
+        ("<a title=\"a>b\" href=x>link</a>", ["link"]),
+        ("<div hidden>no</div><p style='color:red; display: none'>no</p><p>yes</p>", ["yes"]),
+        ("<p hidden=''>no<p class='hidden-xs'>yes<div style=\"visibility:hidden\"><p>no</p></div>last", ["yes", "last"]),
+    ],
+)
+def test_quotes_and_elements_that_are_not_shown(page, texts):
+    assert [b[0] for b in html_text.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("part, count", [("<div>a", 100_000), ("<button>a", 100_000), ("<svg>a", 100_000), ("<option>a", 1), ("<div class=content>", 1)])
+def test_unclosed_elements_take_seconds(part, count):
+    began = time.perf_counter()
+    assert len(html_text.blocks(part * 100_000 + "end")) == count
+    assert time.perf_counter() - began < 20

@@ -9,6 +9,7 @@ the rest. Scripts, styles, markup, comments in the source and form controls are
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -20,7 +21,7 @@ from ticklane.llm import html_labels
 from ticklane.llm.tables import ship
 from ticklane.llm.trees import nested, value
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|([^<]+|<)", re.S)
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose text is not shown, or belongs to a form.
 _HIDDEN = frozenset("script style noscript template textarea select svg iframe title object math button option".split())
@@ -28,7 +29,7 @@ _HIDDEN = frozenset("script style noscript template textarea select svg iframe t
 _NESTING = frozenset("svg object math template".split())
 _OPTION_END = re.compile(r"</option\b[^>]*>|(?=<option\b|</?(?:select|datalist|optgroup)\b)", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ARTICLE, _MENU, _EDGE, _EXTRA, _COMMENTS, _HINT = 1, 2, 3, 4, 5, 6
+_ARTICLE, _MENU, _EDGE, _EXTRA, _COMMENTS, _HINT, _UNSEEN = 1, 2, 3, 4, 5, 6, 7
 _KINDS = {"article": _ARTICLE, "main": _ARTICLE, "nav": _MENU, "menu": _MENU, "aside": _MENU, "header": _EDGE, "footer": _EDGE, "form": _HINT, "dialog": _EXTRA}
 #: Words of a class, id or role that tell the container.
 _NAMED = (
@@ -40,11 +41,15 @@ _NAMED = (
 )
 #: Names that tell what a page has or lacks, not what the element is, or from where on they do.
 _STATE = re.compile(r"(?:(?<=\s)|^)(?:no|has|is|without|show|hide)[_-]\S*|[_-](?:with|without|has|no)[_-]\S*|\S*[_-](?:enabled|disabled|open|closed|on|off)(?=\s|$)", re.I)
+#: Attributes of an element that a browser does not show.
+_NOT_SHOWN = re.compile(r"(?:^|[\s\"'])hidden(?=$|[\s=/])|\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)\b(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def _kind(tag: str, attributes: str) -> int:
     kind = _KINDS.get(tag, 0)
+    if attributes and tag not in ("body", "html") and _NOT_SHOWN.search(attributes):
+        return _UNSEEN
     if kind <= _ARTICLE and attributes and tag not in ("body", "html"):
         for names in _ATTRIBUTE.findall(attributes):
             own = _STATE.sub("", "".join(names))
@@ -54,53 +59,93 @@ def _kind(tag: str, attributes: str) -> int:
     return kind
 
 
-def _end(tag: str, attributes: str, page: str, at: int) -> int | None:
-    """Where a hidden element ends whose start tag ends at `at`; none if it is not closed."""
-    if tag in ("svg", "math") and attributes.rstrip().endswith("/"):
-        return at
-    if tag == "option":
-        end = _OPTION_END.search(page, at)
+class _Ends:
+    """Where hidden elements of a page end; each kind of tag is looked up along the page once."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed, self.pairs = page, set(), {}
+
+    def of(self, tag: str, attributes: str, at: int) -> int | None:
+        """The end of the element whose start tag ends at `at`; none if it is not closed."""
+        if tag in ("svg", "math") and attributes.rstrip().endswith("/"):
+            return at
+        if tag in _NESTING:
+            if tag not in self.pairs:
+                self.pairs[tag] = self._paired(tag)
+            return self.pairs[tag].get(at)
+        if tag in self.unclosed:
+            return None
+        pattern = _OPTION_END if tag == "option" else re.compile(rf"</{tag}\b[^>]*>", re.I)
+        end = pattern.search(self.page, at)
+        if not end:
+            self.unclosed.add(tag)
         return end and end.end()
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}\b([^>]*)>", re.I).finditer(page, at):
-        if m[1]:
-            depth -= 1
-        elif tag in _NESTING and not m[2].endswith("/"):
-            depth += 1
-        if not depth:
-            return m.end()
-    return None
+
+    def _paired(self, tag: str) -> dict[int, int]:
+        opened, pairs = [], {}
+        for m in re.compile(rf"<(/?){tag}\b([^>]*)>", re.I).finditer(self.page):
+            if not m[1]:
+                if not m[2].endswith("/"):
+                    opened.append(m.end())
+            elif opened:
+                pairs[opened.pop()] = m.end()
+        return pairs
+
+
+class _Opened:
+    """The open elements, with the kind of place that the innermost one makes.
+
+    What is around an article does not count in it, but comments do. Else the innermost element
+    counts that has a kind; a class such as content does so only where nothing else has one.
+    """
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.places: list[tuple[bool, bool, int, bool]] = [(False, False, 0, False)]  # unseen, comments, kind, in an article
+        self.count: Counter = Counter()
+
+    def push(self, tag: str, kind: int) -> None:
+        unseen, comments, inner, article = self.places[-1]
+        if kind == _ARTICLE:
+            inner, article = (0 if tag in ("article", "main") else inner), True
+        elif kind:
+            inner = kind
+        self.tags.append(tag)
+        self.count[tag] += 1
+        self.places.append((unseen or kind == _UNSEEN, comments or kind == _COMMENTS, inner, article))
+
+    def close(self, tag: str) -> bool:
+        """Close the innermost such element and all in it, if there is one."""
+        found = self.count[tag] > 0
+        while found:
+            last = self.tags.pop()
+            self.places.pop()
+            self.count[last] -= 1
+            if last == tag:
+                break
+        return found
+
+    def place(self) -> int:
+        unseen, comments, inner, article = self.places[-1]
+        return _UNSEEN if unseen else _COMMENTS if comments else inner or (_ARTICLE if article else 0)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """Blocks in page order: (text, words, words in links, heading, container)."""
     out, text = [], []
     linked = heading = links = 0
-    # open elements with their kinds
-    opened: list[tuple[str, int]] = []
+    opened, ends = _Opened(), _Ends(page)
     at = 0
 
     def flush():
         nonlocal linked
         words = html.unescape("".join(text)).split()
-        if words:
-            out.append((" ".join(words), len(words), min(linked, len(words)), heading, container()))
+        place = opened.place()
+        if words and place != _UNSEEN:
+            out.append((" ".join(words), len(words), min(linked, len(words)), heading, place))
         text.clear()
         linked = 0
 
-    def container() -> int:
-        """Kind of the place: what is around an article does not count in it, but comments do.
-
-        Else the innermost element counts that has a kind; a class such as content does so only
-        where nothing else has one.
-        """
-        kinds = [k for _, k in opened]
-        if _COMMENTS in kinds:
-            return _COMMENTS
-        own = [i for i, (t, k) in enumerate(opened) if t in ("article", "main") and k == _ARTICLE]
-        kinds = [k for k in (kinds[own[-1] :] if own else kinds) if k]
-        return next((k for k in reversed(kinds) if k != _ARTICLE), kinds[-1] if kinds else 0)
-
     while m := _TOKEN.match(page, at):
         at = m.end()
         closing, tag, attributes, plain = m[1], m[2], m[3], m[4]
@@ -122,23 +167,24 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             flush()
             if tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6"):
                 heading = 0
-            if any(t == tag for t, _ in opened):
-                while opened.pop()[0] != tag:
-                    pass
+            if opened.close(tag):
                 links = 0
         else:
             flush()
+            if tag in ("p", "li", "td", "th") and opened.tags and opened.tags[-1] == tag:
+                opened.close(tag)  # such an element ends where the next one starts
             if tag in _HIDDEN:
-                end = _end(tag, attributes, page, at)
+                end = ends.of(tag, attributes, at)
                 if end is not None or tag in ("script", "style"):
                     at = len(page) if end is None else end
             elif tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6"):
                 heading = 1
             elif tag not in _VOID and tag not in ("p", "li", "tr", "td", "th", "dt", "dd", "body", "html"):
-                in_article = tag == "header" and any(t in ("article", "main") for t, _ in opened)
-                opened.append((tag, 0 if in_article else _kind(tag, attributes)))
+                kind = _kind(tag, attributes)
+                in_article = tag == "header" and kind != _UNSEEN and opened.count["article"] + opened.count["main"] > 0
+                opened.push(tag, 0 if in_article else kind)
             if tag in ("p", "li", "td", "th") and attributes and (kind := _kind(tag, attributes)) > _ARTICLE:
-                opened.append((tag, kind))
+                opened.push(tag, kind)
     flush()
     return out
 
