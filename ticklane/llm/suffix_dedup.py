@@ -41,7 +41,7 @@ COVER = np.array([1, 2, 4, 8, 16, 32, 37, 55, 64])
 HEAD = LENGTH - PERIOD + 1
 BEFORE = PERIOD - 1
 #: Bytes of documents in a block, and about how many samples or surroundings a bucket has.
-BLOCK_BYTES, BUCKET_SAMPLES, BUCKET_EDGES = 2_000_000, 1_000_000, 60_000
+BLOCK_BYTES, BUCKET_SAMPLES, BUCKET_EDGES = 1_000_000, 700_000, 40_000
 #: Heads with more samples than this are compared by sets, not in pairs.
 PAIRS = 12
 #: Heads with more open samples than this are not kept together: their strings are dealt out.
@@ -54,18 +54,30 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse; a worker keeps them from block to block."""
+    if len(_tables[0]) < n:
+        for i, factor in enumerate((_BASE, _INVERSE)):
+            table = np.full(max(n, BLOCK_BYTES * 5 // 4), factor, np.uint64)
+            table[0] = 1
+            _tables[i] = np.cumprod(table, out=table)
+    return [t[:n] for t in _tables]
+
+
 class _Hashes:
     """Fingerprints of any stretch of a byte string."""
 
     def __init__(self, raw: np.ndarray):
-        n = len(raw)
-        power = np.full(n + 1, _BASE, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power)
-        self.inverse = np.full(n + 1, _INVERSE, np.uint64)
-        self.inverse[0] = 1
-        self.inverse = np.cumprod(self.inverse)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n])])
+        power, self.inverse = _powers(len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        own = self.sums[1:]
+        own += raw
+        own += np.uint64(1)
+        own *= power[:-1]
+        np.cumsum(own, out=own)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
