@@ -79,7 +79,7 @@ def test_run_without_ticks(spark, make_ticks):
     wanted = spark.createDataFrame([("empty",), ("one",)], "run_id string")
     rows = {
         r.run_id: r.asDict()
-        for r in kpi.report_for(wanted, make_ticks({"one": [{}], "other": [{}]})).collect()
+        for r in kpi.report_for(wanted, kpi.slices(make_ticks({"one": [{}], "other": [{}]}))).collect()
     }
     assert set(rows) == {"empty", "one"}
     zeros = {name: 0 for name in schemas.KPI_FIELDS} | {"lap_times": [], "run_id": "empty"}

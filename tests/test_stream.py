@@ -13,6 +13,18 @@ from ticklane.sources import logfiles, shared
 from ticklane.streaming import ingest, tables
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_tasks(spark):
+    """Batches here are a few rows: one task a step is enough."""
+    settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def run_uuid(i):
     return f"0000aaaa-0000-4000-8000-{i:012d}"
 
@@ -72,10 +84,9 @@ def part(log, first, last):
     return log.filter(F.col("log_offset").between(first, last))
 
 
-def take_in(spark, root):
-    ingest.start(
-        logfiles.stream_log(spark, f"{root}/in"), f"{root}/t", f"{root}/cp", catch_up=True, buckets=4
-    ).awaitTermination()
+def take_in(spark, root, messages=500):
+    log = logfiles.stream_log(spark, f"{root}/in", f"{root}/cp", messages, per_task=20)
+    ingest.catch_up(log, f"{root}/t", f"{root}/cp", buckets=4)
 
 
 def test_stream_with_restarts_equals_batch(spark, log, expected):
@@ -83,11 +94,12 @@ def test_stream_with_restarts_equals_batch(spark, log, expected):
     for parts in (((0, 60), (61, 99)), ((100, 239),)):
         for first, last in parts:
             logfiles.write_log(part(log, first, last), f"{root}/in")
-        take_in(spark, root)
+        take_in(spark, root, 70)
     assert stored_state(spark, f"{root}/t") == expected
 
-    totals = {r.batch_id: r.total for r in tables.batch_totals(spark, f"{root}/t").collect()}
-    assert max(totals.values()) == 240 and len(totals) == 3
+    sizes = {r.batch_id: r.messages for r in tables.batch_totals(spark, f"{root}/t").collect()}
+    assert [sizes[i] for i in sorted(sizes)] == [70, 30, 70, 70]
+    assert sorted(map(tuple, logfiles.read_log(spark, f"{root}/in").select(log.columns).collect())) == sorted(map(tuple, log.collect()))
     bad = tables.read(spark, f"{root}/t", "quarantine").filter("reason = 'malformed'").count()
     assert bad == log.filter("value = '{broken'").count()
     # A restart without new messages stores nothing more.
@@ -114,17 +126,17 @@ def test_failure_between_writes_is_recovered(spark, log, expected, monkeypatch):
     root = shared.new_path(spark, "crash-test")
     tables.create(spark, root, 4)
     ingest.ingest_batch(part(log, 0, 119), 0, root)
-    write = tables.replace_batch
+    write = tables.replace_state
 
     def failing(rows, root_, table, batch_id):
         if table == "runs":
             raise RuntimeError("executor lost")
         write(rows, root_, table, batch_id)
 
-    monkeypatch.setattr(tables, "replace_batch", failing)
+    monkeypatch.setattr(tables, "replace_state", failing)
     with pytest.raises(RuntimeError):
         ingest.ingest_batch(part(log, 120, 239), 1, root)
-    monkeypatch.setattr(tables, "replace_batch", write)
+    monkeypatch.setattr(tables, "replace_state", write)
     ingest.ingest_batch(part(log, 120, 239), 1, root)
     assert stored_state(spark, root) == expected
 
@@ -170,10 +182,113 @@ def test_reads_are_pruned_to_buckets(spark, log):
     tables.create(spark, root, 16)
     ingest.ingest_batch(part(log, 0, 119), 0, root)
     scan = next(x for x in plan_text(tables.live_series(spark, root, run_uuid(3), 10)).splitlines() if "FileScan" in x)
-    assert "PartitionFilters: [isnotnull(run_bucket" in scan
-    here = ingest._in_buckets_of(spark, root, spark.createDataFrame([(run_uuid(3),)], "run_id string"))
-    stored = tables.before(spark, root, "telemetry", 5).filter(here)
-    assert "run_bucket" in next(x for x in plan_text(stored).splitlines() if "FileScan" in x).split("PartitionFilters")[1]
+    assert "run_bucket" in scan.split("PartitionFilters")[1]
+    at = tables.snapshot(spark, root)
+    assert ingest.touched_buckets(spark, root, spark.createDataFrame([(run_uuid(3),)] * 2, "run_id string")) == [
+        spark.range(1).select(tables.run_bucket(F.lit(run_uuid(3)), 16)).first()[0]
+    ]
+    for table in tables.STATE:
+        bucket = min(at.versions[table])
+        some = tables.read_state(spark, root, table, at, [bucket])
+        assert all(f"run_bucket={bucket}/" in f for f in some.inputFiles()) and some.count()
+
+
+def test_readers_see_whole_batches_only(spark, log, monkeypatch):
+    """Between any two writes of a batch the tables are those of the batch before."""
+    root = shared.new_path(spark, "snapshot-test")
+    tables.create(spark, root, 4)
+    ingest.ingest_batch(part(log, 0, 119), 0, root)
+    first, seen = stored_state(spark, root), []
+
+    def looking(write):
+        def run(*args):
+            write(*args)
+            seen.append(stored_state(spark, root))
+        return run
+
+    for name in ("append", "replace_state"):
+        monkeypatch.setattr(tables, name, looking(getattr(tables, name)))
+    pinned = tables.snapshot(spark, root)
+    ingest.ingest_batch(part(log, 120, 239), 1, root)
+    assert len(seen) == 6 and all(s == first for s in seen)
+    assert stored_state(spark, root) != first
+    assert tables.read(spark, root, "telemetry", pinned).count() == len(first[1])
+
+
+def ordered_log(spark, runs, ticks, late=()):
+    """Runs whose ticks arrive in turn; late: (batch of 100 messages, run, tick) to add there."""
+    rows = [(run_uuid(r), "run_start", None) for r in range(runs)]
+    for t in range(ticks):
+        rows += [(run_uuid(r), "telemetry", t) for r in range(runs)]
+    rows += [(run_uuid(r), "run_end", None) for r in range(runs)]
+    for at, run, tick in late:
+        rows.insert(at, (run_uuid(run), "telemetry", tick))
+    out = []
+    for i, (run, kind, tick) in enumerate(rows):
+        m = {"type": kind, "season_id": SEASON, "run_id": run}
+        if kind == "telemetry":
+            m |= {name: 0.25 for name in schemas.DOUBLE_COLUMNS} | {"tick": tick, "terminated": False, "speed": float(i)}
+            m |= {"hit": "cone" if tick % 7 < 2 else "none", "lap_count": tick // 10, "last_lap_time": float(tick), "cte": (tick % 5) / 2}
+        out.append((i, 1_704_000_000 + i, SEASON, json.dumps(m)))
+    frame = spark.createDataFrame(out, "log_offset bigint, at bigint, key string, value string")
+    return frame.select("log_offset", F.timestamp_seconds("at").alias("log_ts"), "key", "value")
+
+
+@pytest.mark.parametrize("late", [(), ((150, 1, 3), (270, 0, 2), (310, 1, 200), (330, 1, 200))])
+def test_stored_slices_give_the_report_of_all_ticks(spark, late, monkeypatch):
+    """Also with ticks that come late, twice, or before others of their slice."""
+    log = ordered_log(spark, 3, 120, late)
+    if late:  # ticks that are missing when their neighbours arrive
+        gone = F.col("value").contains('"tick": 3,') & (F.col("log_offset") < 100) | F.col("value").contains('"tick": 2,') & (F.col("log_offset") < 100)
+        log = log.filter(~gone)
+    batch = state(*replay.replay(decode.conforming(decode.decode(log))))
+    root, reads = shared.new_path(spark, "slices-test"), []
+    tables.create(spark, root, 2)
+    earlier = tables.read
+    monkeypatch.setattr(tables, "read", lambda s, r, table, at=None: reads.append(table) or earlier(s, r, table, at))
+    for i in range(3):
+        ingest.ingest_batch(part(log, 130 * i, 130 * i + 129), i, root)
+    assert ("telemetry" in reads) == bool(late)  # without late ticks no stored tick is read
+    assert stored_state(spark, root) == batch
+
+
+def test_a_batch_costs_the_same_after_many(spark):
+    """Tables and files that a batch reads do not grow with the batches before it."""
+    log, root, files = ordered_log(spark, 2, 80), shared.new_path(spark, "flat-test"), []
+    tables.create(spark, root, 2)
+    for i in range(5):
+        at = tables.snapshot(spark, root, i)
+        files.append(sum(len(tables.read_state(spark, root, t, at).inputFiles()) for t in tables.STATE))
+        ingest.ingest_batch(part(log, 20 * i, 20 * i + 19), i, root)
+    assert max(files[2:]) == files[2]
+    assert stored_state(spark, root) == state(*replay.replay(decode.conforming(decode.decode(part(log, 0, 99)))))
+    pages = tables.read_state(spark, root, "pages").collect()
+    assert len(pages) == 2 and all(len(r.ticks) == 4096 for r in pages)
+
+
+def test_old_snapshots_are_forgotten(spark, log, monkeypatch):
+    monkeypatch.setattr(tables, "KEPT", 1)
+    root = shared.new_path(spark, "forget-test")
+    tables.create(spark, root, 2)
+    for i in range(3):
+        ingest.ingest_batch(part(log, 60 * i, 60 * i + 59), i, root)
+    assert tables.paths.names(spark, f"{root}/manifest") == ["000000000002.json"]
+    kept = {n for b in (0, 1) for n in tables.paths.names(spark, f"{root}/runs/run_bucket={b}")}
+    assert kept <= {"batch_id=1", "batch_id=2"}
+
+
+def test_a_batch_is_read_by_a_task_for_each_range(spark, log):
+    root = shared.new_path(spark, "ranges-test")
+    logfiles.write_log(part(log, 0, 149), f"{root}/in")
+    logfiles.write_log(part(log, 150, 239), f"{root}/in")
+    reader = logfiles.LogReader({"path": f"{root}/in", "checkpoint": f"{root}/cp", "messages": "100", "perTask": "10"})
+    assert reader.initialOffset() == {"next": 0} and reader.latestOffset() == {"next": 100}
+    ranges = reader.partitions({"next": 0}, {"next": 100})
+    assert len(ranges) >= 10 and reader.latestOffset() == {"next": 200}
+    found = [x for r in ranges for b in reader.read(r) for x in b.column("log_offset").to_pylist()]
+    assert found == list(range(100))
+    reader.partitions({"next": 100}, {"next": 200})
+    assert reader.latestOffset() == {"next": 240}
 
 
 def test_a_quarantined_message_can_be_repaired_and_replayed(spark):

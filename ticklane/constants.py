@@ -14,6 +14,7 @@ UNKNOWN = "unknown"
 MALFORMED = "malformed"
 MESSAGE_TYPES = [RUN_START, TELEMETRY, RUN_END]
 BATCH_INTERVAL = "1 second"
+BATCH_MESSAGES = 500
 
 # --- runs and seasons ------------------------------------------------------
 DRIVERS = ["random", "rl"]

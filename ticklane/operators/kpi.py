@@ -5,6 +5,8 @@ tick slice), and reduced to a handful of numbers per slice; only those are
 brought together per run.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,22 +85,35 @@ def basics(telemetry: DataFrame) -> DataFrame:
     return totals.selectExpr("run_id", *_FROM_TOTALS)
 
 
-def _slices(telemetry: DataFrame, size: int, placed: bool) -> DataFrame:
+_FIRST = ["hit_on", "off", "lap_count", "last_lap_time"]
+_LAST = ["hit_on", "off", "lap_count"]
+_FINISHES = "{0}last_lap_time > 0D and not isnan({0}last_lap_time)"
+
+
+def slices(
+    telemetry: DataFrame, size: int = TICK_SLICE, placed: bool = False, apart: Sequence[str] = ()
+) -> DataFrame:
     """One row per (run, tick slice): totals, events inside it, its end states.
 
+    Events at the first tick are left out; they depend on what comes before, and are
+    settled when rows are put in order. With ``placed``, ticks carry their slice in the
+    column _slice, as spread_join leaves it. Ticks that differ in the columns ``apart`` are
+    summarised apart.
+
     Lap times need a list, but collecting lists over raw ticks would turn the
     aggregate into an object one. The ticks that finish a lap are few and are made
     groups of their own first, next to one group of all others, so that each group
     has at most one lap time and plain numbers suffice.
     """
-    by_tick = "(partition by run_id, _slice order by tick)"
+    key = ["run_id", "_slice", *apart]
+    by_tick = f"(partition by {', '.join(key)} order by tick)"
     # The first tick of a slice has no previous one here: its conditions are
-    # null, count for nothing, and are settled when slices are put in a row.
-    lap_done = "lap_count > prev_laps and last_lap_time > 0D and not isnan(last_lap_time)"
+    # null and count for nothing.
+    lap_done = f"lap_count > prev_laps and {_FINISHES.format('')}"
     if not placed:
         telemetry = telemetry.withColumn("_slice", slice_of("tick", size))
     ticks = (
-        telemetry.selectExpr(*_SCORED, "_slice")
+        telemetry.selectExpr(*_SCORED, *key[1:])
         .selectExpr(
             "*",
             f"lag(hit_on) over {by_tick} as prev_hit",
@@ -107,9 +122,7 @@ def _slices(telemetry: DataFrame, size: int, placed: bool) -> DataFrame:
         )
         .selectExpr("*", f"if({lap_done}, tick, null) as lap_tick")
     )
-    first = ["hit_on", "off", "lap_count", "last_lap_time"]
-    last = ["hit_on", "off", "lap_count"]
-    laps = ticks.groupBy("run_id", "_slice", "lap_tick").agg(
+    laps = ticks.groupBy(*key, "lap_tick").agg(
         *_all(
             _OF_TICKS,
             [
@@ -119,35 +132,54 @@ def _slices(telemetry: DataFrame, size: int, placed: bool) -> DataFrame:
                 "min(tick) as first_tick",
                 "max(tick) as last_tick",
             ],
-            [f"min_by({s}, tick) as first_{s}" for s in first],
-            [f"max_by({s}, tick) as last_{s}" for s in last],
+            [f"min_by({s}, tick) as first_{s}" for s in _FIRST],
+            [f"max_by({s}, tick) as last_{s}" for s in _LAST],
         )
     )
-    return laps.groupBy("run_id", "_slice").agg(
-        *_all(
-            _OF_TOTALS,
-            _OF_EVENTS,
-            [
-                "sort_array(collect_list(if(lap_tick is not null, "
-                "struct(lap_tick, lap_time), null))) as lap_list"
-            ],
-            [f"min_by(first_{s}, first_tick) as first_{s}" for s in first],
-            [f"max_by(last_{s}, last_tick) as last_{s}" for s in last],
-        )
+    lap_list = "sort_array(collect_list(if(lap_tick is not null, struct(lap_tick, lap_time), null))) as lap_list"
+    return laps.groupBy(*key).agg(*_all(_OF_TOTALS, _OF_EVENTS, [lap_list], _OF_ENDS))
+
+
+_OF_ENDS = [
+    "min(first_tick) as first_tick",
+    "max(last_tick) as last_tick",
+    *[f"min_by(first_{s}, first_tick) as first_{s}" for s in _FIRST],
+    *[f"max_by(last_{s}, last_tick) as last_{s}" for s in _LAST],
+]
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """One row per (run, slice) from several, as ``slices`` of all their ticks would give.
+
+    The parts of a slice must not overlap in their tick ranges.
+    """
+    before = "over (partition by run_id, _slice order by first_tick)"
+    lap = f"first_lap_count > lag(last_lap_count) {before} and {_FINISHES.format('first_')}"
+    joined = parts.selectExpr(
+        "run_id",
+        "_slice",
+        *_TOTALS,
+        f"collisions + coalesce(int(first_hit_on and not lag(last_hit_on) {before}), 0) as collisions",
+        f"offtrack_events + coalesce(int(first_off and not lag(last_off) {before}), 0) as offtrack_events",
+        f"concat(if({lap}, array(struct(first_tick as lap_tick, first_last_lap_time as lap_time)), "
+        "filter(lap_list, x -> false)), lap_list) as lap_list",
+        "first_tick",
+        "last_tick",
+        *[f"first_{s}" for s in _FIRST],
+        *[f"last_{s}" for s in _LAST],
     )
+    laps = "sort_array(flatten(collect_list(lap_list))) as lap_list"
+    return joined.groupBy("run_id", "_slice").agg(*_all(_OF_TOTALS, _OF_EVENTS, [laps], _OF_ENDS))
 
 
-def _joined_slices(telemetry: DataFrame, size: int, placed: bool = False) -> DataFrame:
-    """Slices with the events at their first tick added."""
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Slices of ``slices`` with the events at their first tick added."""
     before = "over (partition by run_id order by _slice)"
     was_hit = f"lag(last_hit_on, 1, false) {before}"
     was_off = f"lag(last_off, 1, false) {before}"
     had_laps = f"lag(last_lap_count, 1, 0) {before}"
-    first_lap = (
-        f"first_lap_count > {had_laps} "
-        "and first_last_lap_time > 0D and not isnan(first_last_lap_time)"
-    )
-    return _slices(telemetry, size, placed).selectExpr(
+    first_lap = f"first_lap_count > {had_laps} and {_FINISHES.format('first_')}"
+    return rows.selectExpr(
         "run_id",
         "_slice",
         *_TOTALS,
@@ -158,20 +190,13 @@ def _joined_slices(telemetry: DataFrame, size: int, placed: bool = False) -> Dat
     )
 
 
-def report(telemetry: DataFrame, size: int = TICK_SLICE, placed: bool = False) -> DataFrame:
-    """run_id and the KPI fields, one row per run that has ticks.
-
-    With ``placed``, ticks carry their slice in the column _slice, as spread_join leaves it.
-    """
+def report_of(rows: DataFrame) -> DataFrame:
+    """The report from slices, which no tick is needed for."""
     laps_by_slice = (
         "sort_array(collect_list(if(size(slice_laps) > 0, struct(_slice, slice_laps), null))) "
         "as laps_by_slice"
     )
-    runs = (
-        _joined_slices(telemetry, size, placed)
-        .groupBy("run_id")
-        .agg(*_all(_OF_TOTALS, _OF_EVENTS, [laps_by_slice]))
-    )
+    runs = _in_order(rows).groupBy("run_id").agg(*_all(_OF_TOTALS, _OF_EVENTS, [laps_by_slice]))
     return runs.selectExpr(
         "run_id",
         *_FROM_TOTALS,
@@ -181,13 +206,18 @@ def report(telemetry: DataFrame, size: int = TICK_SLICE, placed: bool = False) -
     ).select("run_id", *KPI_FIELDS)
 
 
+def report(telemetry: DataFrame, size: int = TICK_SLICE, placed: bool = False) -> DataFrame:
+    """run_id and the KPI fields, one row per run that has ticks; ``placed`` as in ``slices``."""
+    return report_of(slices(telemetry, size, placed))
+
+
 def lap_rows(telemetry: DataFrame, size: int = TICK_SLICE) -> DataFrame:
     """Lap times in long form: (run_id, lap_index, lap_time), index from 0.
 
     Numbered by slices: no array holds the laps of a whole run.
     """
     earlier = "over (partition by run_id order by _slice rows between unbounded preceding and 1 preceding)"
-    numbered = _joined_slices(telemetry, size).selectExpr(
+    numbered = _in_order(slices(telemetry, size)).selectExpr(
         "run_id", "slice_laps", f"int(coalesce(sum(size(slice_laps)) {earlier}, 0)) as before"
     )
     return numbered.selectExpr("run_id", "before", "posexplode(slice_laps) as (i, t)").selectExpr(
@@ -203,11 +233,9 @@ def _or_empty() -> list[str]:
     return [f"coalesce({name}, {zero[name]}) as {name}" for name in KPI_FIELDS]
 
 
-def report_for(
-    runs: DataFrame, telemetry: DataFrame, size: int = TICK_SLICE, placed: bool = False
-) -> DataFrame:
-    """A report for each run_id in ``runs``, all zeros where no tick was kept."""
-    found = runs.join(report(telemetry, size, placed), "run_id", "left")
+def report_for(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """A report from slices for each run_id in ``runs``, all zeros where there is none."""
+    found = runs.join(report_of(rows), "run_id", "left")
     return found.selectExpr(*runs.columns, *_or_empty())
 
 

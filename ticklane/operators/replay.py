@@ -120,7 +120,7 @@ def summaries(kept: DataFrame, ends: DataFrame, size: int = TICK_SLICE) -> DataF
     before_end = spread_join(
         kept, cutoffs, "run_id", slice_of("tick", size), keep_slice=True
     ).filter("log_offset < last_end_offset")
-    return kpi.report_for(ends.select("run_id"), before_end, size, placed=True)
+    return kpi.report_for(ends.select("run_id"), kpi.slices(before_end, size, placed=True))
 
 
 def runs_table(starts: DataFrame, ends: DataFrame, summary_rows: DataFrame) -> DataFrame:

@@ -15,6 +15,22 @@ def points(telemetry: DataFrame) -> DataFrame:
     return telemetry.select("run_id", *c.POINT_FIELDS)
 
 
+def _check(max_points: int) -> None:
+    if not c.MIN_MAX_POINTS <= max_points <= c.MAX_MAX_POINTS:
+        raise ValueError(f"max_points must be in [{c.MIN_MAX_POINTS}, {c.MAX_MAX_POINTS}]")
+
+
+def stride_of(ticks: int, max_points: int) -> int:
+    """The stride of a run with so many ticks."""
+    _check(max_points)
+    return max(1, -(-ticks // max_points))
+
+
+def every(telemetry: DataFrame, stride: int) -> DataFrame:
+    """Points at multiples of a stride."""
+    return points(telemetry.filter(F.col("tick") % stride == 0))
+
+
 def downsample(
     telemetry: DataFrame, max_points: int = c.DEFAULT_MAX_POINTS, size: int = TICK_SLICE
 ) -> DataFrame:
@@ -23,8 +39,7 @@ def downsample(
     The stride comes from the number of ticks, the choice from tick values, so
     gaps in the ticks change how many points remain.
     """
-    if not c.MIN_MAX_POINTS <= max_points <= c.MAX_MAX_POINTS:
-        raise ValueError(f"max_points must be in [{c.MIN_MAX_POINTS}, {c.MAX_MAX_POINTS}]")
+    _check(max_points)
     sliced = points(telemetry).withColumn("slice", slice_of("tick", size))
     # Counted per slice and summed over the run's slices; the ticks then meet their
     # stride by (run, slice), so a long run is not gathered anywhere.

@@ -105,7 +105,7 @@ def empty_run_report(spark, sf_dir):
     wanted = derive.table(spark, sf_dir, "customer").select(
         derive.padded(derive.RUN_PREFIX, F.col("c_custkey")).alias("run_id")
     )
-    return _flat_report(kpi.report_for(wanted, derive.telemetry(spark, sf_dir)))
+    return _flat_report(kpi.report_for(wanted, kpi.slices(derive.telemetry(spark, sf_dir))))
 
 
 # --- series ----------------------------------------------------------------
@@ -351,8 +351,8 @@ def log_type_counts(spark, sf_dir):
 
 @query
 def quarantine(spark, sf_dir):
-    good, starts = _starts(spark, sf_dir)
     """Rejected messages; whole tells that the text is that of the log."""
+    good, starts = _starts(spark, sf_dir)
     bad = decode.rejected(_messages(spark, sf_dir))
     found = replay.quarantine(good, bad, starts, derive.seasons(spark, sf_dir))
     sent = derive.log(spark, sf_dir).select("log_offset", F.col("value").alias("sent"))
@@ -565,7 +565,7 @@ def csv_packet_export(spark, sf_dir):
 
 # --- streaming -------------------------------------------------------------
 
-#: Log files of each round; the stream is restarted in between. Buckets for one machine.
+#: Batches of each round; the stream is restarted in between. Buckets for one machine.
 ROUNDS, STREAM_BUCKETS = (2, 1), 16
 _stream_roots: dict[tuple[str, str], str] = {}
 
@@ -584,24 +584,22 @@ def _streamed(spark, sf_dir) -> str:
 def _run_stream(spark, sf_dir) -> str:
     log = derive.log(spark, sf_dir)
     root = shared.new_path(spark, "stream")
-    lowest, highest = log.agg(F.min("log_offset"), F.max("log_offset")).first()
-    if lowest is None:
+    first, highest = log.agg(F.min("log_offset"), F.max("log_offset")).first()
+    if first is None:
         tables.create(spark, f"{root}/tables")
         return f"{root}/tables"
-    step = (highest - lowest) // sum(ROUNDS) + 1
-    first = lowest
-    for files in ROUNDS:
-        for _ in range(files):  # a file a batch
-            logfiles.write_log(log.filter(F.col("log_offset").between(first, first + step - 1)), f"{root}/in")
-            first += step
-        ingest.start(
-            logfiles.stream_log(spark, f"{root}/in"),
+    step = (highest - first) // sum(ROUNDS) + 1
+    for batches in ROUNDS:
+        end = first + batches * step
+        logfiles.write_log(log.filter(F.col("log_offset").between(first, end - 1)), f"{root}/log")
+        first = end
+        ingest.catch_up(
+            logfiles.stream_log(spark, f"{root}/log", f"{root}/checkpoint", step),
             f"{root}/tables",
             f"{root}/checkpoint",
-            lambda session: derive.seasons(session, sf_dir),
-            catch_up=True,
+            read_seasons=lambda session: derive.seasons(session, sf_dir),
             buckets=STREAM_BUCKETS,
-        ).awaitTermination()
+        )
     return f"{root}/tables"
 
 

@@ -25,12 +25,12 @@ def stream_topic(
     spark: SparkSession,
     servers: str,
     topic: str = c.TOPIC,
-    max_messages: int = 200_000,
+    max_messages: int = c.BATCH_MESSAGES,
 ) -> DataFrame:
     """The topic as a stream, from its beginning, at most so many messages a batch.
 
     The bound trades delay for throughput and does not change the tables; every
-    batch has a fixed cost, so small ones only suit a thin stream.
+    batch has a fixed cost, so a thick stream needs a higher one.
     """
     return as_log(
         spark.readStream.format("kafka")

@@ -1,26 +1,158 @@
-"""The message log as JSON-line files (log_offset, log_ts, key, value)."""
+"""The message log in files, and a streaming source over them that counts messages.
+
+``<root>/rows/append=<id>`` holds the rows of one append as Parquet files that cover ranges of
+log_offset, written in parallel; ``<root>/index/<n>.json`` lists these files with their first and
+last offset, and is written last. The source ``ticklane_log`` reads the index, so it takes
+in whole appends in offset order, at most so many offsets (messages, where there are no
+gaps) a batch, and a task per range of a file.
+"""
+
+import json
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ticklane import constants as c
 from ticklane import schemas
+from ticklane.sources import paths
 
-_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+NAME = "ticklane_log"
+#: Offsets of a range that one task reads.
+RANGE = 10_000
 
 
-def write_log(log: DataFrame, path: str) -> None:
-    """Append log rows as one file, in offset order.
+def write_log(log: DataFrame, root: str) -> None:
+    """Append log rows. Their offsets have to be higher than those of earlier appends.
 
-    A stream takes files in by age, so rows appended later have to have higher offsets.
-    One append is one file, so that a bound on files per batch cannot part its rows.
+    Files come from range partitions of the offset; of each, one row of three values
+    reaches the driver. Columns of a log row that are not there are null.
     """
-    log.coalesce(1).sortWithinPartitions("log_offset").write.mode("append").options(**_MICROS).json(path)
+    spark = log.sparkSession
+    kinds = dict(part.split(" ") for part in schemas.LOG.split(", "))
+    missing = {n: F.lit(None).cast(k) for n, k in kinds.items() if n not in log.columns}
+    folder = f"{root}/rows/append={uuid.uuid4().hex}"
+    rows = log.withColumns(missing).select(*kinds).filter("log_offset is not null")
+    rows.repartitionByRange("log_offset").sortWithinPartitions("log_offset").write.parquet(folder)
+    files = spark.read.schema(schemas.LOG).parquet(folder).groupBy(F.col("_metadata.file_path").alias("file"))
+    ranges = files.agg(F.min("log_offset").alias("first"), F.max("log_offset").alias("last")).orderBy("first").collect()
+    found = [[r["file"], r["first"], r["last"]] for r in ranges]
+    number = len(paths.names(spark, f"{root}/index"))
+    paths.write_text(spark, f"{root}/index/{number:09d}.json", json.dumps(found))
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all finished appends."""
+    index = [json.loads(paths.read_text(spark, f"{root}/index/{n}")) for n in paths.names(spark, f"{root}/index")]
+    folders = {os.path.dirname(file) for files in index for file, _, _ in files}
+    return spark.read.schema(schemas.LOG).parquet(*folders) if folders else spark.createDataFrame([], schemas.LOG)
+
+
+def stream_log(
+    spark: SparkSession, root: str, checkpoint: str, messages: int = c.BATCH_MESSAGES, per_task: int = RANGE
+) -> DataFrame:
+    """The log as a stream. ``checkpoint`` is that of the query, which a restart goes on from."""
+    spark.dataSource.register(LogSource)
+    options = {"path": root, "checkpoint": checkpoint, "messages": str(messages), "perTask": str(per_task)}
+    return spark.readStream.format(NAME).options(**options).load()
+
+
+class LogSource(DataSource):
+    """Options: path, checkpoint, messages (offsets a batch), perTask (offsets a task)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return NAME
+
+    def schema(self) -> str:
+        return schemas.LOG
+
+    def streamReader(self, schema) -> "LogReader":
+        return LogReader(self.options)
+
+
+class OffsetRange(InputPartition):
+    """Rows of a file with first <= log_offset < end."""
+
+    def __init__(self, file: str, first: int, end: int):
+        self.file, self.first, self.end = file, first, end
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{os.path.abspath(path)}")
+
+
+class LogReader(DataSourceStreamReader):
+    """Offsets are {"next": the lowest offset not yet taken in}."""
+
+    def __init__(self, options: dict):
+        self.path, self.checkpoint = options["path"], options["checkpoint"]
+        self.messages, self.per_task = int(options["messages"]), int(options["perTask"])
+        self.at: int | None = None
+        self.files: list[tuple[str, int, int]] = []
+        self.indexed = 0
+
+    def _refresh(self) -> None:
+        """Read index files that are new since the last time."""
+        from pyarrow import fs
+
+        files, folder = _open(f"{self.path}/index")
+        listed = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        names = sorted(x.path for x in listed if x.path.endswith(".json"))
+        for name in names[self.indexed :]:
+            with files.open_input_stream(name) as stream:
+                self.files += [tuple(x) for x in json.loads(stream.readall())]
+        self.indexed = len(names)
+
+    def _planned(self) -> int | None:
+        """The end of the last batch that the query has planned, as its checkpoint says."""
+        from pyarrow import fs
+
+        files, folder = _open(f"{self.checkpoint}/offsets")
+        listed = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        batches = {int(x.base_name): x.path for x in listed if x.base_name.isdigit()}
+        if not batches:
+            return None
+        with files.open_input_stream(batches[max(batches)]) as stream:
+            return json.loads(stream.readall().decode().strip().split("\n")[-1])["next"]
+
+    def initialOffset(self) -> dict:
+        self._refresh()
+        return {"next": self.files[0][1] if self.files else 0}
 
+    def latestOffset(self) -> dict:
+        self._refresh()
+        if self.at is None:
+            planned = self._planned()
+            self.at = self.initialOffset()["next"] if planned is None else planned
+        ahead = [max(first, self.at) for _, first, last in self.files if last >= self.at]
+        if not ahead:
+            return {"next": self.at}
+        end = max(last for _, _, last in self.files) + 1
+        return {"next": min(ahead[0] + self.messages, end)}  # a gap in the offsets is skipped
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.LOG).options(**_MICROS).json(path)
+    def partitions(self, start: dict, end: dict) -> list[OffsetRange]:
+        self._refresh()
+        low, high = start["next"], end["next"]
+        self.at = max(self.at or high, high)
+        ranges = []
+        for file, first, last in self.files:
+            for at in range(max(first, low), min(last + 1, high), self.per_task):
+                ranges.append(OffsetRange(file, at, min(at + self.per_task, last + 1, high)))
+        return ranges
 
+    def read(self, partition: OffsetRange):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
 
-def stream_log(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """The files as a stream, at most so many a batch."""
-    reader = spark.readStream.schema(schemas.LOG).options(**_MICROS)
-    return reader.option("maxFilesPerTrigger", max_files).json(path)
+        files, path = _open(partition.file)
+        wanted = [("log_offset", ">=", partition.first), ("log_offset", "<", partition.end)]
+        kinds = [part.split(" ")[0] for part in schemas.LOG.split(", ")]
+        rows = pq.read_table(path, filesystem=files, columns=kinds, filters=wanted, coerce_int96_timestamp_unit="us")
+        place = rows.schema.get_field_index("log_ts")
+        rows = rows.set_column(place, "log_ts", rows.column(place).cast(pa.timestamp("us", "UTC")))
+        yield from rows.to_batches()
