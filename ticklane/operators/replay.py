@@ -93,7 +93,7 @@ def first_arrivals(rows: DataFrame) -> DataFrame:
     place = ["run_id", "tick", "log_offset"]
     first = rows.groupBy("run_id", "tick").agg(F.min("log_offset").alias("log_offset"))
     rest = F.struct(*[n for n in rows.columns if n not in place])
-    least = F.sort_array(F.collect_set(rest))[0].alias("row")
+    least = F.min(rest).alias("row")
     return rows.join(first, place, "left_semi").groupBy(*place).agg(least).select(*place, "row.*")
 
 
