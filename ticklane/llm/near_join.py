@@ -56,11 +56,13 @@ def _profile(frames):
     hashes, sets, docs = WordHashes(), [], 0
 
     def common():
-        if not sets:
-            return None
-        values, counts = np.unique(np.concatenate(sets), return_counts=True)
-        often = counts >= COMMON_IN_TASK
-        return pd.DataFrame({"doc_id": None, "n": counts[often], "d1": _signed(values[often]), "d2": 0, "first": 0, "kind": 1})
+        """The counts, by parts of the range of hashes: sets are sorted, so a part is a slice."""
+        for low in range(0, 1 << 64 if sets else 0, 1 << 61):
+            ends = np.array([low, low + (1 << 61) - 1], np.uint64)
+            parts = [s[np.searchsorted(s, ends[0]) : np.searchsorted(s, ends[1], "right")] for s in sets]
+            values, counts = np.unique(np.concatenate(parts), return_counts=True)
+            often = counts >= COMMON_IN_TASK
+            yield pd.DataFrame({"doc_id": None, "n": counts[often], "d1": _signed(values[often]), "d2": 0, "first": 0, "kind": 1})
 
     held = 0
     for frame in frames:
@@ -76,10 +78,9 @@ def _profile(frames):
         sets += found
         held += sum(map(len, found))
         if held > STRETCH:  # bounds the memory of a long task
-            yield common()
+            yield from common()
             sets, held = [], 0
-    if (last := common()) is not None:
-        yield last
+    yield from common()
 
 
 def needed(n: int, percent: int) -> int:

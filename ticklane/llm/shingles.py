@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 

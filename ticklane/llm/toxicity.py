@@ -29,7 +29,7 @@ FOLDS = 3
 #: Distinct marker words from which a toxic text counts as repeatedly or severely so.
 REPEATED, SEVERE = 3, 6
 _WORD = re.compile(r"[^\W\d_]+")
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 
 
 def terms(word: str) -> tuple[str, ...]:
