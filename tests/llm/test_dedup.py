@@ -163,7 +163,7 @@ def ruled_rows():
 @pytest.mark.parametrize("samples", [100, 10**6])
 def test_heads_of_rule_lines_are_dealt_out(make_docs, monkeypatch, samples):
     monkeypatch.setattr(suffix_dedup, "BUCKET_SAMPLES", samples)
-    monkeypatch.setattr(suffix_dedup, "WIDE", 20)
+    monkeypatch.setattr(suffix_dedup, "WIDE_LEAST", 20)
     monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
     kept = {}
     monkeypatch.setattr(suffix_dedup, "stored", lambda frame, name, *a, f=suffix_dedup.stored: kept.setdefault(name, f(frame, name, *a)))

@@ -44,8 +44,9 @@ BEFORE = PERIOD - 1
 BLOCK_BYTES, BUCKET_SAMPLES, BUCKET_EDGES = 1_000_000, 700_000, 40_000
 #: Heads with more samples than this are compared by sets, not in pairs.
 PAIRS = 12
-#: Heads with more open samples than this are not kept together: their strings are dealt out.
-WIDE = 1_000
+#: Heads with more open samples than one in WIDE_SHARE of all are not kept together, nor those with
+#: more than a task may hold: their strings are dealt out. Either way gives the same intervals.
+WIDE_SHARE, WIDE_LEAST, WIDE_MOST = 100_000, 100, 20_000
 #: One in so many documents is looked at for heads that fill a tenth of a bucket.
 SAMPLED = 64
 #: Strings of wide heads of which a task sends equal ones once.
@@ -351,7 +352,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     ranked = docs.mapInPandas(lambda f: _ranked(f, buckets, wide), _RANKED)
     found = stored(ranked.groupBy("bucket").applyInPandas(lambda key, f: _bucket(key, f, buckets), "doc_id long, at int, head long"), "repeat-samples")
     opened = found.filter("head <> 0")
-    large = stored(opened.groupBy("head").count().filter(f"count > {WIDE}").select("head"), "repeat-wide-heads")
+    limit = min(max(samples // WIDE_SHARE, WIDE_LEAST), WIDE_MOST)
+    large = stored(opened.groupBy("head").count().filter(f"count > {limit}").select("head"), "repeat-wide-heads")
     covered = found.filter("head = 0").selectExpr("doc_id", f"bigint(at - {BEFORE}) start", f"bigint(at + {LENGTH}) end")
     if not large.isEmpty():
         covered = covered.union(_wide_edges(docs, opened.join(sized(large), "head", "left_semi")))
