@@ -291,6 +291,31 @@ def test_a_batch_is_read_by_a_task_for_each_range(spark, log):
     assert reader.latestOffset() == {"next": 240}
 
 
+def test_ranges_are_sized_by_rows_and_read_little_else(spark, log, monkeypatch):
+    """Gaps in the offsets make no tasks, and a task reads the row groups of its range only."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(logfiles, "GROUP_BYTES", 4_096)
+    root = shared.new_path(spark, "gaps-test")
+    sparse = log.withColumn("log_offset", F.col("log_offset") * 1_000)
+    logfiles.write_log(sparse, f"{root}/in")
+    options = {"path": f"{root}/in", "checkpoint": f"{root}/cp", "messages": "1000000", "perTask": "60"}
+    reader = logfiles.LogReader(options)
+    ranges = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert 4 <= len(ranges) <= 6  # of 240 messages over 240,000 offsets
+    found = [x for r in ranges for b in reader.read(r) for x in b.column("log_offset").to_pylist()]
+    assert found == [1_000 * i for i in range(240)]
+    assert all(pq.ParquetFile(f.removeprefix("file://")).num_row_groups > 1 for f, *_ in reader.files)
+    # An index without the number of rows, as it was written before.
+    (name,) = tables.paths.names(spark, f"{root}/in/index")
+    old = [f[:3] for f in json.loads(tables.paths.read_text(spark, f"{root}/in/index/{name}"))]
+    tables.paths.write_text(spark, f"{root}/in/index/{name}", json.dumps(old))
+    assert logfiles.read_log(spark, f"{root}/in").count() == 240
+    reader = logfiles.LogReader(options | {"perTask": "60000"})
+    ranges = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert [x for r in ranges for b in reader.read(r) for x in b.column("log_offset").to_pylist()] == found
+
+
 def test_a_quarantined_message_can_be_repaired_and_replayed(spark):
     run = run_uuid(5)
     good = {name: 0.5 for name in schemas.DOUBLE_COLUMNS} | {"hit": "none", "lap_count": 0, "terminated": False}

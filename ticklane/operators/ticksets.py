@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "run_id string, page bigint, ticks binary"
-_PAGE, _PLACE = F.bitmap_bucket_number, F.bitmap_bit_position
+# Spark's bitmaps count from 1, ticks from 0.
+_PAGE = lambda tick: F.bitmap_bucket_number(tick.cast("bigint") + 1)
+_PLACE = lambda tick: F.bitmap_bit_position(tick.cast("bigint") + 1)
 
 
 def pages(ticks: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 ``<root>/rows/append=<id>`` holds the rows of one append as Parquet files that cover ranges of
 log_offset, written in parallel; ``<root>/index/<n>.json`` lists these files with their first and
-last offset, and is written last. The source ``ticklane_log`` reads the index, so it takes
-in whole appends in offset order, at most so many offsets (messages, where there are no
-gaps) a batch, and a task per range of a file.
+last offset and number of rows, and is written last. The source ``ticklane_log`` reads the index,
+so it takes in whole appends in offset order, at most so many offsets (messages, where there are
+no gaps) a batch, and a task per range of a file. Ranges are sized by rows, and files
+have small row groups, so that a task reads little besides its range.
 """
 
 import json
@@ -20,14 +21,14 @@ from ticklane import schemas
 from ticklane.sources import paths
 
 NAME = "ticklane_log"
-#: Offsets of a range that one task reads.
-RANGE = 10_000
+#: Messages of a range that one task reads, about, and bytes of a row group.
+RANGE, GROUP_BYTES = 10_000, 2 << 20
 
 
 def write_log(log: DataFrame, root: str) -> None:
     """Append log rows. Their offsets have to be higher than those of earlier appends.
 
-    Files come from range partitions of the offset; of each, one row of three values
+    Files come from range partitions of the offset; of each, one row of four values
     reaches the driver. Columns of a log row that are not there are null.
     """
     spark = log.sparkSession
@@ -35,10 +36,11 @@ def write_log(log: DataFrame, root: str) -> None:
     missing = {n: F.lit(None).cast(k) for n, k in kinds.items() if n not in log.columns}
     folder = f"{root}/rows/append={uuid.uuid4().hex}"
     rows = log.withColumns(missing).select(*kinds).filter("log_offset is not null")
-    rows.repartitionByRange("log_offset").sortWithinPartitions("log_offset").write.parquet(folder)
+    placed = rows.repartitionByRange("log_offset").sortWithinPartitions("log_offset")
+    placed.write.option("parquet.block.size", GROUP_BYTES).parquet(folder)
     files = spark.read.schema(schemas.LOG).parquet(folder).groupBy(F.col("_metadata.file_path").alias("file"))
-    ranges = files.agg(F.min("log_offset").alias("first"), F.max("log_offset").alias("last")).orderBy("first").collect()
-    found = [[r["file"], r["first"], r["last"]] for r in ranges]
+    ranges = files.agg(F.min("log_offset").alias("first"), F.max("log_offset").alias("last"), F.count("*").alias("rows"))
+    found = [[r["file"], r["first"], r["last"], r["rows"]] for r in ranges.orderBy("first").collect()]
     number = len(paths.names(spark, f"{root}/index"))
     paths.write_text(spark, f"{root}/index/{number:09d}.json", json.dumps(found))
 
@@ -46,7 +48,7 @@ def write_log(log: DataFrame, root: str) -> None:
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     """The rows of all finished appends."""
     index = [json.loads(paths.read_text(spark, f"{root}/index/{n}")) for n in paths.names(spark, f"{root}/index")]
-    folders = {os.path.dirname(file) for files in index for file, _, _ in files}
+    folders = {os.path.dirname(file) for files in index for file, *_ in files}
     return spark.read.schema(schemas.LOG).parquet(*folders) if folders else spark.createDataFrame([], schemas.LOG)
 
 
@@ -60,7 +62,7 @@ def stream_log(
 
 
 class LogSource(DataSource):
-    """Options: path, checkpoint, messages (offsets a batch), perTask (offsets a task)."""
+    """Options: path, checkpoint, messages (offsets a batch), perTask (messages a task, about)."""
 
     @classmethod
     def name(cls) -> str:
@@ -93,7 +95,7 @@ class LogReader(DataSourceStreamReader):
         self.path, self.checkpoint = options["path"], options["checkpoint"]
         self.messages, self.per_task = int(options["messages"]), int(options["perTask"])
         self.at: int | None = None
-        self.files: list[tuple[str, int, int]] = []
+        self.files: list[tuple[str, int, int, int]] = []
         self.indexed = 0
 
     def _refresh(self) -> None:
@@ -105,7 +107,9 @@ class LogReader(DataSourceStreamReader):
         names = sorted(x.path for x in listed if x.path.endswith(".json"))
         for name in names[self.indexed :]:
             with files.open_input_stream(name) as stream:
-                self.files += [tuple(x) for x in json.loads(stream.readall())]
+                found = json.loads(stream.readall())
+            # An index of before rows were counted: as if there were no gaps.
+            self.files += [(file, first, last, *(rows or [last - first + 1])) for file, first, last, *rows in found]
         self.indexed = len(names)
 
     def _planned(self) -> int | None:
@@ -129,10 +133,10 @@ class LogReader(DataSourceStreamReader):
         if self.at is None:
             planned = self._planned()
             self.at = self.initialOffset()["next"] if planned is None else planned
-        ahead = [max(first, self.at) for _, first, last in self.files if last >= self.at]
+        ahead = [max(first, self.at) for _, first, last, _ in self.files if last >= self.at]
         if not ahead:
             return {"next": self.at}
-        end = max(last for _, _, last in self.files) + 1
+        end = max(last for _, _, last, _ in self.files) + 1
         return {"next": min(ahead[0] + self.messages, end)}  # a gap in the offsets is skipped
 
     def partitions(self, start: dict, end: dict) -> list[OffsetRange]:
@@ -140,9 +144,10 @@ class LogReader(DataSourceStreamReader):
         low, high = start["next"], end["next"]
         self.at = max(self.at or high, high)
         ranges = []
-        for file, first, last in self.files:
-            for at in range(max(first, low), min(last + 1, high), self.per_task):
-                ranges.append(OffsetRange(file, at, min(at + self.per_task, last + 1, high)))
+        for file, first, last, rows in self.files:
+            width = max(1, self.per_task * (last + 1 - first) // rows)
+            for at in range(max(first, low), min(last + 1, high), width):
+                ranges.append(OffsetRange(file, at, min(at + width, last + 1, high)))
         return ranges
 
     def read(self, partition: OffsetRange):
