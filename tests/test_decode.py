@@ -130,3 +130,12 @@ def test_ids_in_braces_and_urns(spark):
     rows = spark.createDataFrame([(f,) for f in forms], "raw string")
     found = [r[0] for r in rows.selectExpr(decode.canonical_id("raw")).collect()]
     assert found == ["01234567-89ab-cdef-0123-456789abcdef"] * 4 + [None, None]
+
+
+def test_ids_are_put_in_form_once(spark):
+    """Plain ids take a short way that gives the same; reasons use what is there."""
+    plain = "01234567-89ab-cdef-0123-456789abcdef"
+    rows = spark.createDataFrame([(plain,), (plain + "\n",), (plain[:-1],), (plain[:-1] + "g",), (plain[:-1] + "\n",)], "raw string")
+    found = [r[0] for r in rows.selectExpr(decode.canonical_id("raw")).collect()]
+    assert found == [plain, plain, None, None, None]
+    assert decode._HEX not in decode._reasons(["tick"], [], ["run_id", "season_id"])

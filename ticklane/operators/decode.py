@@ -12,6 +12,7 @@ from ticklane import schemas
 
 # What is left of a valid id without prefixes, braces and hyphens.
 _HEX = "^[0-9a-f]{32}$"
+_PLAIN = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 _CORRUPT = "_corrupt"
 _NONE = "cast(array() as array<string>)"
@@ -31,7 +32,9 @@ def canonical_id(raw: str) -> str:
         f"substring({digits}, {start}, {size})"
         for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     )
-    return f"if({digits} rlike '{_HEX}', concat_ws('-', {parts}), null)"
+    # Most ids have that form already; $ would let a line end pass, so the length counts too.
+    other = f"if({digits} rlike '{_HEX}', concat_ws('-', {parts}), null)"
+    return f"if(length({raw}) = 36 and {raw} rlike '{_PLAIN}', {raw}, {other})"
 
 
 def _problems(name: str) -> list[tuple[str, str]]:
@@ -44,9 +47,9 @@ def _problems(name: str) -> list[tuple[str, str]]:
 
 
 def _reasons(required: list[str], defaulted: list[str], ids: list[str]) -> str:
-    """SQL for the list of reasons of one kind of message. ``raw`` is the key map."""
+    """SQL for the list of reasons of one kind of message; ``_<id>`` is the form of an id."""
     checks = [check for name in [*required, *defaulted] for check in _problems(name)]
-    checks += [(f"{name} is not null and {canonical_id(name)} is null", f"bad_id:{name}") for name in ids]
+    checks += [(f"{name} is not null and _{name} is null", f"bad_id:{name}") for name in ids]
 
     def nulls(names: list[str]) -> str:
         found = ", ".join(f"if({name} is null, '{name}', null)" for name in names)
@@ -92,12 +95,12 @@ def decode(log: DataFrame) -> DataFrame:
     )
     return (
         log.select("*", F.inline(F.array(message)))
-        .selectExpr("*", kinds)
+        .selectExpr("*", kinds, *[f"{canonical_id(n)} as _{n}" for n in ("season_id", "run_id")])
         .selectExpr(
             *log.columns,
             "kind",
-            f"{canonical_id('season_id')} as season_id",
-            f"{canonical_id('run_id')} as run_id",
+            "_season_id as season_id",
+            "_run_id as run_id",
             "driver",
             "status",
             "last_tick",
