@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from made import make_docs  # noqa: F401
-from ticklane.llm import contamination, near_join, suffix_dedup
+from ticklane.llm import contamination, near_join, suffix_dedup, tables
 from ticklane.llm.components import components
 
 
@@ -239,3 +239,19 @@ def test_decontamination_of_odd_rows(spark, make_docs):
     assert contamination.find_items(docs, items.limit(0)).collect() == []
     assert contamination.find_items(make_docs(), items).collect() == []
     assert contamination.without_items(docs, items.limit(0)).count() == 7
+
+
+def test_tasks_give_memory_back():
+    """A worker that a task has filled is small again once the task has ended."""
+    import psutil
+
+    def task():
+        held = [bytes(20_000) for _ in range(10_000)]  # below the size that goes back by itself
+        kept = [held[-1], bytes(20_000)]  # the end of the heap stays in use
+        del held
+        yield kept
+
+    at = psutil.Process()
+    before = at.memory_info().rss
+    (kept,) = tables.tidied(task())
+    assert kept and at.memory_info().rss < before + 60e6

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ticklane.llm.components import components
 from ticklane.llm.shingles import WordHashes, mixed, shingle_hashes
-from ticklane.llm.tables import sized, stored, texts
+from ticklane.llm.tables import sized, stored, texts, tidied
 
 #: Sizes at which a boundary between light and heavy sets may lie.
 BOUNDARIES = (2, 4, 8, 12, 16, 24, 32, 48, 64)
@@ -156,7 +156,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ids = stored(pairs.selectExpr("explode(array(a, b)) doc_id").distinct(), "near-ids")
     own = stored(docs.join(sized(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     rows = pairs.join(own.selectExpr("doc_id a", "text text_a"), "a").join(own.selectExpr("doc_id b", "text text_b"), "b")
-    return stored(rows.select("a", "b", "text_a", "text_b").mapInPandas(lambda f: _linked(f, percent), "a long, b long"), "near-links")
+    return stored(rows.select("a", "b", "text_a", "text_b").mapInPandas(lambda f: tidied(_linked(f, percent)), "a long, b long"), "near-links")
 
 
 def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -169,7 +169,7 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = texts(docs)
-    rows = stored(docs.mapInPandas(_profile, "doc_id long, n long, d1 long, d2 long, first long, kind int"), "near-profile")
+    rows = stored(docs.mapInPandas(lambda f: tidied(_profile(f)), "doc_id long, n long, d1 long, d2 long, first long, kind int"), "near-profile")
     sets = rows.filter("kind = 0").drop("kind")
     known = sets.filter("doc_id is not null")
     total = sets.count()
@@ -186,7 +186,7 @@ def near_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = stored(known.filter("n > 0").join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "rep"), "near-classes")
     reps = classes.filter("doc_id = rep").select("doc_id", "n").distinct()
 
-    postings = docs.filter("doc_id is not null").mapInPandas(lambda f: _postings(f, common.value, limit, percent), "key long, doc_id long, late int")
+    postings = docs.filter("doc_id is not null").mapInPandas(lambda f: tidied(_postings(f, common.value, limit, percent)), "key long, doc_id long, late int")
     postings = stored(postings, "near-postings")
     lists = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
     mates = stored(postings.join(lists, "key").join(reps, "doc_id").select("key", "doc_id", "n", "late"), "near-mates")

@@ -1,10 +1,14 @@
 """Small helpers shared by the operators: columns, sized broadcasts, stored steps, samples."""
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,4 +60,18 @@ def share(key: str, wanted: int, total: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(77), F.col(key)), F.lit(parts)) < int(parts * min(1.0, wanted / max(total, 1))) + 1
 
 
-__all__ = ["BROADCAST_ROWS", "share", "ship", "sized", "stored", "texts"]
+def tidied(parts: Iterable) -> Iterator:
+    """What a task in a Python worker yields; at its end the memory that it needed goes back.
+
+    Workers are kept for later tasks, and what an idle one holds counts with its executor.
+    """
+    yield from parts
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+__all__ = ["BROADCAST_ROWS", "share", "ship", "sized", "stored", "texts", "tidied"]

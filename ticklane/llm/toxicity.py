@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm.linear import fit_logistic, sigmoid
-from ticklane.llm.tables import share, ship, sized, stored, texts
+from ticklane.llm.tables import share, ship, sized, stored, texts, tidied
 
 #: Bounds of the training sample and of the feature set.
 TRAIN_ROWS, FEATURES = 8_000, 600
@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     labels = labels.select("doc_id", F.col(column).cast("double").alias("y")).dropna().dropDuplicates(["doc_id"])
     sample = stored(labels.filter(share("doc_id", rows, labels.count())), "toxic-labels")
     rows_of = texts(docs).join(sized(sample), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
-    sample = stored(rows_of.mapInPandas(lambda f: _terms_of(f, ["y"]), "terms array<string>, fold int, y double"), "toxic-terms")
+    sample = stored(rows_of.mapInPandas(lambda f: tidied(_terms_of(f, ["y"])), "terms array<string>, fold int, y double"), "toxic-terms")
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     a, c = F.sum("y"), F.count("*")
     rate, base = (a + 0.1) / (positive + 1), (c - a + 0.1) / (n - positive + 1)
@@ -141,7 +141,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in chain.categories)
-    scored = texts(docs).mapInPandas(lambda f: _scored(f, model.value), schema)
+    scored = texts(docs).mapInPandas(lambda f: tidied(_scored(f, model.value)), schema)
     return scored.withColumn("toxic", (F.col(f"p_{chain.categories[-1]}") >= threshold).cast("int"))
 
 
@@ -156,4 +156,4 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> Data
             found = batch.column("text").to_pylist()
             yield batch.filter(pa.array([_likely(model.value, columns, x or "")[-1] < threshold for x in found], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lambda b: tidied(clean(b)), docs.schema)
