@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ import pytest
 from made import make_docs  # noqa: F401
 from ticklane.llm import contamination, near_join, suffix_dedup, tables
 from ticklane.llm.components import components
+from ticklane.llm.shingles import WordHashes, shingle_sets
 
 
 def words(n, seed, vocabulary=5000):
@@ -255,3 +257,29 @@ def test_tasks_give_memory_back():
     before = at.memory_info().rss
     (kept,) = tables.tidied(task())
     assert kept and at.memory_info().rss < before + 60e6
+
+
+def test_shingles_of_many_texts_equal_those_of_each():
+    """Words are hashed over texts together; sets equal those of plain words, wherever a text lies."""
+    rng = random.Random(5)
+    parts = ["a", "A", "b", "abcdefgh", "abcdefghi", "abcdefgh" * 3, "é", "\x00", "\x00\x00", "\x85", "\x1c", "x" * 128, "x" * 129, "x" * 130]
+    spaces = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n"]
+    odd = ["".join(rng.choice(parts) + rng.choice(spaces) for _ in range(rng.randrange(40))) for _ in range(300)]
+    odd += ["", None, " \n ", "one two three four five", "ONE two\tthree four five", "onet wo three four five"]
+    found = [tuple(s.tolist()) for s in shingle_sets(odd)]
+    assert found == [tuple(next(shingle_sets([t])).tolist()) for t in odd]
+    assert [len(s) for s in found] == [len(shingles(t or "")) for t in odd] and all(list(s) == sorted(set(s)) for s in found)
+    by_hash = {}
+    for text, own in zip(odd, found):
+        assert by_hash.setdefault(own, shingles(text or "")) == shingles(text or "")
+    assert len({frozenset(shingles(t or "")) for t in odd}) == len(by_hash)
+
+
+def test_shingles_come_without_a_step_a_word():
+    """A word costs no call of its own: hashing takes a small part of the time of plain words."""
+    texts = [" ".join(f"w{(i * 7919 + j) % 400_000}" for j in range(500)) for i in range(400)]
+    hashes, began = WordHashes(), time.perf_counter()
+    for t in texts:
+        np.fromiter(map(hashes.__getitem__, t.encode().lower().split()), np.uint64)
+    plain, began = time.perf_counter() - began, time.perf_counter()
+    assert sum(map(len, shingle_sets(texts))) > 0 and time.perf_counter() - began < plain

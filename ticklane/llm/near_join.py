@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklane.llm.components import components
-from ticklane.llm.shingles import WordHashes, mixed, shingle_hashes
+from ticklane.llm.shingles import mixed, shingle_sets
 from ticklane.llm.tables import sized, stored, texts, tidied
 
 #: Sizes at which a boundary between light and heavy sets may lie.
@@ -41,6 +41,8 @@ BOUNDARIES = (2, 4, 8, 12, 16, 24, 32, 48, 64)
 COMMON_SHARE, COMMON_LEAST = 10_000, 8
 #: Times that a shingle must occur in a stretch of so many shingles of a task to be reported at all.
 COMMON_IN_TASK, STRETCH = 2, 6_000_000
+#: Parts of the range of hashes in which a stretch is counted.
+PARTS = 8
 
 
 def _digest(s: np.ndarray) -> int:
@@ -53,20 +55,23 @@ def _signed(x) -> np.ndarray:
 
 def _profile(frames):
     """Per document its set size, digests and first shingle; per task its common shingles."""
-    hashes, sets, docs = WordHashes(), [], 0
+    sets = []
 
     def common():
         """The counts, by parts of the range of hashes: sets are sorted, so a part is a slice."""
-        for low in range(0, 1 << 64 if sets else 0, 1 << 61):
-            ends = np.array([low, low + (1 << 61) - 1], np.uint64)
-            parts = [s[np.searchsorted(s, ends[0]) : np.searchsorted(s, ends[1], "right")] for s in sets]
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        borders = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
+        cuts = np.array([[0, *np.searchsorted(s, borders), len(s)] for s in sets]).reshape(len(sets), PARTS + 1)
+        for i in range(PARTS if sets else 0):
+            values = np.concatenate([s[a:b] for s, a, b in zip(sets, cuts[:, i], cuts[:, i + 1])])
+            values.sort()
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+            counts = np.diff(first, append=len(values))
             often = counts >= COMMON_IN_TASK
-            yield pd.DataFrame({"doc_id": None, "n": counts[often], "d1": _signed(values[often]), "d2": 0, "first": 0, "kind": 1})
+            yield pd.DataFrame({"doc_id": None, "n": counts[often], "d1": _signed(values[first[often]]), "d2": 0, "first": 0, "kind": 1})
 
     held = 0
     for frame in frames:
-        found = [shingle_hashes(t, hashes) for t in frame.text]
+        found = list(shingle_sets(frame.text))
         yield pd.DataFrame({
             "doc_id": frame.doc_id.astype("Int64"),
             "n": [len(s) for s in found],
@@ -107,11 +112,9 @@ def _postings(frames, common: np.ndarray, limit: int, percent: int):
     less one for a subset of two. Sets of n and m that must share c have a key in common
     with late at most n - c in one and m - c in the other.
     """
-    hashes = WordHashes()
     for frame in frames:
         keys, ids, late = [], [], []
-        for doc_id, text in zip(frame.doc_id, frame.text):
-            s = shingle_hashes(text, hashes)
+        for doc_id, s in zip(frame.doc_id, shingle_sets(frame.text)):
             n = len(s)
             if n < 2:  # one shingle links with its equal only
                 continue
@@ -137,13 +140,14 @@ def _postings(frames, common: np.ndarray, limit: int, percent: int):
 
 
 def _linked(frames, percent: int):
-    hashes, last, one = WordHashes(), None, None
+    last, one = None, None
     for frame in frames:
         links = []
-        for a, b, x, y in zip(frame.a, frame.b, frame.text_a, frame.text_b):
-            if last != a:
-                last, one = a, shingle_hashes(x, hashes)
-            two = shingle_hashes(y, hashes)
+        new = [a != b for a, b in zip(frame.a, [last, *frame.a[:-1]])]  # runs of one a share its set
+        firsts = shingle_sets(x for x, is_new in zip(frame.text_a, new) if is_new)
+        for a, b, is_new, two in zip(frame.a, frame.b, new, shingle_sets(frame.text_b)):
+            if is_new:
+                last, one = a, next(firsts)
             both = len(np.intersect1d(one, two, assume_unique=True))
             if 100 * both >= percent * (len(one) + len(two) - both):
                 links.append((a, b))
