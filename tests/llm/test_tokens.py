@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -59,6 +60,19 @@ def test_kept_words_are_bounded(monkeypatch):
     assert [counter.count(t) for t in texts] == [4, 5, 2] and len(own.ids) < 12
 
 
+def test_kept_words_are_small():
+    """A word that is kept costs its text and its ids, no more."""
+    own = bpe.Codec(WORDS)
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiouy" for c in ("nder", "lling", "stone", "xqzj", "9")]
+    tracemalloc.start()
+    own.encode([" ".join(w + v for v in words) for w in words[:60]])
+    held = tracemalloc.get_traced_memory()[0] / len(own.ids)
+    tracemalloc.stop()
+    assert len(own.ids) > 10_000 and held < 320
+    own.forget()
+    assert not own.ids and not own.fragments
+
+
 def test_rows(make_docs):
     docs = make_docs((3, "Hello  World"), (3, "Hello  World"), (None, "a"), (4, None), (5, ""))
     rows = bpe.encode(docs, WORDS).collect()

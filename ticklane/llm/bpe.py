@@ -12,22 +12,23 @@ white space dropped, and gives the ids of the tokenizers library for such a file
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from ticklane.llm.tables import texts
+from ticklane.llm.tables import texts, tidied
 
 #: Words of the tokenizer: contractions, letters, single digits, other runs.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD = regex.compile(rf"\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Words whose encoding is kept by a task.
-_KEPT = 400_000
+_KEPT = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -59,9 +60,8 @@ class Codec:
         self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokens) + 1)]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.joined = {token[i : i + 2] for token in vocab for i in range(len(token) - 1)}
-        self.fragments: dict[str, list[int]] = {}
+        self.fragments: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
 
     @staticmethod
     def special_like(token: str, spec: dict) -> bool:
@@ -88,14 +88,12 @@ class Codec:
         new = list({p for own in parts.values() for p in own if p not in self.fragments})
         if new:
             merged = self.merger.encode(new, is_pretokenized=True, add_special_tokens=False)
-            for p in new:
-                self.fragments[p] = []
+            ids = [[] for _ in new]
             for at, i in zip(merged.word_ids, merged.ids):
-                self.fragments[new[at]].append(i)
-        for w, own in parts.items():
-            ids = [i for p in own for i in self.fragments[p]] if len(own) > 1 else self.fragments[own[0]]
-            self.ids[w] = b"".join(map(self.packed.__getitem__, ids))
-            self.texts[w] = " ".join(map(self.tokens.__getitem__, ids))
+                ids[at].append(self.packed[i])
+            self.fragments.update(zip(new, map(b"".join, ids)))
+        for w, own in parts.items():  # a word of one fragment shares its bytes
+            self.ids[w] = b"".join(map(self.fragments.__getitem__, own)) if len(own) > 1 else self.fragments[own[0]]
 
     def words(self, text: str) -> list[str]:
         """Words of a text, special tokens standing for themselves."""
@@ -105,16 +103,24 @@ class Codec:
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         return _WORD.findall(text.lower())
 
+    def decoded(self, ids: bytes) -> str:
+        return " ".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Per text its ids as little-endian 32-bit integers, and what they decode to."""
         if len(self.ids) >= _KEPT:
-            for kept in (self.ids, self.texts, self.fragments):
-                kept.clear()
+            self.forget()
         for content, i in self.special.items():
-            self.ids[content], self.texts[content] = i.to_bytes(4, "little"), content
+            self.ids[content] = self.packed[i]
         found = [self.words(t) for t in texts]
         self.learn({w for own in found for w in own if w not in self.ids})
-        return [(b"".join(map(self.ids.__getitem__, own)), " ".join(map(self.texts.__getitem__, own))) for own in found]
+        joined = [b"".join(map(self.ids.__getitem__, own)) for own in found]
+        return [(ids, self.decoded(ids)) for ids in joined]
+
+    def forget(self) -> None:
+        """Lets go of the words and fragments seen so far."""
+        self.ids.clear()
+        self.fragments.clear()
 
 
 @lru_cache(maxsize=2)
@@ -123,18 +129,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _batches(frame: pd.DataFrame):
-    """Parts of a frame with about 100,000 characters of text each, so that few words are held."""
-    part = (frame.text.str.len().cumsum() // 100_000).to_numpy()
-    return (rows for _, rows in frame.groupby(part, sort=True))
+def _parts(batches):
+    """(doc_ids, texts) with about 100,000 characters of text each, so that few words are held."""
+    for batch in batches:
+        doc_ids, found = batch.column("doc_id"), batch.column("text").to_pylist()
+        low = held = 0
+        for at, text in enumerate(found, 1):
+            held += len(text)
+            if held >= 100_000 or at == len(found):
+                yield doc_ids.slice(low, at - low), found[low:at]
+                low, held = at, 0
 
 
-def _encoded(frames, path: str):
+def _encoded(batches, path: str):
     own = codec(path)
-    for frame in frames:
-        for part in _batches(frame):
-            found = own.encode(list(part.text))
-            yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "ids": [a for a, _ in found], "decoded": [b for _, b in found]})
+    for doc_ids, found in _parts(batches):
+        ids, decoded = zip(*own.encode(found))
+        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -144,19 +155,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Rows stay as they are, also repeated ones and those with a null doc_id; other columns go.
     Every executor needs the vocabulary file at path.
     """
-    return texts(docs).mapInPandas(lambda f: _encoded(f, path), "doc_id long, ids binary, decoded string")
+    return texts(docs).mapInArrow(lambda b: tidied(_encoded(b, path)), "doc_id long, ids binary, decoded string")
 
 
-def _digested(frames, path: str):
+def _digested(batches, path: str):
     own = codec(path)
-    for frame in frames:
-        for part in _batches(frame):
-            found = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b.encode("utf-8")).hexdigest()) for a, b in own.encode(list(part.text))]
-            out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", part.doc_id.astype("Int64").array)
-            yield out
+    for doc_ids, found in _parts(batches):
+        rows = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b.encode("utf-8")).hexdigest()) for a, b in own.encode(found)]
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([doc_ids, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() in short, without moving the ids."""
-    return texts(docs).mapInPandas(lambda f: _digested(f, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(lambda b: tidied(_digested(b, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
