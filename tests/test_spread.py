@@ -52,6 +52,16 @@ def test_join(spark, rows, how):
     assert as_set(got.select(expected.columns)) == as_set(expected)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_with_a_copied_dimension_moves_no_facts(spark, rows, how):
+    dim = spark.createDataFrame([("hot", 1), ("k3", 2), ("zz", 3)], "k string, d int")
+    got = spread.spread_join(rows, dim, "k", spread.slice_of("t", 5), how, keep_slice=True, copied=True)
+    assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
+    expected = rows.join(dim, "k", how).withColumn("_slice", spread.slice_of("t", 5))
+    assert as_set(got.select(expected.columns)) == as_set(expected)
+    assert spread.few(dim, 3) and not spread.few(dim, 2)
+
+
 def test_hot_key_is_spread(spark, rows):
     """No shuffle of raw rows is by the key alone."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

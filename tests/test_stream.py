@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_text
 from ticklane import schemas
-from ticklane.operators import decode, replay
+from ticklane.operators import decode, replay, ticksets
 from ticklane.sources import logfiles, shared
 from ticklane.streaming import ingest, tables
 
@@ -266,6 +266,38 @@ def test_a_batch_costs_the_same_after_many(spark):
     assert len(pages) == 2 and all(len(r.ticks) == 4096 for r in pages)
 
 
+def test_few_runs_go_to_the_ticks(spark, log):
+    """With few runs the joins with them shuffle no ticks; many runs give the same rows."""
+    messages = shared.stored(decode.decode(log), "few-test", "kind")
+    good, bad = decode.conforming(messages), decode.rejected(messages)
+    runs = shared.stored(replay.run_starts(good), "few-starts")
+    pages = ticksets.pages(replay.kept_telemetry(good, runs).filter("tick % 3 = 0"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sides = {few: replay.quarantine(good, bad, runs, few=few) for few in (True, False)}
+        plans = {few: rows._jdf.queryExecution().executedPlan().toString() for few, rows in sides.items()}
+        assert "Exchange hash" not in plans[True] and "Exchange hash" in plans[False]
+        assert sorted(map(str, sides[True].collect())) == sorted(map(str, sides[False].collect()))
+        ends = [sorted(map(str, replay.run_ends(good, runs, few).collect())) for few in (True, False)]
+        assert ends[0] == ends[1]
+        new = replay.kept_telemetry(good, runs, few=True, known=pages)
+        expected = ticksets.unknown(replay.kept_telemetry(good, runs), pages)
+        assert sorted(map(str, new.collect())) == sorted(map(str, expected.select(new.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_no_state_is_no_join(spark, log):
+    """In the first batch a look-up of known ticks is not planned."""
+    root = shared.new_path(spark, "empty-test")
+    tables.create(spark, root, 2)
+    pages = tables.read_state(spark, root, "pages")
+    ticks = spark.range(5).selectExpr("'a' run_id", "cast(id as int) tick")
+    plan = ticksets.unknown(ticks, pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and ticksets.unknown(ticks, pages).count() == 5
+
+
 def test_old_snapshots_are_forgotten(spark, log, monkeypatch):
     monkeypatch.setattr(tables, "KEPT", 1)
     root = shared.new_path(spark, "forget-test")

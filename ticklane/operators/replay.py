@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ticklane import constants as c
 from ticklane import schemas
-from ticklane.operators import kpi
+from ticklane.operators import kpi, ticksets
 from ticklane.plans.spread import OFFSET_SLICE, TICK_SLICE, slice_of, spread_join
 from ticklane.sources.shared import stored
 
@@ -49,23 +49,29 @@ def run_starts(messages: DataFrame, seasons: DataFrame | None = None) -> DataFra
     )
 
 
-def _after_start(rows: DataFrame, starts: DataFrame, how: str = "inner") -> DataFrame:
+def _after_start(
+    rows: DataFrame, starts: DataFrame, how: str = "inner", few: bool = False
+) -> DataFrame:
     return spread_join(
         rows,
         starts.select("run_id", "start_offset"),
         "run_id",
         slice_of("log_offset", OFFSET_SLICE),
         how,
+        copied=few,
     )
 
 
-def run_ends(messages: DataFrame, starts: DataFrame) -> DataFrame:
-    """One row per closed run: status, ended_at, close_offset, last_end_offset."""
+def run_ends(messages: DataFrame, starts: DataFrame, few: bool = False) -> DataFrame:
+    """One row per closed run: status, ended_at, close_offset, last_end_offset.
+
+    ``few``, here and below: the starts are a stored table of few rows, see ``spread.few``.
+    """
     ends = messages.filter(F.col("kind") == c.RUN_END).select(
         "run_id", "status", "log_ts", "log_offset"
     )
     return (
-        _after_start(ends, starts)
+        _after_start(ends, starts, few=few)
         .filter("log_offset > start_offset")
         .groupBy("run_id")
         .agg(
@@ -83,33 +89,41 @@ def run_ends(messages: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def first_arrivals(rows: DataFrame) -> DataFrame:
+def first_arrivals(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per (run_id, tick) the row with the lowest log_offset; of several such rows the least.
 
+    Ticks in ``known``, pages of ``ticksets``, are left out; the narrow columns are looked up.
+
     The lowest offset is a hash aggregate over three narrow columns, so copies are
     reduced before the shuffle; the rows then semi-join it on all three. Rows that share
     the offset too are reduced where the join has placed them.
     """
     place = ["run_id", "tick", "log_offset"]
     first = rows.groupBy("run_id", "tick").agg(F.min("log_offset").alias("log_offset"))
+    if known is not None:
+        first = ticksets.unknown(first, known)
     rest = F.struct(*[n for n in rows.columns if n not in place])
     least = F.sort_array(F.collect_set(rest))[0].alias("row")
     return rows.join(first, place, "left_semi").groupBy(*place).agg(least).select(*place, "row.*")
 
 
 def kept_telemetry(
-    messages: DataFrame, starts: DataFrame, columns: Sequence[str] = schemas.TELEMETRY_COLUMNS
+    messages: DataFrame,
+    starts: DataFrame,
+    columns: Sequence[str] = schemas.TELEMETRY_COLUMNS,
+    few: bool = False,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """The telemetry table, or some of its columns, plus log_offset."""
+    """The telemetry table, or some of its columns, plus log_offset; without ``known`` ticks."""
     ticks = messages.filter(F.col("kind") == c.TELEMETRY).select("run_id", *columns, "log_offset")
-    known = _after_start(ticks, starts).filter("log_offset > start_offset")
-    return first_arrivals(known.drop("start_offset"))
+    started = _after_start(ticks, starts, few=few).filter("log_offset > start_offset")
+    return first_arrivals(started.drop("start_offset"), known)
 
 
-def orphan_telemetry(messages: DataFrame, starts: DataFrame) -> DataFrame:
+def orphan_telemetry(messages: DataFrame, starts: DataFrame, few: bool = False) -> DataFrame:
     """Ticks that arrived before any start of their run."""
     ticks = messages.filter(F.col("kind") == c.TELEMETRY)
-    return _after_start(ticks, starts, "left").filter(
+    return _after_start(ticks, starts, "left", few).filter(
         "start_offset is null or log_offset < start_offset"
     )
 
@@ -142,7 +156,11 @@ def runs_table(starts: DataFrame, ends: DataFrame, summary_rows: DataFrame) -> D
 
 
 def quarantine(
-    messages: DataFrame, rejected: DataFrame, starts: DataFrame, seasons: DataFrame | None = None
+    messages: DataFrame,
+    rejected: DataFrame,
+    starts: DataFrame,
+    seasons: DataFrame | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """The log columns, kind and reason: each rejected message once per reason.
 
@@ -156,7 +174,7 @@ def quarantine(
         return rows.withColumns({**missing, "reason": reason}).select(*_LOG, "kind", "reason")
 
     found = kept(rejected, F.explode("reasons"))
-    found = found.unionByName(kept(orphan_telemetry(messages, starts), F.lit("unknown:run_id")))
+    found = found.unionByName(kept(orphan_telemetry(messages, starts, few), F.lit("unknown:run_id")))
     if seasons is not None:
         lost = unknown_seasons(messages.filter(F.col("kind") == c.RUN_START), seasons)
         found = found.unionByName(kept(lost, F.lit("unknown:season_id")))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # Ticks are 32-bit, so a run has at most 2**32 / TICK_SLICE, about 262,000 slices.
 TICK_SLICE = 16_384
 OFFSET_SLICE = 262_144
+#: Rows of a dimension, an id and a few numbers each, that may be copied to every task: some 20 MB.
+COPIED_ROWS = 200_000
 
 
 def slice_of(column: str, size: int) -> Column:
@@ -26,6 +28,11 @@ def slice_of(column: str, size: int) -> Column:
     return F.expr(f"{column} div {size}")
 
 
+def few(rows: DataFrame, limit: int = COPIED_ROWS) -> bool:
+    """Whether rows are few enough to be copied to every task; they should be a stored table."""
+    return rows.limit(limit + 1).count() <= limit
+
+
 def spread_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -33,6 +40,7 @@ def spread_join(
     slice_by: Column,
     how: str = "inner",
     keep_slice: bool = False,
+    copied: bool = False,
 ) -> DataFrame:
     """Many-to-one join of a large table to one row per key, without hot tasks.
 
@@ -41,7 +49,13 @@ def spread_join(
     so a hot key is spread over as many tasks as it has slices. Spark still
     broadcasts the pairs when they are below its size threshold. The slice stays as
     column _slice on demand, for a next step that wants the same placement.
+
+    With ``copied`` the dimension goes to every task as it is, and the facts stay where
+    they are. Whoever sets it has counted the dimension (see ``few``).
     """
+    if copied:
+        sliced = facts.withColumn("_slice", slice_by) if keep_slice else facts
+        return sliced.join(F.broadcast(dim), key, how)
     sliced = facts.withColumn("_slice", slice_by)
     pairs = sliced.select(key, "_slice").distinct()
     pairs = pairs.join(dim, key, "inner")

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ticklane import constants as c
 from ticklane import schemas
 from ticklane.operators import decode, kpi, replay, ticksets
-from ticklane.plans.spread import TICK_SLICE, slice_of, spread_join
+from ticklane.plans.spread import TICK_SLICE, few, slice_of, spread_join
 from ticklane.sources import paths
 from ticklane.streaming import tables
 
@@ -58,14 +58,16 @@ def ingest_batch(
         .withColumn("status", F.lit(c.OPEN_STATUS))
     )
     runs = held(known.unionByName(started, allowMissingColumns=True), "runs")
+    small = few(runs)  # then no tick has to move to meet its run
     pages = tables.read_state(spark, root, "pages", before, here)
-    tables.append(ticksets.unknown(replay.kept_telemetry(good, runs), pages), root, "telemetry", batch_id)
+    new = replay.kept_telemetry(good, runs, few=small, known=pages)
+    tables.append(new, root, "telemetry", batch_id)
     ticks = tables.read_batch(spark, root, batch_id, here)
     tables.replace_state(ticksets.united(pages.unionByName(ticksets.pages(ticks))), root, "pages", batch_id)
 
-    ends = held(replay.run_ends(good, runs), "ends")
+    ends = held(replay.run_ends(good, runs, small), "ends")
     slices = tables.read_state(spark, root, "slices", before, here)
-    scored = counted(ticks, ends)
+    scored = counted(ticks, ends, small)
     parts = held(kpi.slices(scored, apart=["counted"]), "parts")
     late = overlapping(slices, parts)
     if late.isEmpty():
@@ -79,21 +81,21 @@ def ingest_batch(
     summary = kpi.report_for(ends.select("run_id"), then.join(ends.select("run_id"), "run_id", "left_semi"))
     tables.replace_state(new_runs(runs, ends, held(summary, "summary")), root, "runs", batch_id)
 
-    bad = replay.quarantine(good, decode.rejected(messages), runs, seasons)
+    bad = replay.quarantine(good, decode.rejected(messages), runs, seasons, small)
     tables.append(bad, root, "quarantine", batch_id)
     tables.append(decode.type_counts(messages), root, "counts", batch_id)
     tables.commit(spark, root, batch_id, before, here)
     paths.remove(spark, work)
 
 
-def counted(ticks: DataFrame, ends: DataFrame) -> DataFrame:
+def counted(ticks: DataFrame, ends: DataFrame, few: bool = False) -> DataFrame:
     """Ticks of this batch; counted tells that a run_end of the batch comes after them.
 
-    A summary is of all ticks of earlier batches and of these.
+    A summary is of all ticks of earlier batches and of these. ``few``: so are the ends.
     """
     rows = ticks.select("run_id", *kpi.COLUMNS, "log_offset")
     cutoffs = ends.select("run_id", "last_end_offset")
-    rows = spread_join(rows, cutoffs, "run_id", slice_of("tick", TICK_SLICE), "left")
+    rows = spread_join(rows, cutoffs, "run_id", slice_of("tick", TICK_SLICE), "left", copied=few)
     before = F.coalesce(F.col("log_offset") < F.col("last_end_offset"), F.lit(False))
     return rows.select("run_id", *kpi.COLUMNS, before.alias("counted"))
 

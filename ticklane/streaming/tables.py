@@ -77,17 +77,22 @@ def schema_of(spark: SparkSession, table: str) -> StructType:
     if table != "slices":
         return StructType.fromDDL({"runs": _RUNS, "pages": ticksets.SCHEMA, **APPENDED}[table])
     if not _slices:
-        _slices.append(kpi.slices(spark.createDataFrame([], schemas.TELEMETRY)).schema)
+        _slices.append(kpi.slices(_empty(spark, StructType.fromDDL(schemas.TELEMETRY))).schema)
     return _slices[0]
 
 
+def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows, and known to be none when a plan is made: joins with it fall away."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).filter(F.lit(False))
+
+
 def create(spark: SparkSession, root: str, buckets: int = RUN_BUCKETS) -> None:
     """Empty tables, where there are none yet; a number of buckets once chosen stays."""
     if not paths.exists(spark, f"{root}/buckets"):
         paths.write_text(spark, f"{root}/buckets", str(buckets))
     for table in APPENDED:
         inner = "/run_bucket=0" if table == "telemetry" else ""
-        spark.createDataFrame([], schema_of(spark, table)).coalesce(1).write.mode("ignore").parquet(
+        _empty(spark, schema_of(spark, table)).coalesce(1).write.mode("ignore").parquet(
             f"{root}/{table}{inner}/batch_id={_NO_BATCH}"
         )
 
@@ -121,7 +126,7 @@ def read_batch(spark: SparkSession, root: str, batch_id: int, buckets: list[int]
     folders = [f"{root}/telemetry/run_bucket={b}/batch_id={batch_id}" for b in buckets]
     folders = [f for f in folders if paths.exists(spark, f)]
     schema = schema_of(spark, "telemetry")
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*folders) if folders else _empty(spark, schema)
 
 
 def read_state(
@@ -132,7 +137,7 @@ def read_state(
     wanted = versions if buckets is None else [b for b in buckets if b in versions]
     folders = [f"{root}/{table}/run_bucket={b}/batch_id={versions[b]}" for b in wanted]
     schema = schema_of(spark, table)
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*folders) if folders else _empty(spark, schema)
 
 
 def _write_placed(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
