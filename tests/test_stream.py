@@ -288,6 +288,26 @@ def test_few_runs_go_to_the_ticks(spark, log):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_no_join_copies_what_grows(spark, monkeypatch):
+    """With many runs no join has the driver hold runs, slices or pages, small as their files may be."""
+    log = ordered_log(spark, 3, 60, ((150, 0, 2),))
+    log = log.filter(~(F.col("value").contains('"tick": 2,') & (F.col("log_offset") < 100)))
+    root, plans = shared.new_path(spark, "copies-test"), []
+    tables.create(spark, root, 2)
+    renew = ingest.new_runs
+    monkeypatch.setattr(ingest, "new_runs", lambda *of: plans.append(plan_text(renew(*of))) or renew(*of))
+    monkeypatch.setattr(ingest, "few", lambda rows: False)
+    for i in range(2):  # a late tick is in the second one
+        ingest.ingest_batch(part(log, 120 * i, 120 * i + 119), i, root)
+    assert stored_state(spark, root) == state(*replay.replay(decode.conforming(decode.decode(log))))
+
+    at = tables.snapshot(spark, root)
+    known = {t: tables.read_state(spark, root, t, at) for t in tables.STATE}
+    plans.append(plan_text(ticksets.unknown(tables.current_telemetry(spark, root), known["pages"])))
+    plans.append(plan_text(ingest.overlapping(known["slices"], known["slices"])))
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_no_state_is_no_join(spark, log):
     """In the first batch a look-up of known ticks is not planned."""
     root = shared.new_path(spark, "empty-test")

@@ -7,6 +7,8 @@ costs as much as the new ticks do, however many there are already.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticklane.plans.spread import uncopied
+
 SCHEMA = "run_id string, page bigint, ticks binary"
 # Spark's bitmaps count from 1, ticks from 0.
 _PAGE = lambda tick: F.bitmap_bucket_number(tick.cast("bigint") + 1)
@@ -30,9 +32,6 @@ def unknown(rows: DataFrame, known: DataFrame) -> DataFrame:
     place = _PLACE(F.col("tick"))
     byte = F.substring("_ticks", F.floor(place / 8).cast("int") + 1, F.lit(1))
     is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (place % 8).cast("int")) == 1
-    found = rows.withColumn("_page", _PAGE(F.col("tick"))).join(
-        known.select("run_id", F.col("page").alias("_page"), F.col("ticks").alias("_ticks")),
-        ["run_id", "_page"],
-        "left",
-    )
+    pages_of = known.select("run_id", F.col("page").alias("_page"), F.col("ticks").alias("_ticks"))
+    found = rows.withColumn("_page", _PAGE(F.col("tick"))).join(uncopied(pages_of), ["run_id", "_page"], "left")
     return found.filter(F.col("_ticks").isNull() | ~is_set).select(rows.columns)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 # Ticks are 32-bit, so a run has at most 2**32 / TICK_SLICE, about 262,000 slices.
 TICK_SLICE = 16_384
 OFFSET_SLICE = 262_144
-#: Rows of a dimension, an id and a few numbers each, that may be copied to every task: some 20 MB.
-COPIED_ROWS = 200_000
+#: Rows of a dimension, an id and a few numbers each, that may be copied to every task. A copy is
+#: built on the driver and stays there for a while: 256 bytes a row and its blocks, some 15 MB.
+COPIED_ROWS = 50_000
 
 
 def slice_of(column: str, size: int) -> Column:
@@ -33,6 +34,15 @@ def few(rows: DataFrame, limit: int = COPIED_ROWS) -> bool:
     return rows.limit(limit + 1).count() <= limit
 
 
+def uncopied(rows: DataFrame) -> DataFrame:
+    """Rows that a join must not copy to every task, as the driver would have to hold them.
+
+    Spark takes a stored table for as large as its compressed files; in memory a set of ticks
+    has a hundred times that.
+    """
+    return rows.hint("merge")
+
+
 def spread_join(
     facts: DataFrame,
     dim: DataFrame,

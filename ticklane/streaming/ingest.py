@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ticklane import constants as c
 from ticklane import schemas
 from ticklane.operators import decode, kpi, replay, ticksets
-from ticklane.plans.spread import TICK_SLICE, few, slice_of, spread_join
+from ticklane.plans.spread import TICK_SLICE, few, slice_of, spread_join, uncopied
 from ticklane.sources import paths
 from ticklane.streaming import tables
 
@@ -36,7 +36,8 @@ def ingest_batch(
     """Store one micro-batch of log rows.
 
     What several steps need is written below ``<root>/work`` and read from there, so that each
-    step is a small plan and a lost executor repeats little.
+    step is a small plan and a lost executor repeats little. No step copies a table to every task
+    that grows with the runs or ticks: the driver would have to hold it.
     """
     spark = batch.sparkSession
     work = f"{root}/work/batch_id={batch_id}"
@@ -54,18 +55,20 @@ def ingest_batch(
     known = tables.read_state(spark, root, "runs", before, here)
     started = (
         replay.run_starts(good, seasons)
-        .join(known.select("run_id"), "run_id", "left_anti")
+        .join(uncopied(known.select("run_id")), "run_id", "left_anti")
         .withColumn("status", F.lit(c.OPEN_STATUS))
     )
     runs = held(known.unionByName(started, allowMissingColumns=True), "runs")
     small = few(runs)  # then no tick has to move to meet its run
+    per_run = (lambda rows: rows) if small else uncopied
+    runs = per_run(runs)
     pages = tables.read_state(spark, root, "pages", before, here)
     new = replay.kept_telemetry(good, runs, few=small, known=pages)
     tables.append(new, root, "telemetry", batch_id)
     ticks = tables.read_batch(spark, root, batch_id, here)
     tables.replace_state(ticksets.united(pages.unionByName(ticksets.pages(ticks))), root, "pages", batch_id)
 
-    ends = held(replay.run_ends(good, runs, small), "ends")
+    ends = per_run(held(replay.run_ends(good, runs, small), "ends"))
     slices = tables.read_state(spark, root, "slices", before, here)
     scored = counted(ticks, ends, small)
     parts = held(kpi.slices(scored, apart=["counted"]), "parts")
@@ -73,13 +76,15 @@ def ingest_batch(
     if late.isEmpty():
         now, then = _joined(slices, parts), _joined(slices, parts.filter("counted"))
     else:
+        late = held(late, "late")
+        late = F.broadcast(late) if few(late) else uncopied(late)
         stored = tables.read(spark, root, "telemetry", before).filter(F.col("run_bucket").isin(here))
         stored = stored.select("run_id", *kpi.COLUMNS, F.lit(True).alias("counted"))
         now = _again(slices, parts, late, stored.unionByName(scored))
         then = _again(slices, parts.filter("counted"), late, stored.unionByName(scored.filter("counted")))
     tables.replace_state(now, root, "slices", batch_id)
     summary = kpi.report_for(ends.select("run_id"), then.join(ends.select("run_id"), "run_id", "left_semi"))
-    tables.replace_state(new_runs(runs, ends, held(summary, "summary")), root, "runs", batch_id)
+    tables.replace_state(new_runs(runs, ends, per_run(held(summary, "summary"))), root, "runs", batch_id)
 
     bad = replay.quarantine(good, decode.rejected(messages), runs, seasons, small)
     tables.append(bad, root, "quarantine", batch_id)
@@ -104,7 +109,7 @@ def overlapping(slices: DataFrame, parts: DataFrame) -> DataFrame:
     """The (run, slice) pairs into whose stored range a new tick falls: they can't be merged."""
     ranges = [x.filter("first_tick is not null").select(*_SLICE, "first_tick", "last_tick") for x in (slices, parts)]
     so_far = Window.partitionBy(*_SLICE).orderBy("first_tick", "last_tick").rowsBetween(Window.unboundedPreceding, -1)
-    both = ranges[0].join(parts.select(*_SLICE).distinct(), _SLICE, "left_semi").unionByName(ranges[1])
+    both = ranges[0].join(uncopied(parts.select(*_SLICE).distinct()), _SLICE, "left_semi").unionByName(ranges[1])
     high = both.withColumn("high", F.max("last_tick").over(so_far))
     return high.filter("high >= first_tick").select(*_SLICE).distinct()
 
@@ -147,6 +152,15 @@ def new_runs(runs: DataFrame, ends: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free what the jobs of a batch have left on the driver.
+
+    Spark drops copied tables and shuffles when the driver's garbage is collected. A driver whose heap
+    is mostly idle does that late, so its heap would grow from batch to batch up to its bound.
+    """
+    spark._jvm.System.gc()
+
+
 def start(
     log: DataFrame,
     root: str,
@@ -160,10 +174,13 @@ def start(
     The checkpoint moves on only after a batch is stored.
     """
     tables.create(log.sparkSession, root, buckets)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch, batch_id, root, read_seasons)
+        let_go(batch.sparkSession)
+
     return (
-        log.writeStream.foreachBatch(
-            lambda batch, batch_id: ingest_batch(batch, batch_id, root, read_seasons)
-        )
+        log.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=interval)
         .start()
